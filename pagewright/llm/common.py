@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,13 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of text that go to a Python worker at once.
 BATCH_BYTES = "16m"
 BATCH_ROWS = "4000"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches so that very long rows don't pile up in a worker."""
+    """Bound the Arrow batches, so that very long rows don't pile up in a worker, and let workers find this package."""
+    environment = spark.sparkContext.environment
+    if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, environment.get("PYTHONPATH", ""))))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
