@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontaminate, packing, simhash
+from pagewright.llm import decontaminate, packing, simhash, suffix_dedup
 from pagewright.llm.common import table
 
 
@@ -23,10 +23,14 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4, segments=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_packing, op7_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_packing, op4_suffix_dedup, op7_simhash)}
 ORACLE_SQL: dict[str, str] = {}
