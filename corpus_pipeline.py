@@ -1,10 +1,94 @@
-"""The corpus pipeline: stages that each take documents and keep some of them."""
+"""The corpus pipeline: five stages from raw documents to packed sequences.
+
+Each stage is a function of (spark, docs, sf_dir) that works on all rows its predecessor kept. Its
+result is written as Parquet and read again before the next one starts.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagewright.llm import decontaminate, packing, quality, simhash, suffix_dedup
+from pagewright.llm.common import cut, table
+
+NO_ID = -(2**63)
+
+
+def _keys(docs: DataFrame) -> tuple[Column, Column]:
+    """What tells a row of documents: its id, and a hash of its text."""
+    return F.coalesce(F.col("doc_id"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _rows(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` that are (left_semi) or aren't (left_anti) among (did, tie) of ``decided``."""
+    did, tie = _keys(docs)
+    return docs.withColumns({"_did": did, "_tie": tie}).join(decided.select(F.col("did").alias("_did"), F.col("tie").alias("_tie")).distinct(), ["_did", "_tie"], how).drop("_did", "_tie")
+
+
+def _did() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("did")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier and their site's posterior accept."""
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return _rows(docs, judged.where(~F.col("keep")).select(_did(), "tie"), "left_anti")
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates over five-word shingles."""
+    found = cut(simhash.near_duplicates(docs, shingle=5, distance=7, segments=4), "groups")
+    group = F.coalesce("component_id", F.lit(NO_ID)).alias("group")
+    first = found.groupBy(group).agg(F.min(F.struct(_did(), F.col("tie"))).alias("first")).select("first.did", "first.tie")
+    kept = _rows(docs, first, "left_semi")
+    did, tie = _keys(docs)
+    # Rows that are equal in id and text are one document.
+    number = F.row_number().over(Window.partitionBy(did, tie).orderBy(F.lit(0)))
+    return kept.withColumn("_number", number).where("_number = 1").drop("_number")
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 100 bytes or more that start earlier in the corpus."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    found = suffix_dedup.deduplicate(docs, length=100, carry=tuple(rest) or ("doc_id",))
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")} | {c: F.col(f"carried.`{c}`") for c in rest}
+    return found.select(*(columns[c].alias(c) for c in docs.columns))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an item of the benchmark or an edited copy of one."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return _rows(docs, found.select(_did(), "tie"), "left_anti")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """The pieces of all documents, each with its sequence and offset."""
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(docs, tokenizer_path)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The alignment and the index are not expressible in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs, name)
+    return docs

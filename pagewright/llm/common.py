@@ -77,15 +77,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns (doc_id, text) of any table, other columns left out, so that no name can clash."""
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
+    """Columns (doc_id, tie, text) of any table and those of ``more``; others are left out, so that no name can clash.
+
+    ``tie`` is a hash of the text that tells rows of one id apart.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"), text.alias("text"), *(c.alias(n) for n, c in more.items()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def tie(text: str = "text") -> Column:
-    """Tells rows of one id apart by their text."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

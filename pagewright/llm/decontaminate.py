@@ -169,7 +169,7 @@ def _match_maker(block: Broadcast, least: float):
                         if found[0] >= least * size:
                             for to, x in zip(out, (row, items.ids[k], found[0] / size, found[3] + found[1], found[3] + found[2]), strict=True):
                                 to.append(x)
-                yield {"doc_id": column(b, "doc_id").take(pa.array(out[0], pa.int64()))} | dict(zip(("item_id", "score", "first_word", "end_word"), out[1:], strict=True))
+                yield {c: column(b, c).take(pa.array(out[0], pa.int64())) for c in ("doc_id", "tie")} | dict(zip(("item_id", "score", "first_word", "end_word"), out[1:], strict=True))
 
         return run
 
@@ -177,7 +177,7 @@ def _match_maker(block: Broadcast, least: float):
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, n: int = 3, least: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word): documents that hold an item or an edited copy of it.
+    """(doc_id, tie, item_id, score, first_word, end_word): documents that hold an item or an edited copy of it.
 
     ``score`` is the alignment's score over the item's words, 1.0 for a whole copy; rows reach
     ``least``. Word positions are those of the best copy in the document. Null texts hold nothing,
@@ -192,9 +192,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         block = spark.sparkContext.broadcast(items)
         counts = arrow_map(docs, _count_maker(block), "code long, df long").groupBy("code").agg(F.sum("df").alias("df")).collect()  # at most BLOCK_WORDS rows
         rare = rare_seeds(items, {r["code"]: r["df"] for r in counts})
-        part = cut(arrow_map(docs, _match_maker(spark.sparkContext.broadcast((items, rare)), least), "doc_id long, item_id long, score double, first_word long, end_word long"), "contaminated")
+        part = cut(arrow_map(docs, _match_maker(spark.sparkContext.broadcast((items, rare)), least), "doc_id long, tie long, item_id long, score double, first_word long, end_word long"), "contaminated")
         found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long") if found is None else found
+    return spark.createDataFrame([], "doc_id long, tie long, item_id long, score double, first_word long, end_word long") if found is None else found
 
 
 def rare_seeds(items: Items, df: dict[int, int]) -> np.ndarray:

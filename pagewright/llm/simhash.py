@@ -52,17 +52,17 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, tie, fp): the fingerprint as a signed long for every row of ``docs`` (doc_id, text)."""
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
                 fps = np.array([fingerprint(t, shingle) for t in texts(b)], np.uint64).view(np.int64)
-                yield {"doc_id": column(b, "doc_id"), "fp": pa.array(fps)}
+                yield {"doc_id": column(b, "doc_id"), "tie": column(b, "tie"), "fp": fps}
 
         return run
 
-    return arrow_map(docs, make, "doc_id long, fp long")
+    return arrow_map(docs, make, "doc_id long, tie long, fp long")
 
 
 def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,7 +170,7 @@ def links(distinct: DataFrame, distance: int, segments: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, distance: int = 7, segments: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: its fingerprint and the smallest id it reaches over links.
+    """(doc_id, tie, fp, component_id) for every row: its fingerprint and the smallest id it reaches over links.
 
     Null texts and texts without words have fingerprint 0, which links like any other. Null ids
     keep their row; a component takes the smallest id that isn't null. Repeated rows stay repeated.
@@ -183,4 +183,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "root2")
     ids = cut(named.join(smallest, F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), "component_id"), "components")
-    return docs.join(ids, docs.fp == ids.fp2).select("doc_id", "fp", "component_id")
+    return docs.join(ids, docs.fp == ids.fp2).select("doc_id", "tie", "fp", "component_id")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, cut, keyed, prepare, texts, tie
+from pagewright.llm.common import arrow_map, column, cut, keyed, prepare, texts
 
 #: Bytes of the n-grams whose hashes name pieces.
 GRAM = 32
@@ -390,7 +390,7 @@ def covered(text: bytes, starts: list, sizes: list, length: int) -> list[tuple[i
     return out
 
 
-def _cut_maker(length: int):
+def _cut_maker(length: int, carried: str | None):
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
@@ -405,27 +405,30 @@ def _cut_maker(length: int):
                     at.append([{"first": a, "end": z} for a, z in cuts])
                     kept.append(rest.decode("utf-8", "ignore"))
                     digest.append(hashlib.sha256(rest).hexdigest())
-                yield {"doc_id": column(b, "doc_id"), "tie": column(b, "tie"), "n_bytes": [len(t) for t in text], "n_removed": removed, "n_spans": spans, "kept_sha256": digest, "spans": at, "kept_text": kept}
+                out = {"doc_id": column(b, "doc_id"), "tie": column(b, "tie"), "n_bytes": [len(t) for t in text], "n_removed": removed, "n_spans": spans, "kept_sha256": digest, "spans": at, "kept_text": kept}
+                yield out | ({"carried": column(b, "carried")} if carried else {})
 
         return run
 
-    return arrow_map_of(make, "doc_id long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,end:long>>, kept_text string")
+    return arrow_map_of(make, "doc_id long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,end:long>>, kept_text string" + (f", carried {carried}" if carried else ""))
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100) -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove from each text the bytes covered by a ``length``-byte string that also starts earlier.
 
     Earlier means a smaller id, or the same document and a smaller start; null ids come first, and
     different texts of one id are ordered by their hash. Returns doc_id, tie (the text's hash),
     n_bytes, n_removed, n_spans, kept_sha256, spans (removed stretches, in bytes) and kept_text
-    (what is left; a character that loses some of its bytes loses them all). Null texts count as
-    empty. Equal rows of the table (same id and text) are one document, whose result each of them
-    gets. Texts shorter than ``length`` stay whole. An empty table gives no rows.
+    (what is left; a character that loses some of its bytes loses them all), and with ``carry`` a
+    struct ``carried`` of these columns. Null texts count as empty. Equal rows of the table (same
+    id and text) are one document, whose result each of them gets. Texts shorter than ``length``
+    stay whole. An empty table gives no rows.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
     prepare(df.sparkSession)
-    docs = keyed(df, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), tie().alias("tie"), "text")
+    extra = {"carried": F.struct(*(F.col(f"`{c}`") for c in carry))} if carry else {}
+    docs = keyed(df, id_col, text_col, did=F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))), **extra)
     found = _anchor_maker(length)(docs.select("did", "tie", "text"))
     # Rows that only accompany another of their batch go anywhere.
     found = found.withColumn("to", F.when(F.col("known"), F.xxhash64("did", "start")).otherwise(F.col("key")))
@@ -436,4 +439,5 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     data = data.withColumn("to", F.when(F.col("bytes").isNull(), F.xxhash64("did", "start")).otherwise(F.col("key")))
     marks = cut(_mark_maker(length)(data.repartition("to").sortWithinPartitions("key").drop("to")), "marks")
     per_doc = marks.groupBy("did", "tie").agg(F.collect_set(F.struct("start", "size")).alias("marks"))
-    return _cut_maker(length)(docs.join(per_doc, ["did", "tie"], "left").select("doc_id", "tie", "text", "marks"))
+    carried = docs.schema["carried"].dataType.simpleString() if carry else None
+    return _cut_maker(length, carried)(docs.join(per_doc, ["did", "tie"], "left").drop("did"))
