@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontaminate, packing, quality, simhash, suffix_dedup
-from pagewright.llm.common import table
+from pagewright.llm import decontaminate, html_text, packing, quality, simhash, suffix_dedup, warc
+from pagewright.llm.common import shared_dir, table
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +36,37 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("tie")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    header = F.col("headers")
+    stored = header["warc-type"] == "response"
+    return (
+        warc.read_archives(spark, path)
+        .where("kind = 'record'")
+        .select(
+            header["x-page-id"].cast("long").alias("page_id"),
+            F.when(stored, F.octet_length("payload")).otherwise(header["x-payload-length"]).cast("long").alias("payload_bytes"),
+            F.when(stored, F.sha2("payload", 256)).otherwise(F.substring_index(header["warc-payload-digest"], ":", -1)).alias("payload_digest"),
+            header["warc-type"].alias("record_type"),
+            header["x-refers-to-page-id"].cast("long").alias("refers_to"),
+        )
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4, segments=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_packing, op4_suffix_dedup, op5_quality, op7_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_packing, op4_suffix_dedup, op5_quality, op6_warc, op7_simhash)}
+#: Queries that SQL can express; tests hold the others against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM p GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM p JOIN f USING (payload_digest)""",
+}
