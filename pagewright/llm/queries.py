@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontaminate, html_text, packing, quality, simhash, suffix_dedup, warc
+from pagewright.llm import decontaminate, html_text, language, packing, pseudo_likelihood, quality, repetition, simhash, suffix_dedup, warc
 from pagewright.llm.common import shared_dir, table
 
 
@@ -59,7 +59,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_packing, op4_suffix_dedup, op5_quality, op6_warc, op7_simhash)}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
+
+
+def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_packing, op4_suffix_dedup, op5_quality, op6_warc, op7_simhash, op8_language, op9_pseudo_likelihood, op10_repetition)}
 #: Queries that SQL can express; tests hold the others against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": """
