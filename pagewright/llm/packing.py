@@ -15,6 +15,8 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pagewright.llm.common import arrow_map, column, cut, keyed, prepare, texts
 
 #: Ranks of one length are counted in so many parts, so that a frequent length is no single task's.
 SALTS = 64
-#: Entries of a worker's word cache; a full one starts anew.
+#: Entries of a worker's word cache; a full one takes no more words.
 CACHE = 1_000_000
 #: Where splitting at white space could differ from the tokenizer's own view of the whole text.
 _WHOLE = re.compile("<\\||[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
@@ -50,24 +52,30 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
     def __call__(self, batch: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache = {}
         cache, whole = self.cache, [bool(_WHOLE.search(t)) for t in batch]
         split = [None if w else t.split() for t, w in zip(batch, whole, strict=True)]
         new = list({w for words in split if words for w in words}.difference(cache))
         for k in range(0, len(new), 50_000):
             part = new[k : k + 50_000]
             cache.update(zip(part, self._encode(part), strict=True))
+        if len(cache) > CACHE:
+            self.cache = dict(islice(cache.items(), CACHE))
         rest = iter(self._encode([t for t, w in zip(batch, whole, strict=True) if w]))
         return [next(rest) if words is None else b"".join(map(cache.__getitem__, words)) for words in split]
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, salt): the cut documents of ``docs`` (doc_id, text)."""
     end = int(end_id).to_bytes(4, "little")
 
     def make():
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             salt = 0
