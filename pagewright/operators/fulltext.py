@@ -21,7 +21,7 @@ def postings(segments: DataFrame, key: str = "segment_id", body: str = "body") -
     Equal terms of a segment are brought together by a map from the array itself, so the only rows
     that leave a task are one per segment and distinct term.
     """
-    numbered = F.transform(tx.terms(F.col(body)), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
+    numbered = F.transform(tx.terms(F.col(body)), lambda t, i: F.named_struct(F.lit("term"), t, F.lit("position"), i))
     rows = segments.select(key, F.explode(F.array_distinct(tx.terms(F.col(body)))).alias("term"), numbered.alias("all"))
     found = F.transform(F.filter("all", lambda x: x["term"] == F.col("term")), lambda x: x["position"])
     return rows.select("term", key, found.alias("positions")).select("term", key, F.size("positions").alias("tf"), "positions")

@@ -173,10 +173,14 @@ class Index:
         for k, more in enumerate(own[1:], 1):
             rows = rows.join(more.select("segment_id", F.col("positions").alias(f"p{k}")), "segment_id")
         # Places where each next term stands behind the first, up to the slop.
+        def behind(k: int, p: Column) -> Column:
+            return F.exists(f"p{k}", lambda q: F.abs(q - p - k) <= node.slop)
+
         def near(p: Column) -> Column:
-            return F.forall(
-                F.array(*(F.exists(f"p{k}", lambda q, k=k: F.abs(q - p - k) <= node.slop) for k in range(1, len(own)))), lambda ok: ok
-            )
+            out = behind(1, p)
+            for k in range(2, len(own)):
+                out = out & behind(k, p)
+            return out
 
         found = rows.select("segment_id", F.size(F.filter("p0", near)).alias("tf")).where("tf > 0")
         idf = sum((fulltext.idf(F.lit(float(self.n)), F.lit(float(p.count()))) for p in own), F.lit(0.0))

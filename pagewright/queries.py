@@ -123,7 +123,8 @@ def hybrid(spark, sf_dir):
     words = bm25_top(spark, sf_dir)
     near = knn(spark, sf_dir).withColumnRenamed("vec_id", "doc_id")
     fused = fusion.fuse(words, near, "doc_id", limit=TOP)
-    return fused.select("doc_id", "bm25_rank", "vector_rank", F.round("fused_score", 9).alias("fused_score"), F.col("fused_rank").cast("long").alias("fused_rank"))
+    ranks = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("bm25_rank", "vector_rank"))
+    return fused.select("doc_id", *ranks, F.round("fused_score", 9).alias("fused_score"), F.col("fused_rank").cast("long").alias("fused_rank"))
 
 
 def _turns(spark, sf_dir):
@@ -287,7 +288,7 @@ ORACLE_SQL: dict[str, str] = {
         p AS (SELECT doc_id, unnest(w) AS a, unnest(list_slice(w, 2, len(w))) AS b FROM l) SELECT doc_id, count(*) AS tf FROM p WHERE a = 'under' AND b = 'the' GROUP BY doc_id""",
     "knn": f"WITH {_VECS}, {_NEAR} SELECT vec_id, vector_score, vector_rank FROM near",
     "knn_batch": f"WITH {_VECS} SELECT b.vec_id AS query_id, a.vec_id, round({_COSINE}, 6) AS vector_score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COSINE} DESC, a.vec_id) AS vector_rank FROM vecs a, vecs b WHERE b.vec_id % 20 = 0 QUALIFY vector_rank <= 5",
-    "hybrid": f"WITH {_WORDS}, {_SCORED}, {_BEST}, {_VECS}, {_NEAR}, fused AS (SELECT coalesce(best.doc_id, near.vec_id) AS doc_id, bm25_rank, vector_rank, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0) AS s FROM best FULL JOIN near ON best.doc_id = near.vec_id) SELECT doc_id, bm25_rank, vector_rank, round(s, 9) AS fused_score, row_number() OVER (ORDER BY s DESC, doc_id) AS fused_rank FROM fused QUALIFY fused_rank <= {TOP}",
+    "hybrid": f"WITH {_WORDS}, {_SCORED}, {_BEST}, {_VECS}, {_NEAR}, fused AS (SELECT coalesce(best.doc_id, near.vec_id) AS doc_id, bm25_rank, vector_rank, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0) AS s FROM best FULL JOIN near ON best.doc_id = near.vec_id) SELECT doc_id, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(vector_rank, 0) AS vector_rank, round(s, 9) AS fused_score, row_number() OVER (ORDER BY s DESC, doc_id) AS fused_rank FROM fused QUALIFY fused_rank <= {TOP}",
     "block_resolution": f"""WITH {_TURNS}, sizes AS (SELECT doc_id, max(span_end) AS size FROM blocks GROUP BY doc_id),
         hits AS (SELECT doc_id, size, unnest(range(0, greatest(size - 1, 0) + 1, 100)) AS s FROM sizes),
         o AS (SELECT h.doc_id * 1000000 + h.s AS hit, h.doc_id, b.block_idx, least(s + 100, size, b.span_end) - greatest(s, b.span_start) AS shared FROM hits h LEFT JOIN blocks b ON h.doc_id = b.doc_id AND b.span_start < least(s + 100, size) AND s < b.span_end)
