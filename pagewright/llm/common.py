@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,12 +42,15 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     The lineage ends there: a lost executor costs a read of the files, not a new run of what
-    came before. The garbage collection lets Spark remove shuffle files of earlier cuts.
+    came before. Spark removes the shuffle files behind once their plan is collected, which takes
+    two collections and a moment for its cleaner.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     return spark.read.schema(df.schema).parquet(path)
 
 

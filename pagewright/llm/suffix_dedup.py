@@ -4,14 +4,17 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier.
 that length have the same least n-gram hash (their minimizer), so every start of a text belongs to
 one minimizer, and starts of one minimizer that stand in a row form a piece. The steps are:
 
-1. Pieces are found in each text and named by minimizer; a minimizer seen once cannot repeat.
-2. The bytes of pieces with a repeated minimizer are brought together by minimizer.
-3. There a run-length index is built over the distinct pieces, each piece is streamed through it,
-   and starts whose match is long enough and starts earlier are marked.
+1. Pieces are found in each text and named by minimizer and by a hash of their bytes. Of equal
+   pieces all but the earliest are repeats throughout. A minimizer with one piece cannot repeat.
+2. The bytes of the distinct pieces that share a minimizer with others are brought together.
+3. There a run-length index is built over the distinct stretches of them whose strings' hashes occur
+   again, each is streamed through it, and starts whose match is long enough and starts earlier are
+   marked.
 4. The marks return to their documents, which cut out the covered bytes.
 
-Within a task's batch, repeats of a minimizer or of a piece are settled at once and do not travel
-with the others, so that a passage in a third of all documents loads no single task.
+Within a task's batch equal pieces are settled at once, and pieces of a minimizer that is frequent
+there are dealt out by their hash, so that a passage in a third of all documents loads no single
+task.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from pagewright.llm.common import arrow_map, column, cut, keyed, prepare, texts
 GRAM = 32
 #: Starts in one piece, at most.
 PIECE = 64
-#: An index is built once so many bytes of pieces are there. With the batch that completes them they stay below the 2^20 symbols that packed sort keys allow.
-CHUNK = 300_000
+#: Different pieces of a minimizer in one batch from which it counts as frequent.
+FREQUENT = 8
+#: An index is built once so many bytes of pieces are there.
+CHUNK = 1_500_000
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -48,18 +53,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def gram_hashes(text: np.ndarray, k: int = GRAM) -> np.ndarray:
-    """Hash of the ``k`` bytes at each position."""
-    up, down = _powers(len(text))
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    h = (sums[k:] - sums[:-k]) * down[: len(text) - k + 1]
-    h ^= h >> np.uint64(31)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     return h
 
 
+class Hashes:
+    """Hashes of any stretches of a text, from prefix sums of a polynomial modulo 2^64."""
+
+    def __init__(self, text: bytes):
+        self.n = len(text)
+        up, self.down = _powers(self.n + 1)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum((np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: self.n], out=self.sums[1:])
+
+    def grams(self, k: int = GRAM) -> np.ndarray:
+        """Hash of the ``k`` bytes at each position."""
+        return _mixed((self.sums[k:] - self.sums[:-k]) * self.down[: self.n - k + 1])
+
+    def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[end] - self.sums[first]) * self.down[first] + (end - first).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` neighbours."""
     size = 1
@@ -69,13 +86,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def pieces_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first start, number of starts, and whether starts may repeat inside it, of each piece.
+def pieces_of(text: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """Minimizer, hash of the bytes, first start, number of starts, and whether starts may repeat inside, of each piece.
 
     The text has ``length`` or more bytes. Equal strings at two starts of one piece have their
     leftmost minimizer at two places, so the piece goes on behind the first of them.
     """
-    h = gram_hashes(np.frombuffer(text, np.uint8))
+    hashes = Hashes(text)
+    h = hashes.grams()
     least = sliding_min(h, length - GRAM + 1)
     goes_on = least[1:] == least[:-1]
     first = np.flatnonzero(np.r_[True, ~goes_on])
@@ -87,7 +105,7 @@ def pieces_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         size = np.minimum(PIECE, end - first)
     inside = np.zeros(len(first), bool)
     inside[np.searchsorted(first, np.flatnonzero(goes_on & (h[: len(least) - 1] == least[:-1])), "right") - 1] = True
-    return least[first].view(np.int64), first, size, inside
+    return least[first].view(np.int64), hashes.of(first, first + size + length - 1).view(np.int64), first, size, inside
 
 
 class RunIndex:
@@ -210,8 +228,35 @@ def runs_of(piece: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key[first] // 4096, key[first] % 4096, np.diff(np.r_[first, len(key)])
 
 
+def arrow_map_of(make, schema: str):
+    return lambda df: arrow_map(df, make, schema)
+
+
+#: How a piece travels: to its minimizer; there, and known to need its bytes; as one of a frequent minimizer; a repeat of an earlier one.
+PLAIN, SEVERAL, HOT, SETTLED = range(4)
+
+
+def batch_modes(did: np.ndarray, tie: np.ndarray, key: np.ndarray, piece: np.ndarray, start: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Modes of the pieces of one batch."""
+    by = np.lexsort((start, tie, did, piece, key))
+    k, p = key[by], piece[by]
+    new_key = np.r_[True, k[1:] != k[:-1]]
+    new = new_key | np.r_[True, p[1:] != p[:-1]]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    # A repeated row of the table is no earlier start.
+    later = (did[by] != did[by][first]) | (tie[by] != tie[by][first]) | (start[by] != start[by][first])
+    kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
+    # One piece of a frequent minimizer goes to it, so that its other pieces there know of more.
+    rest = np.cumsum(new) != np.maximum.accumulate(np.where(new_key, np.cumsum(new), 0))
+    mode = np.where((kinds >= FREQUENT) & rest, HOT, np.where((kinds > 1) | inside[by], SEVERAL, PLAIN))
+    mode[later] = SETTLED
+    out = np.empty(len(by), np.int8)
+    out[by] = mode
+    return out
+
+
 def _anchor_maker(length: int):
-    """Rows of pieces. ``known``: repeated for certain, and another row of the minimizer travels for it."""
+    """Rows of pieces with their modes."""
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -224,49 +269,52 @@ def _anchor_maker(length: int):
                 if not rows:
                     continue
                 row = np.concatenate(rows)
-                key, start, size, several = map(np.concatenate, zip(*found, strict=True))
-                by = np.argsort(key, kind="stable")
-                again = np.empty(len(key), bool)
-                again[by] = np.r_[False, key[by][1:] == key[by][:-1]]
-                several |= again
-                several[by[:-1]] |= again[by[1:]]
-                at = pa.array(row, pa.int64())
-                yield {"did": column(b, "did").take(at), "tie": column(b, "tie").take(at), "key": key, "start": start, "size": size, "several": several, "known": again}
+                key, piece, start, size, inside = map(np.concatenate, zip(*found, strict=True))
+                did, tie = (column(b, c).to_numpy()[row] for c in ("did", "tie"))
+                yield {"did": did, "tie": tie, "key": key, "piece": piece, "start": start, "size": size, "mode": batch_modes(did, tie, key, piece, start, inside)}
 
         return run
 
-    return arrow_map_of(make, "did long, tie long, key long, start int, size int, several boolean, known boolean")
-
-
-def arrow_map_of(make, schema: str):
-    return lambda df: arrow_map(df, make, schema)
+    return arrow_map_of(make, "did long, tie long, key long, piece long, start int, size int, mode byte")
 
 
 def _repeat_maker():
-    """Rows sorted by key: keeps those whose minimizer occurs more than once."""
+    """Rows sorted by minimizer, piece and place: repeats, and earliest pieces (``needed``) whose minimizer has others."""
 
     def make():
         names = ("did", "tie", "key", "start", "size")
+        place = ("did", "tie", "start")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-            before: dict | None = None  # the last row, of which the next decides
+            held: dict | None = None  # the earliest of the last piece; the next piece decides on it
             for b in batches:
-                now = {c: column(b, c).to_numpy(zero_copy_only=False) for c in (*names, "several")}
-                if before is not None:
-                    now = {c: np.concatenate((before[c], now[c])) for c in now}
-                equal = now["key"][1:] == now["key"][:-1]
-                keep = now["several"] | np.r_[False, equal] | np.r_[equal, False]
-                before = {c: x[-1:].copy() for c, x in now.items()}
-                before["several"] = keep[-1:].copy()
-                keep[-1] = False
-                if keep.any():
-                    yield {c: now[c][keep] for c in names}
-            if before is not None and before["several"][0]:
-                yield {c: before[c] for c in names}
+                now = {c: column(b, c).to_numpy() for c in (*names, "piece", "mode")}
+                settled = now["mode"] == SETTLED
+                if settled.any():
+                    yield {c: now[c][settled] for c in names} | {"needed": np.zeros(settled.sum(), bool)}
+                    now = {c: x[~settled] for c, x in now.items()}
+                now["needed"] = now["mode"] != PLAIN
+                if not len(now["key"]):
+                    continue
+                if held is not None:
+                    now = {c: np.concatenate((held[c], now[c])) for c in now}
+                new = np.r_[True, (now["key"][1:] != now["key"][:-1]) | (now["piece"][1:] != now["piece"][:-1])]
+                at = np.flatnonzero(new)
+                first = at[np.cumsum(new) - 1]
+                later = np.logical_or.reduce([now[c] != now[c][first] for c in place])
+                key, needed = now["key"][at], np.logical_or.reduceat(now["needed"], at)
+                same = key[1:] == key[:-1]
+                needed |= np.r_[False, same] | np.r_[same, False]
+                held = {c: x[at[-1:]].copy() for c, x in now.items()} | {"needed": needed[-1:].copy()}
+                out = np.concatenate((np.flatnonzero(later), at[:-1][needed[:-1]]))
+                if len(out):
+                    yield {c: now[c][out] for c in names} | {"needed": np.arange(len(out)) >= later.sum()}
+            if held is not None and held["needed"][0]:
+                yield {c: held[c] for c in (*names, "needed")}
 
         return run
 
-    return arrow_map_of(make, "did long, tie long, key long, start int, size int")
+    return arrow_map_of(make, "did long, tie long, key long, start int, size int, needed boolean")
 
 
 _PIECE_SCHEMA = "did long, tie long, key long, start int, size int, bytes binary"
@@ -301,37 +349,65 @@ def _bytes_maker(length: int):
     return arrow_map_of(make, _PIECE_SCHEMA)
 
 
+def again(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first start, number of starts) of the stretches of starts whose string's hash occurs again among the pieces."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    count = size - length + 1
+    piece = np.repeat(np.arange(len(pieces)), count)
+    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = (np.cumsum(size) - size)[piece] + start
+    mask = np.uint64((1 << int(len(at)).bit_length()) - 1)
+    h = Hashes(b"".join(pieces)).of(at, at + length) & ~mask | np.arange(len(at), dtype=np.uint64)
+    h.sort()
+    same = (h[1:] & ~mask) == (h[:-1] & ~mask)
+    repeated = np.zeros(len(at), bool)
+    repeated[(h & mask).astype(np.int64)] = np.r_[False, same] | np.r_[same, False]
+    return runs_of(piece[repeated], start[repeated])
+
+
 def marks_of(did: np.ndarray, tie_: np.ndarray, start: np.ndarray, size: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first start, number of starts) of the starts in pieces that also start earlier among these pieces."""
     order = np.lexsort((start, tie_, did))
-    rank = np.empty(len(order), np.int64)
     same = np.r_[False, (np.diff(did[order]) == 0) & (np.diff(tie_[order]) == 0) & (np.diff(start[order]) == 0)]
+    rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(~same) - 1  # equal rows of the table start equally early
-    classes: dict[bytes, int] = {}
-    whole, first = [], []
+    earliest: dict[bytes, int] = {}
+    whole, first, twins = [], [], {}
     for i in order.tolist():
-        k = classes.setdefault(data[i], i)
+        k = earliest.setdefault(data[i], i)
         if k == i:
             first.append(i)
         elif rank[k] < rank[i]:
             whole.append(i)
-    index = RunIndex([data[i] for i in first], rank[first], length)
-    piece, at, n = runs_of(*index.stream())
-    own = np.array(first, np.int64)[piece]
-    twins = {}
-    for i in order.tolist():
-        k = classes[data[i]]
-        if k != i and rank[k] == rank[i]:
+        else:
             twins.setdefault(k, []).append(i)
-    rows, ats, ns = [own], [start[own] + at], [n]
-    for k, others in twins.items():
-        mine = own == k
-        for i in others:
-            rows.append(np.full(mine.sum(), i))
-            ats.append(start[own][mine] + at[mine])
-            ns.append(n[mine])
-    w = np.array(whole, np.int64)
-    return np.concatenate((*rows, w)), np.concatenate((*ats, start[w])), np.concatenate((*ns, size[w]))
+    rows, ats, ns = [np.array(whole, np.int64)], [start[whole]], [size[whole]]
+
+    def mark(row: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        rows.append(row)
+        ats.append(start[row] + at)
+        ns.append(n)
+
+    # Stretches of repeated starts, in the order of their places; equal ones are one in the index.
+    piece, at, n = again([data[i] for i in first], length)
+    own = np.array(first, np.int64)[piece]
+    distinct: dict[bytes, int] = {}
+    kept, repeats = [], []
+    for j, (i, a, m) in enumerate(zip(own.tolist(), at.tolist(), n.tolist(), strict=True)):
+        (kept if distinct.setdefault(data[i][a : a + m - 1 + length], j) == j else repeats).append(j)
+    marks = [(own[repeats], at[repeats], n[repeats])]
+    if kept:
+        index = RunIndex(list(distinct), np.arange(len(kept)), length)
+        k, inner, m = runs_of(*index.stream())
+        j = np.array(kept, np.int64)[k]
+        marks.append((own[j], at[j] + inner, m))
+    for row, a, m in marks:
+        mark(row, a, m)
+        for k, others in twins.items():
+            mine = row == k
+            for i in others if mine.any() else ():
+                mark(np.full(mine.sum(), i), a[mine], m[mine])
+    return np.concatenate(rows), np.concatenate(ats), np.concatenate(ns)
 
 
 def _mark_maker(length: int):
@@ -429,15 +505,19 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     prepare(df.sparkSession)
     extra = {"carried": F.struct(*(F.col(f"`{c}`") for c in carry))} if carry else {}
     docs = keyed(df, id_col, text_col, did=F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))), **extra)
-    found = _anchor_maker(length)(docs.select("did", "tie", "text"))
-    # Rows that only accompany another of their batch go anywhere.
-    found = found.withColumn("to", F.when(F.col("known"), F.xxhash64("did", "start")).otherwise(F.col("key")))
-    repeated = cut(_repeat_maker()(found.repartition("to").sortWithinPartitions("key").drop("to", "known")), "repeated")
-    of_doc = repeated.groupBy("did", "tie").agg(F.collect_set(F.struct("start", "size", "key")).alias("pieces"))
-    with_text = docs.select("did", "tie", "text").join(of_doc, ["did", "tie"])
-    data = _bytes_maker(length)(with_text)
-    data = data.withColumn("to", F.when(F.col("bytes").isNull(), F.xxhash64("did", "start")).otherwise(F.col("key")))
-    marks = cut(_mark_maker(length)(data.repartition("to").sortWithinPartitions("key").drop("to")), "marks")
-    per_doc = marks.groupBy("did", "tie").agg(F.collect_set(F.struct("start", "size")).alias("marks"))
+    # Where no id has two texts, ids alone tell documents apart, and no hash need travel with each piece.
+    if docs.groupBy("did").agg(F.min("tie").alias("a"), F.max("tie").alias("z")).where("a <> z").isEmpty():
+        docs = docs.withColumn("order", F.lit(0).cast("long"))
+    else:
+        docs = docs.withColumn("order", F.col("tie"))
+    key = docs.select("did", F.col("order").alias("tie"), "text")
+    to = F.when(F.col("mode") == SETTLED, F.xxhash64("did", "start")).when(F.col("mode") == HOT, F.xxhash64("key", "piece")).otherwise(F.col("key"))
+    repeated = cut(_repeat_maker()(_anchor_maker(length)(key).repartition(to).sortWithinPartitions("key", "piece", "did", "tie", "start")), "repeated")
+    of_doc = repeated.where("needed").groupBy("did", "tie").agg(F.collect_set(F.struct("start", "size", "key")).alias("pieces"))
+    data = cut(_bytes_maker(length)(key.join(of_doc, ["did", "tie"])), "bytes")
+    to = F.when(F.col("bytes").isNull(), F.xxhash64("did", "start")).otherwise(F.col("key"))
+    marks = cut(_mark_maker(length)(data.repartition(to).sortWithinPartitions("key")), "marks")
+    marks = marks.unionByName(repeated.where("not needed").select("did", "tie", "start", "size"))
+    per_doc = marks.groupBy("did", "tie").agg(F.collect_set(F.struct("start", "size")).alias("marks")).withColumnRenamed("tie", "order")
     carried = docs.schema["carried"].dataType.simpleString() if carry else None
-    return _cut_maker(length, carried)(docs.join(per_doc, ["did", "tie"], "left").drop("did"))
+    return _cut_maker(length, carried)(docs.join(per_doc, ["did", "order"], "left").drop("did", "order"))
