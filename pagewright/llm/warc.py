@@ -1,13 +1,14 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damaged files.
 
-Records are built by SQL expressions and written through Spark's own text sink, so that archives
-can lie in any store Spark writes to. The reader checks every record (version line, headers,
+Records are built by SQL expressions, compressed as one gzip member each, and written through
+Spark's own text sink, so that archives can lie in any store Spark writes to. The reader checks every record (version line, headers,
 length, end, block digest). Where a check fails it searches on for the next version line or gzip
 member that passes all of them, and logs the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, prepare
+from pagewright.llm.common import arrow_map, column, prepare, texts
 
 #: Payloads of fewer bytes are always stored.
 LEAST_BYTES = 100
@@ -109,7 +110,7 @@ def salvage_plain(data: bytes, base: int = 0) -> Salvaged:
 
 
 def salvage_gzip(data: bytes) -> Salvaged:
-    """Records of gzip members; a member counts only if it is whole and all of its bytes are records."""
+    """Records of gzip members; a member counts only if it is whole and all of its bytes are records. Empty members are skipped."""
     out, at, lost, reason = Salvaged(), 0, -1, ""
     while at < len(data):
         inflate, found, why = zlib.decompressobj(31), None, "no gzip member"
@@ -117,10 +118,10 @@ def salvage_gzip(data: bytes) -> Salvaged:
             try:
                 plain = inflate.decompress(data[at:])
                 found = salvage_plain(plain) if inflate.eof else None
-                why = "member does not end" if found is None else found.gaps[0].reason if found.gaps else "empty member"
+                why = "member does not end" if found is None else found.gaps[0].reason if found.gaps else "no record"
             except zlib.error as e:
                 why = f"member fails: {e}"
-        if found and found.records and not found.gaps:
+        if found and (found.records or not plain) and not found.gaps:
             size = len(data) - at - len(inflate.unused_data)
             if lost >= 0:
                 out.gaps.append(Gap(lost, at - lost, reason))
@@ -149,7 +150,7 @@ def _headers(pairs: list[tuple[str, Column]]) -> Column:
 
 
 def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least_bytes: int = LEAST_BYTES, date: str = DATE) -> DataFrame:
-    """(record): one WARC record as text for each row, without the last line end.
+    """(record): one WARC record as text for each row, without its last line end.
 
     Of payloads that are equal by SHA-256 and have ``least_bytes`` or more bytes, the one with the
     smallest id is a response, the others are revisits of it. Rows equal in id and payload are
@@ -185,9 +186,35 @@ def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     return pages.select(F.concat(_headers(pairs), block, F.lit(CRLF)).alias("record"))
 
 
+_EMPTY = gzip.compress(b"", 1, mtime=0)
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member, or two of which the second is empty, that ends with a zero byte.
+
+    The last four bytes are the size, so that those of a member of fewer than 16 MB end with zero.
+    """
+    out = gzip.compress(record, 1, mtime=0)
+    return out if out.endswith(b"\0") else out + _EMPTY
+
+
 def write_archives(df: DataFrame, path: str, *, records_per_file: int = 2000, **named: str | int) -> None:
-    """Write a record for each row of ``df`` into uncompressed archives under ``path``. See ``records``."""
-    records(df, **named).write.option("lineSep", CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+    """Write a record for each row of ``df`` into gzip archives under ``path``. See ``records``.
+
+    The text sink writes the bytes of a row as they are and a line end behind each. The line end is
+    the zero byte that every member ends with, so the files are nothing but members.
+    """
+    prepare(df.sparkSession)
+
+    def make():
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for b in batches:
+                yield {"member": [member(r + b"\r\n")[:-1] for r in texts(b, "record")]}
+
+        return run
+
+    members = arrow_map(records(df, **named), make, "member binary").select(F.col("member").cast("string"))
+    members.write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
