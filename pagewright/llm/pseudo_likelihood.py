@@ -31,8 +31,9 @@ SIDE = 2
 HIDDEN = 16
 #: Each round trains on another part of the documents, so that together they cover all.
 ROUNDS = 2
-STEP = 2048
-RATE = 0.01
+#: Tokens that are scored, and that are learned from, at once.
+STEP, LEARN = 2048, 512
+RATE = 0.02
 _PUNCTUATION = b".,;:!?\"'()"
 #: Entries of a worker's table of words.
 KNOWN = 500_000
@@ -97,9 +98,9 @@ class Network:
         return out
 
     def learn(self, tokens: np.ndarray, at: np.ndarray) -> None:
-        """One Adam step for each ``STEP`` of the places."""
-        for k in range(0, len(at), STEP):
-            part = at[k : k + STEP]
+        """One Adam step for each ``LEARN`` of the places."""
+        for k in range(0, len(at), LEARN):
+            part = at[k : k + LEARN]
             around, hidden, p = self._forward(tokens, part)
             np.exp(p, out=p)
             p /= p.sum(1, keepdims=True)
