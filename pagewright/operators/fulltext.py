@@ -16,15 +16,13 @@ def tokens(segments: DataFrame, key: str = "segment_id", body: str = "body") ->
 
 
 def postings(segments: DataFrame, key: str = "segment_id", body: str = "body") -> DataFrame:
-    """(term, segment_id, tf, positions): aggregated inside each row's array before anything is shuffled.
+    """(term, segment_id, tf, positions).
 
-    Equal terms of a segment are brought together by a map from the array itself, so the only rows
-    that leave a task are one per segment and distinct term.
+    All tokens of a segment stand in one row, so the map side already aggregates them to one row per
+    segment and distinct term; only those are shuffled.
     """
-    numbered = F.transform(tx.terms(F.col(body)), lambda t, i: F.named_struct(F.lit("term"), t, F.lit("position"), i))
-    rows = segments.select(key, F.explode(F.array_distinct(tx.terms(F.col(body)))).alias("term"), numbered.alias("all"))
-    found = F.transform(F.filter("all", lambda x: x["term"] == F.col("term")), lambda x: x["position"])
-    return rows.select("term", key, found.alias("positions")).select("term", key, F.size("positions").alias("tf"), "positions")
+    grouped = tokens(segments, key, body).groupBy("term", key).agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    return grouped.select("term", key, F.size("positions").alias("tf"), "positions")
 
 
 def term_counts(segments: DataFrame, key: str = "segment_id", body: str = "body") -> DataFrame:
