@@ -44,11 +44,11 @@ def main() -> None:
     docs = table(spark, SF_DIR, "documents").select("doc_id", "text")
     index = f"file://{shared}/index"
 
-    def build() -> None:
+    def build(index: str = f"file://{shared}/timed") -> None:
         fulltext.postings(docs, "doc_id", "text").select("term", F.col("doc_id").alias("segment_id"), "tf", "positions").repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{index}/postings")
         fulltext.lengths(docs, "doc_id", "text").select(F.col("doc_id").alias("segment_id"), "doc_len").write.mode("overwrite").parquet(f"{index}/lengths")
 
-    build()
+    build(index)
     postings, lens = (spark.read.parquet(f"{index}/{n}") for n in ("postings", "lengths"))
     stats = fulltext.corpus_stats(lens).cache()
     n, avg = stats.first()

@@ -7,6 +7,8 @@ holds several terms is a phrase. Whatever else the text says is a typed error.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -149,11 +151,21 @@ class Index:
 
     def __init__(self, postings: DataFrame, lengths: DataFrame, stats: tuple[int, float], segments: DataFrame):
         self.postings, self.lengths, (self.n, self.avg_len), self.segments = postings, lengths, stats, segments
+        self.df: dict[str, int] = {}
 
-    def _part(self, rows: DataFrame, df: int, tf: Column) -> DataFrame:
-        """Scores of (segment_id, tf) rows of one term or phrase."""
-        value = fulltext.idf(F.lit(float(self.n)), F.lit(float(df))) * fulltext.weight(tf, F.col("doc_len"), F.lit(max(self.avg_len, 1e-9)))
-        return rows.join(self.lengths, "segment_id").select("segment_id", value.alias("score"))
+    def of(self, terms: list[str]) -> Index:
+        """The index cut down to the postings of some terms, with their document frequencies from one job."""
+        rows = self.postings.where(F.col("term").isin(terms)) if terms else self.postings.where("false")
+        out = Index(rows, self.lengths, (self.n, self.avg_len), self.segments)
+        out.df = {r["term"]: r["count"] for r in rows.groupBy("term").count().collect()} if terms else {}
+        return out
+
+    def _idf(self, term: str) -> float:
+        df = self.df.get(term, 0)
+        return math.log(1 + (self.n - df + 0.5) / (df + 0.5))
+
+    def _weight(self) -> Column:
+        return fulltext.weight(F.col("tf"), F.col("doc_len"), F.lit(max(self.avg_len, 1e-9)))
 
     def scores(self, node: Phrase | Keyed | Bool) -> DataFrame:
         """(segment_id, score) of the segments that match."""
@@ -163,15 +175,23 @@ class Index:
             return self._phrase(node)
         return self._bool(node)
 
+    def _words(self, clauses: dict[str, list[int]]) -> DataFrame:
+        """(segment_id, score, clause) of single terms, each with the clauses it stands for: one scan for all of them."""
+        rows = self.postings.where(F.col("term").isin(list(clauses))).join(self.lengths, "segment_id")
+        idf = F.create_map(*(F.lit(x) for t in clauses for x in (t, self._idf(t))))
+        tags = F.create_map(*(x for t, k in clauses.items() for x in (F.lit(t), F.array(*map(F.lit, k)))))
+        return rows.select("segment_id", (idf[F.col("term")] * self._weight()).alias("score"), F.explode(tags[F.col("term")]).alias("clause"))
+
     def _phrase(self, node: Phrase) -> DataFrame:
         if not node.terms:
             return self.segments.where("false").select("segment_id", F.lit(0.0).alias("score"))
+        if len(node.terms) == 1:
+            return self._words({node.terms[0]: [0]}).select("segment_id", "score")
         own = [self.postings.where(F.col("term") == t) for t in node.terms]
-        if len(own) == 1:
-            return self._part(own[0].select("segment_id", "tf"), own[0].count(), F.col("tf"))
         rows = own[0].select("segment_id", F.col("positions").alias("p0"))
         for k, more in enumerate(own[1:], 1):
             rows = rows.join(more.select("segment_id", F.col("positions").alias(f"p{k}")), "segment_id")
+
         # Places where each next term stands behind the first, up to the slop.
         def behind(k: int, p: Column) -> Column:
             return F.exists(f"p{k}", lambda q: F.abs(q - p - k) <= node.slop)
@@ -182,24 +202,30 @@ class Index:
                 out = out & behind(k, p)
             return out
 
-        found = rows.select("segment_id", F.size(F.filter("p0", near)).alias("tf")).where("tf > 0")
-        idf = sum((fulltext.idf(F.lit(float(self.n)), F.lit(float(p.count()))) for p in own), F.lit(0.0))
-        value = idf * fulltext.weight(F.col("tf"), F.col("doc_len"), F.lit(max(self.avg_len, 1e-9)))
-        return found.join(self.lengths, "segment_id").select("segment_id", value.alias("score"))
+        found = rows.select("segment_id", F.size(F.filter("p0", near)).alias("tf")).where("tf > 0").join(self.lengths, "segment_id")
+        return found.select("segment_id", (F.lit(sum(map(self._idf, node.terms))) * self._weight()).alias("score"))
 
     def _bool(self, node: Bool) -> DataFrame:
-        parts = {k: [self.scores(c.node) for c in node.clauses if c.occur == k] for k in ("must", "should", "must_not")}
-        positive = [(p, k) for k in ("must", "should") for p in parts[k]]
-        if not positive:
+        words: dict[str, list[int]] = {}
+        rows: list[DataFrame] = []
+        must = 0
+        for c in (c for c in node.clauses if c.occur != "must_not"):
+            tag = -1
+            if c.occur == "must":
+                tag, must = must, must + 1
+            if isinstance(c.node, Phrase) and len(c.node.terms) == 1:
+                words.setdefault(c.node.terms[0], []).append(tag)
+            else:
+                rows.append(self.scores(c.node).select("segment_id", "score", F.lit(tag).alias("clause")))
+        if words:
+            rows.append(self._words(words))
+        if not rows:
             return self.segments.where("false").select("segment_id", F.lit(0.0).alias("score"))
-        rows = None
-        for i, (p, k) in enumerate(positive):
-            tagged = p.select("segment_id", "score", F.lit(i if k == "must" else -1).alias("clause"))
-            rows = tagged if rows is None else rows.unionByName(tagged)
-        n_must = len(parts["must"])
-        out = rows.groupBy("segment_id").agg(F.sum("score").alias("score"), F.countDistinct(F.when(F.col("clause") >= 0, F.col("clause"))).alias("musts")).where(F.col("musts") == n_must)
-        for p in parts["must_not"]:
-            out = out.join(p.select("segment_id"), "segment_id", "left_anti")
+        out = functools.reduce(DataFrame.unionByName, rows).groupBy("segment_id").agg(F.sum("score").alias("score"), F.array_distinct(F.collect_list(F.when(F.col("clause") >= 0, F.col("clause")))).alias("musts"))
+        if must:
+            out = out.where(F.size("musts") == must)
+        for c in (c for c in node.clauses if c.occur == "must_not"):
+            out = out.join(self.scores(c.node).select("segment_id"), "segment_id", "left_anti")
         return out.select("segment_id", (F.col("score") * node.boost).alias("score"))
 
 
@@ -208,6 +234,5 @@ def search(spark: SparkSession, index: Index, text: str, k: int) -> DataFrame:
     if not text.strip() or k <= 0:
         return spark.createDataFrame([], "segment_id string, bm25_score double, bm25_rank int")
     node = parse(text)
-    wanted = sorted(set(terms_in(node)))
-    pruned = Index(index.postings.where(F.col("term").isin(wanted)) if wanted else index.postings.where("false"), index.lengths, (index.n, index.avg_len), index.segments)
-    return fulltext.top_one(pruned.scores(node).withColumnRenamed("score", "bm25_score"), k, "bm25_score", rank="bm25_rank")
+    cut = index.of(sorted(set(terms_in(node))))
+    return fulltext.top_one(cut.scores(node).withColumnRenamed("score", "bm25_score"), k, "bm25_score", rank="bm25_rank")
