@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Items are cut into overlapping word n-grams. One pass counts, over all documents, how many hold
-each n-gram; an n-gram much more frequent than its item's others is no seed. A second pass joins
-the seeds with the documents' n-grams, and each window around the hits of one item is aligned
-with the item, so that edited and paraphrased copies score by what they still share.
+Items are cut into overlapping word n-grams. One pass over all documents reads their words and
+keeps those documents that hold any of the n-grams, as word numbers. From these it is counted how
+many documents hold each n-gram; an n-gram much more frequent than its item's others is no seed.
+The seeds are then joined with the n-grams of the numbered documents, and each window around the
+hits of one item is aligned with the item, so that edited and paraphrased copies score by what
+they still share.
 
 Items go to the executors in blocks of a bounded size, each block against all documents, so the
 benchmark may be of any size; documents are never shuffled.
@@ -119,6 +121,31 @@ def windows(at: np.ndarray, offset: np.ndarray, size: int, length: int) -> list[
     return [(max(0, int(lo[s])), min(length, int(hi[e - 1]))) for s, e in zip(new, np.r_[new[1:], len(lo)], strict=True)]
 
 
+def _number_maker(block: Broadcast):
+    def make():
+        items: Items = block.value
+        codes = np.unique(items.codes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for b in batches:
+                rows, numbered = [], []
+                for row, t in enumerate(texts(b)):
+                    w = items.numbers(words_of(t))
+                    if len(items.hits(w, codes)[0]):
+                        rows.append(row)
+                        numbered.append(w.astype(np.int32).tobytes())
+                yield {c: column(b, c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "tie")} | {"words": numbered}
+
+        return run
+
+    return make
+
+
+def numbers_in(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The word numbers of each row that the numbering pass kept."""
+    return (np.frombuffer(w, np.int32).astype(np.int64) for w in column(batch, "words").to_pylist())
+
+
 def _count_maker(block: Broadcast):
     def make():
         items: Items = block.value
@@ -127,8 +154,8 @@ def _count_maker(block: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             seen = np.zeros(len(codes), np.int64)
             for b in batches:
-                for t in texts(b):
-                    seen[np.unique(items.hits(items.numbers(words_of(t)), codes)[1])] += 1
+                for w in numbers_in(b):
+                    seen[np.unique(items.hits(w, codes)[1])] += 1
             some = np.flatnonzero(seen)
             yield {"code": codes[some], "df": seen[some]}
 
@@ -147,9 +174,7 @@ def _match_maker(block: Broadcast, least: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
                 out: tuple[list, ...] = [], [], [], [], []
-                for row, t in enumerate(texts(b)):
-                    words = words_of(t)
-                    w = items.numbers(words)
+                for row, w in enumerate(numbers_in(b)):
                     at, k = items.hits(w, unique)
                     if not len(at):
                         continue
@@ -190,9 +215,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     found = None
     for items in blocks(keyed(benchmark, item_col, item_text_col), n):
         block = spark.sparkContext.broadcast(items)
-        counts = arrow_map(docs, _count_maker(block), "code long, df long").groupBy("code").agg(F.sum("df").alias("df")).collect()  # at most BLOCK_WORDS rows
+        numbered = cut(arrow_map(docs, _number_maker(block), "doc_id long, tie long, words binary"), "numbered")
+        counts = arrow_map(numbered, _count_maker(block), "code long, df long").groupBy("code").agg(F.sum("df").alias("df")).collect()  # at most BLOCK_WORDS rows
         rare = rare_seeds(items, {r["code"]: r["df"] for r in counts})
-        part = cut(arrow_map(docs, _match_maker(spark.sparkContext.broadcast((items, rare)), least), "doc_id long, tie long, item_id long, score double, first_word long, end_word long"), "contaminated")
+        part = cut(arrow_map(numbered, _match_maker(spark.sparkContext.broadcast((items, rare)), least), "doc_id long, tie long, item_id long, score double, first_word long, end_word long"), "contaminated")
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], "doc_id long, tie long, item_id long, score double, first_word long, end_word long") if found is None else found
 
