@@ -39,10 +39,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates over five-word shingles."""
-    found = cut(simhash.near_duplicates(docs, shingle=5, distance=7, segments=4), "groups")
-    group = F.coalesce("component_id", F.lit(NO_ID)).alias("group")
-    first = found.groupBy(group).agg(F.min(F.struct(_did(), F.col("tie"))).alias("first")).select("first.did", "first.tie")
+    """One document, that of the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    found = cut(simhash.near_copies(docs, shingle=5, similarity=0.8, distance=7, segments=4), "groups")
+    first = found.groupBy("group").agg(F.min(F.struct(_did(), F.col("tie"))).alias("first")).select("first.did", "first.tie")
     kept = _rows(docs, first, "left_semi")
     did, tie = _keys(docs)
     # Rows that are equal in id and text are one document.

@@ -7,6 +7,9 @@ they meet in a table; the complete distance is then verified.
 
 Texts of one fingerprint are one entry of the tables. A table bucket sends out at most a star
 over its linked members instead of all its pairs, so a large group of near copies stays linear.
+
+Near copies by similarity of shingle sets (``near_copies``) take these links, and those of MinHash
+bands for what lies further apart in bits, as candidates only and compare the sets themselves.
 """
 
 from __future__ import annotations
@@ -27,25 +30,39 @@ SEED = 42
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: Pairs compared at once in a bucket.
 BLOCK = 1 << 20
+#: MinHash bands, and values in each. Sets of similarity 0.8 share no band once in 17,000 times, more similar ones less often.
+BANDS, BAND = 32, 6
+_FACTORS, _TERMS = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND, 1), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bits of the parity map of a set.
+PARITY = 2048
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Unsigned fingerprint of a text: a bit is set if over half of its shingles' hashes set it.
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles, as often as they occur.
 
-    A-Z are lower-cased, words end at ASCII white space, shingles count as often as they occur;
-    a text of fewer words is one shingle, one without words has fingerprint 0.
+    A-Z are lower-cased, words end at ASCII white space; a text of fewer words is one shingle, one
+    without words has none.
     """
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined, size, digest = b" ".join(words), len(words), xxhash.xxh64_intdigest
     if size <= shingle:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, size) + 1
-        ends = np.cumsum(lengths)
-        starts = (ends - lengths)[: size - shingle + 1].tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+        return np.array([digest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, size) + 1
+    ends = np.cumsum(lengths)
+    starts = (ends - lengths)[: size - shingle + 1].tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Unsigned fingerprint of a text: a bit is set if over half of its shingles' hashes set it; 0 without words."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     at = hashes.view(np.uint8).reshape(-1, 8) + np.arange(8) * 256
     ones = np.bincount(at.ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF_BYTE
     return int.from_bytes(np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").tobytes(), "little")
@@ -184,3 +201,110 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "root2")
     ids = cut(named.join(smallest, F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), "component_id"), "components")
     return docs.join(ids, docs.fp == ids.fp2).select("doc_id", "tie", "fp", "component_id")
+
+
+def bands_of(shingles: np.ndarray) -> list[int]:
+    """A signed key for each MinHash band of a set of hashes."""
+    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    for k in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[k : k + 1024] * _FACTORS + _TERMS).min(1), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, BAND))], np.uint64).view(np.int64).tolist()
+
+
+def groups_of(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """A label for each set (distinct hashes): equal for sets that links of ``similarity`` or more connect.
+
+    Similar sets differ in at most (1 - similarity) / (1 + similarity) of the sum of their sizes,
+    and their parity maps in no more bits than that; only sets that pass this are compared.
+    """
+    size, labels = np.array([len(s) for s in sets]), np.arange(len(sets))
+    parity = np.stack([np.packbits((np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(bool)) for s in sets]).view(np.uint64)
+    share = (1 - similarity) / (1 + similarity)
+    for i in range(1, len(sets)):
+        differ = np.maximum(np.bitwise_count(parity[:i] ^ parity[i]).sum(1, dtype=np.int64), np.abs(size[:i] - size[i]))
+        near = np.flatnonzero(differ <= share * (size[:i] + size[i]) + 1e-6)
+        while len(near := near[labels[near] != labels[i]]):
+            j, near = near[-1], near[:-1]
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (size[i] + size[j] - both) - 1e-9:
+                labels[labels == labels[i]] = labels[j]
+    return labels
+
+
+def _star_maker():
+    """Reads rows (bucket, key) sorted by both; links each key to the first of its bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        bucket, first = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            buckets, keys = (column(b, c).to_numpy() for c in ("bucket", "key"))
+            starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+            firsts = keys[starts]
+            if buckets[0] == bucket:
+                firsts[0] = first
+            v = np.repeat(firsts, np.diff(np.r_[starts, len(keys)]))
+            bucket, first = buckets[-1], firsts[-1]
+            yield {"u": keys[keys != v], "v": v[keys != v]}
+
+    return run
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, distance: int = 7, segments: int = 4) -> DataFrame:
+    """(doc_id, tie, group) for every row; rows of one group are connected by links of ``similarity`` or more.
+
+    The similarity is Jaccard's of the sets of shingles. Candidates are links of fingerprints at
+    ``distance`` or fewer bits and sets that share a MinHash band; the sets of all that candidates
+    connect are compared by one task, each distinct set once. Texts without words are one group.
+    An empty table gives no rows.
+    """
+    prepare(df.sparkSession)
+    docs = keyed(df, id_col, text_col)
+
+    def make():
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for b in batches:
+                hashes = [shingle_hashes(t, shingle) for t in texts(b)]
+                sets = [np.unique(h) for h in hashes]
+                fps = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
+                keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                yield {"doc_id": column(b, "doc_id"), "tie": column(b, "tie"), "fp": fps, "key": keys, "bands": [bands_of(s) for s in sets]}
+
+        return run
+
+    def judge():
+        def judged(found: dict[int, np.ndarray]) -> dict:
+            keys, labels = np.array(list(found)), groups_of(list(found.values()), similarity)
+            return {"key2": keys, "group": keys[labels]}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            now, found = None, {}
+            for b in batches:
+                for root, key, text in zip(column(b, "root").to_pylist(), column(b, "key").to_pylist(), texts(b), strict=True):
+                    if root != now and found:
+                        yield judged(found)
+                        found = {}
+                    now = root
+                    if key not in found:
+                        found[key] = np.unique(shingle_hashes(text, shingle))
+            if found:
+                yield judged(found)
+
+        return run
+
+    rows = cut(arrow_map(docs, make, "doc_id long, tie long, fp long, key long, bands array<long>"), "sets")
+    distinct = cut(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "tie")).alias("one")), "distinct")
+    prints = cut(rows.select("fp", "key").distinct(), "prints")
+    least = cut(prints.groupBy("fp").agg(F.min("key").alias("least")), "least")
+    at = least.select(F.col("fp").alias("fp2"), F.col("least").alias("u2"))
+    same = prints.join(at, F.col("fp") == F.col("fp2")).select(F.col("key").alias("u"), F.col("u2").alias("v"))
+    near = links(least, distance, segments).join(at, F.col("u") == F.col("fp2")).select(F.col("u2").alias("first"), "v")
+    near = near.join(at, F.col("v") == F.col("fp2")).select(F.col("first").alias("u"), F.col("u2").alias("v"))
+    banded = distinct.select(F.explode("bands").alias("bucket"), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
+    stars = arrow_map(banded, _star_maker, "u long, v long")
+    roots = cut(components(same.unionByName(near).unionByName(stars)), "roots")
+    ones = distinct.join(roots, F.col("key") == F.col("node")).select("root", "key", F.col("one.doc_id").alias("doc_id2"), F.col("one.tie").alias("tie2"))
+    held = docs.join(ones, F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("tie") == F.col("tie2"))).select("root", "key", "text")
+    groups = cut(arrow_map(held.repartition("root").sortWithinPartitions("root", "key"), judge, "key2 long, group long"), "groups")
+    return rows.join(groups, F.col("key") == F.col("key2"), "left").select("doc_id", "tie", F.coalesce("group", "key").alias("group"))

@@ -82,6 +82,47 @@ def test_simhash(docs, shingle, distance, segments):
     assert simhash.near_duplicates(empty(docs)).count() == 0
 
 
+def plain_groups(rows, similarity):
+    """Index of the least row that links of ``similarity`` or more connect with each row."""
+    sets = []
+    for r in rows:
+        w = (r[1] or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    lab = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if lab[i] != lab[j] and 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                lab = [min(lab[i], lab[j]) if x in (lab[i], lab[j]) else x for x in lab]
+    return lab
+
+
+def near_copy_rows():
+    """Texts in pairs of five-word similarity from 0.7 to 1, chains of such, nulls and repeated rows."""
+    rng, rows = random.Random(3), []
+    for k in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(40, 400))]
+        rows.append((3 * k, " ".join(w), "en", "s", 1))
+        for j in range(1 + k % 2):
+            for i in rng.sample(range(len(w)), max(1, len(w) * rng.randint(1, 5) // 200)):
+                w[i] = f"v{rng.randrange(10**6)}"
+            rows.append((3 * k + 1 + j, " ".join(w), "en", "s", 1))
+    return [*rows, (None, rows[0][1], None, None, None), (None, rows[50][1] + " end", None, None, None), (None, None, None, None, None), (900, None, "en", "s", 1), (901, " ", "en", "s", 1), (902, "two words", "en", "s", 1), rows[7], rows[7]]
+
+
+def test_pipeline_removes_all_near_copies(spark):
+    import corpus_pipeline
+
+    rows = near_copy_rows()
+    lab, best = plain_groups(rows, 0.8), {}
+    for r, x in zip(rows, lab, strict=True):
+        mark = (-(2**63) if r[0] is None else r[0], np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).astype(np.int64))
+        best[x] = min(best.get(x, (mark, r)), (mark, r), key=lambda y: y[0])
+    got = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, DOCS).repartition(3), "").collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in got) == Counter((r[0], r[1] or "") for _, r in best.values())
+    assert corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame([], DOCS), "").count() == 0
+
+
 def test_bucket_links_keep_connectivity():
     rng = np.random.default_rng(0)
     for _ in range(20):
