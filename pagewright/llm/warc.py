@@ -28,6 +28,8 @@ CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+#: Compressed bytes inflated at once.
+STEP = 1 << 16
 
 
 @dataclass
@@ -109,30 +111,65 @@ def salvage_plain(data: bytes, base: int = 0) -> Salvaged:
     return out
 
 
+def inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at ``at`` inflates to, as far as it does, the bytes it takes, and what is wrong with it.
+
+    A damaged member takes no bytes: where it ends isn't known.
+    """
+    inflate, plain = zlib.decompressobj(31), []
+    try:
+        for k in range(at, len(data), STEP):
+            plain.append(inflate.decompress(data[k : k + STEP]))
+            if inflate.eof:
+                return b"".join(plain), min(k + STEP, len(data)) - len(inflate.unused_data) - at, ""
+        return b"".join(plain), 0, "member does not end"
+    except zlib.error as e:
+        why = f"member fails: {e}"
+    # Where a step fails its output is lost; go on byte by byte from the start of that step.
+    inflate, plain = zlib.decompressobj(31), []
+    try:
+        for k in range(at, at + STEP * ((len(data) - at) // STEP + 1), STEP):
+            before = inflate.copy()
+            plain.append(inflate.decompress(data[k : k + STEP]))
+    except zlib.error:
+        try:
+            for i in range(k, min(k + STEP, len(data))):
+                plain.append(before.decompress(data[i : i + 1]))
+        except zlib.error:
+            pass
+    return b"".join(plain), 0, why
+
+
 def salvage_gzip(data: bytes) -> Salvaged:
-    """Records of gzip members; a member counts only if it is whole and all of its bytes are records. Empty members are skipped."""
+    """Records of gzip members, also of damaged ones as far as they inflate. Empty members are skipped.
+
+    Offset and length of a record are those of its member. A gap inside a whole member is logged
+    with the member's offset and length and its place among the inflated bytes; of a damaged
+    member the bytes up to the next member that is whole or holds records are a gap.
+    """
     out, at, lost, reason = Salvaged(), 0, -1, ""
     while at < len(data):
-        inflate, found, why = zlib.decompressobj(31), None, "no gzip member"
-        if data.startswith(_MEMBER, at):
-            try:
-                plain = inflate.decompress(data[at:])
-                found = salvage_plain(plain) if inflate.eof else None
-                why = "member does not end" if found is None else found.gaps[0].reason if found.gaps else "no record"
-            except zlib.error as e:
-                why = f"member fails: {e}"
-        if found and (found.records or not plain) and not found.gaps:
-            size = len(data) - at - len(inflate.unused_data)
+        plain, size, why = inflated(data, at) if data.startswith(_MEMBER, at) else (b"", 0, "no gzip member")
+        found = salvage_plain(plain)
+        if size and (found.records or not plain):
             if lost >= 0:
                 out.gaps.append(Gap(lost, at - lost, reason))
                 lost = -1
             out.records += [Record(at, size, r.headers, r.payload) for r in found.records]
+            out.gaps += [Gap(at, size, f"{g.reason}, at {g.offset} of the inflated bytes, {g.length} long") for g in found.gaps]
             at += size
             continue
+        if size:
+            why = found.gaps[0].reason
+        if found.records and lost >= 0:
+            out.gaps.append(Gap(lost, at - lost, reason))
+            lost = -1
         if lost < 0:
             lost, reason = at, why
-        at = data.find(_MEMBER, at + 1)
-        at = len(data) if at < 0 else at
+        after = data.find(_MEMBER, at + 1)
+        after = len(data) if after < 0 else after
+        out.records += [Record(at, after - at, r.headers, r.payload) for r in found.records]
+        at = after
     if lost >= 0:
         out.gaps.append(Gap(lost, len(data) - lost, reason))
     return out

@@ -363,6 +363,27 @@ def test_salvage(pack):
     assert warc.salvage(whole[: len(whole) - 20]).gaps and not warc.salvage(b"").gaps
 
 
+def test_salvage_of_members_with_many_records():
+    rng = random.Random(2)
+    parts = [record_of(i, rng.randbytes(4000) + bytes(range(256)) * 40) for i in range(40)]
+    ids = [str(i) for i in range(40)]
+    damaged = b"".join(parts[:7]) + parts[7][:-50] + b"?" + parts[7][-49:] + b"".join(parts[8:])
+    got = warc.salvage(gzip.compress(damaged) + gzip.compress(record_of(40, b"x")))
+    assert [r.headers["x-id"] for r in got.records] == [*ids[:7], *ids[8:], "40"] and len(got.gaps) == 1
+    whole = gzip.compress(b"".join(parts))
+    cut = whole[: len(whole) * 3 // 4]
+    plain = zlib.decompressobj(31).decompress(cut)
+    want = [r.headers["x-id"] for r in warc.salvage_plain(plain).records]
+    got = warc.salvage(cut)
+    assert [r.headers["x-id"] for r in got.records] == want and len(want) > 25 and got.gaps[0].reason == "member does not end"
+    got = warc.salvage(whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:] + gzip.compress(record_of(40, b"x")))
+    assert [r.headers["x-id"] for r in got.records] == [*ids, "40"] and "member fails" in got.gaps[0].reason
+    # A block of no type that deflate knows, behind 20 records.
+    deflate = zlib.compressobj(wbits=31)
+    got = warc.salvage(deflate.compress(b"".join(parts[:20])) + deflate.flush(zlib.Z_FULL_FLUSH) + b"\x07" + whole[100:] + gzip.compress(record_of(40, b"x")))
+    assert [r.headers["x-id"] for r in got.records] == [*ids[:20], "40"] and got.gaps
+
+
 # 1
 
 
