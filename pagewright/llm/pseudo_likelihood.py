@@ -1,31 +1,36 @@
 """Masked pseudo-likelihood scores of documents.
 
-Tokens are the most frequent words of the whole corpus; other words fall into classes by their
-ending. A small window network, written in numpy, predicts every token from those before and
-after it. Every task trains a copy on all of its documents; the copies are averaged by tokens
+Every word that occurs ``LEAST`` times in the corpus is a token of its own. The most frequent words
+are classes of their own; the others fall into classes by their ending, as many as the square root
+of the vocabulary. A small window network, written in numpy, predicts the class of every token from
+the classes before and after it; a second model with vectors for each word predicts the word within
+its class from the network's state and the neighbouring words. Words that are too rare are one token
+of their class. Every task trains a copy on all of its documents; the copies are averaged by tokens
 (parameter mixing), and the next round goes on from the average. A document's score is the sum of
-the log-probabilities of its tokens given both sides.
+the log-probabilities of its words given both sides.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import arrow_map, column, cut, keyed, prepare, texts
 
-#: Frequent words with a token of their own, and classes of the others.
+#: Times a word occurs in the corpus to be a token of its own.
+LEAST = 5
+#: Frequent words with a class of their own, and the fewest classes of the others.
 WORDS = 96
 CLASSES = 32
 TOKENS = WORDS + CLASSES
-#: Stands before and after each document.
-PAD = TOKENS
 #: Tokens seen on each side, and hidden units.
 SIDE = 2
 HIDDEN = 16
@@ -34,6 +39,10 @@ ROUNDS = 2
 #: Tokens that are scored, and that are learned from, at once.
 STEP, LEARN = 2048, 512
 RATE = 0.02
+#: Tokens that words within classes are learned from at once, and the rate of their vectors.
+WIDE, WORD_RATE = 8192, 0.05
+#: Rows of the word model sent at once.
+SENT = 10_000
 _PUNCTUATION = b".,;:!?\"'()"
 #: Entries of a worker's table of words.
 KNOWN = 500_000
@@ -44,21 +53,40 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Tokens(dict):
-    """Token of a word; words that aren't frequent are classed by their last bytes."""
-
-    def __init__(self, words: list[bytes]):
-        super().__init__(zip(words, range(len(words)), strict=True))
-        self.words = words
+    """Token of a word. Tokens are numbered by class; the last of a class of endings stands for words that are too rare."""
+
+    def __init__(self, words: list[bytes], counts: list[int], rest: int):
+        self.endings = max(CLASSES, math.isqrt(len(words)))
+        self.classes = WORDS + self.endings
+        of_class: list[list[int]] = [[i] if i < len(words) else [] for i in range(WORDS)] + [[] for _ in range(self.endings)]
+        for i in range(WORDS, len(words)):
+            of_class[self.ending(words[i])].append(i)
+        sizes = [len(x) for x in of_class[:WORDS]] + [len(x) + 1 for x in of_class[WORDS:]]
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.total = int(self.first[-1])
+        #: Class of each token, and of the pad, which is the token after all others.
+        self.class_of = np.append(np.repeat(np.arange(self.classes), sizes), self.classes)
+        self.counts = np.full(self.total, rest / self.endings + 1)
+        super().__init__()
+        for c, members in enumerate(of_class):
+            for k, i in enumerate(members, int(self.first[c])):
+                self[words[i]] = k
+                self.counts[k] = counts[i]
+        self.most = len(self) + KNOWN
+
+    def ending(self, word: bytes) -> int:
+        return WORDS + zlib.crc32(word[-3:]) % self.endings
 
     def __missing__(self, word: bytes) -> int:
-        token = WORDS + zlib.crc32(word[-3:]) % CLASSES
-        if len(self) < KNOWN:
+        token = int(self.first[self.ending(word) + 1]) - 1
+        if len(self) < self.most:
             self[word] = token
         return token
 
     def of(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of texts with pads around each, and which text each belongs to (-1: a pad)."""
-        pad, tokens, owner = np.full(SIDE, PAD, np.int64), [np.full(SIDE, PAD, np.int64)], [np.full(SIDE, -1)]
+        pad, owner = np.full(SIDE, self.total, np.int64), [np.full(SIDE, -1)]
+        tokens = [pad]
         for i, text in enumerate(batch):
             words = words_of(text)
             tokens += [np.fromiter(map(self.__getitem__, words), np.int64, len(words)), pad]
@@ -67,10 +95,11 @@ class Tokens(dict):
 
 
 class Network:
-    """Sums a vector for each neighbour and its place, squashes it, and scores all tokens."""
+    """Sums a vector for each neighbour and its place, squashes it, and scores all tokens (here: classes)."""
 
-    def __init__(self, weights: np.ndarray | None = None, seed: int = 11):
-        shapes = ((2 * SIDE, TOKENS + 1, HIDDEN), (HIDDEN,), (HIDDEN, TOKENS), (TOKENS,))
+    def __init__(self, weights: np.ndarray | None = None, seed: int = 11, n: int = TOKENS):
+        self.n = n
+        shapes = ((2 * SIDE, n + 1, HIDDEN), (HIDDEN,), (HIDDEN, n), (n,))
         sizes = [int(np.prod(s)) for s in shapes]
         if weights is None:
             weights = np.random.default_rng(seed).normal(0, 0.1, sum(sizes))
@@ -108,7 +137,7 @@ class Network:
             p /= len(part)
             back = (p @ self.out.T) * (1 - hidden * hidden)
             spread = np.arange(HIDDEN)
-            near = [np.bincount((around[j][:, None] * HIDDEN + spread).ravel(), back.ravel(), (TOKENS + 1) * HIDDEN) for j in range(2 * SIDE)]
+            near = [np.bincount((around[j][:, None] * HIDDEN + spread).ravel(), back.ravel(), (self.n + 1) * HIDDEN) for j in range(2 * SIDE)]
             self._step(np.concatenate([*near, back.sum(0), (hidden.T @ p).ravel(), p.sum(0)]).astype(np.float32))
 
     def _step(self, gradient: np.ndarray) -> None:
@@ -119,8 +148,81 @@ class Network:
         self.weights -= rate * self.moment / (np.sqrt(self.square) + 1e-8)
 
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
-    """The most frequent words of all documents, most frequent first."""
+class Within:
+    """Scores the words of a class from the network's state plus a vector for each neighbouring word."""
+
+    def __init__(self, table: Tokens, values: np.ndarray | None = None):
+        self.table = table
+        if values is None:
+            values = np.zeros((table.total + 1, 2 * HIDDEN + 1), np.float32)
+            values[:-1, HIDDEN] = np.log(table.counts)
+        self.out, self.prior, self.near = values[:, :HIDDEN].copy(), values[:, HIDDEN].copy(), values[:, HIDDEN + 1 :].copy()
+        self.squares = [np.full_like(x, 1e-2) for x in (self.out, self.prior, self.near)]
+        self.as_class, self.as_near = np.zeros(table.classes), np.zeros(table.total + 1)
+
+    def values(self) -> np.ndarray:
+        return np.concatenate([self.out, self.prior[:, None], self.near], 1)
+
+    def _classes(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """Places of the tokens of each class of two or more, and its first and last token."""
+        classes, first = self.table.class_of[tokens], self.table.first
+        order = np.argsort(classes, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(classes[order]) > 0]) if len(order) else []
+        for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
+            c = classes[order[lo]]
+            if first[c + 1] - first[c] > 1:
+                yield order[lo:hi], int(first[c]), int(first[c + 1])
+
+    def _state(self, network: Network, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        around = np.stack([tokens[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))])
+        classes = self.table.class_of[around]
+        hidden = np.tanh(network.bias + sum(network.near[j][classes[j]] for j in range(2 * SIDE)))
+        return around, hidden + sum(self.near[around[j]] for j in range(2 * SIDE))
+
+    def log_probabilities(self, network: Network, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at))
+        for k in range(0, len(at), WIDE):
+            part = at[k : k + WIDE]
+            _, state = self._state(network, tokens, part)
+            for i, lo, hi in self._classes(tokens[part]):
+                scores = state[i] @ self.out[lo:hi].T + self.prior[lo:hi]
+                scores -= scores.max(1, keepdims=True)
+                out[k + i] = scores[np.arange(len(i)), tokens[part[i]] - lo] - np.log(np.exp(scores).sum(1))
+        return out
+
+    def _move(self, which: int, rows: slice | np.ndarray, gradient: np.ndarray) -> None:
+        """An Adagrad step of some rows."""
+        values, squares = (self.out, self.prior, self.near)[which], self.squares[which]
+        squares[rows] += gradient * gradient
+        values[rows] -= WORD_RATE * gradient / np.sqrt(squares[rows])
+
+    def learn(self, network: Network, tokens: np.ndarray, at: np.ndarray) -> None:
+        for k in range(0, len(at), WIDE):
+            part = at[k : k + WIDE]
+            around, state = self._state(network, tokens, part)
+            back = np.zeros_like(state)
+            for i, lo, hi in self._classes(tokens[part]):
+                p = state[i] @ self.out[lo:hi].T + self.prior[lo:hi]
+                np.exp(p - p.max(1, keepdims=True), out=p)
+                p /= p.sum(1, keepdims=True)
+                p[np.arange(len(i)), tokens[part[i]] - lo] -= 1
+                back[i] = p @ self.out[lo:hi]
+                self._move(0, slice(lo, hi), p.T @ state[i])
+                self._move(1, slice(lo, hi), p.sum(0))
+                self.as_class[self.table.class_of[lo]] += len(i)
+            rows, places = np.unique(around.ravel(), return_inverse=True)
+            spread = (places[:, None] * HIDDEN + np.arange(HIDDEN)).ravel()
+            gradient = np.bincount(spread, np.tile(back, (2 * SIDE, 1)).ravel(), len(rows) * HIDDEN)
+            self._move(2, rows, gradient.reshape(-1, HIDDEN).astype(np.float32))
+            self.as_near[rows] += np.bincount(places)
+
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that moved the vectors of each word within its class, and as a neighbour."""
+        return np.append(self.as_class, 0)[self.table.class_of], self.as_near
+
+
+def vocabulary(docs: DataFrame) -> tuple[list[bytes], list[int], int]:
+    """Words of all documents that occur ``LEAST`` times, most frequent first, their counts, and occurrences of the others."""
 
     def make():
         def rows(counts: Counter) -> dict:
@@ -138,27 +240,42 @@ def vocabulary(docs: DataFrame) -> list[bytes]:
 
         return run
 
-    counted = arrow_map(docs.select("text"), make, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    counted = cut(arrow_map(docs.select("text"), make, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    found = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").toArrow()
+    rest = counted.where(F.col("n") < LEAST).agg(F.sum("n")).first()[0] or 0
+    return found["word"].to_pylist(), found["n"].to_pylist(), rest
 
 
-def train(docs: DataFrame, words: list[bytes], rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` rounds of parameter mixing."""
-    weights = Network().weights
+def train(docs: DataFrame, known: tuple[list[bytes], list[int], int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the network and values of the word model after ``rounds`` rounds of parameter mixing."""
+    table = Tokens(*known)
+    weights, values = Network(n=table.classes).weights, Within(table).values()
+    words = docs.sparkSession.sparkContext.broadcast(known)
+    fields = "row long, total array<float>, n double, m double"
 
     def learner(start):
         def make():
-            network, table = Network(start.value), Tokens(words)
+            table = Tokens(*words.value)
+            network, within = Network(start.value[0], n=table.classes), Within(table, start.value[1])
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                 seen = 0
                 for b in batches:
                     tokens, owner = table.of(texts(b))
                     at = np.random.default_rng(len(tokens)).permutation(np.flatnonzero(owner >= 0))
-                    network.learn(tokens, at)
+                    network.learn(table.class_of[tokens], at)
+                    within.learn(network, tokens, at)
                     seen += len(at)
                 if seen:
-                    yield {"total": [(network.weights * float(seen)).tolist()], "n": [seen]}
+                    yield {"row": [-1], "total": [network.weights * np.float32(seen)], "n": [float(seen)], "m": [0.0]}
+                    n, m = within.shares()
+                    total = within.values()
+                    total[:, : HIDDEN + 1] *= n[:, None]
+                    total[:, HIDDEN + 1 :] *= m[:, None]
+                    moved = np.flatnonzero((n > 0) | (m > 0))
+                    for k in range(0, len(moved), SENT):
+                        part = moved[k : k + SENT]
+                        yield {"row": part, "total": list(total[part]), "n": n[part], "m": m[part]}
 
             return run
 
@@ -166,25 +283,42 @@ def train(docs: DataFrame, words: list[bytes], rounds: int = ROUNDS) -> np.ndarr
 
     def adder():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-            total, n = np.zeros(len(weights)), 0
+            sums: dict[int, list] = {}
             for b in batches:
-                for x, k in zip(column(b, "total"), column(b, "n").to_pylist(), strict=True):
-                    total += x.values.to_numpy()
-                    n += k
-            if n:
-                yield {"total": [total.tolist()], "n": [n]}
+                for row, x, n, m in zip(*(column(b, c) for c in ("row", "total", "n", "m")), strict=True):
+                    x, row = x.values.to_numpy(), row.as_py()
+                    at = sums.get(row)
+                    if at is None:
+                        sums[row] = [x.astype(float), n.as_py(), m.as_py()]
+                    else:
+                        at[0] += x
+                        at[1] += n.as_py()
+                        at[2] += m.as_py()
+            if sums:
+                total, n, m = zip(*sums.values(), strict=True)
+                yield {"row": list(sums), "total": [x.astype(np.float32) for x in total], "n": list(n), "m": list(m)}
 
         return run
 
     for k in range(rounds):
-        start = docs.sparkSession.sparkContext.broadcast(weights)
+        start = docs.sparkSession.sparkContext.broadcast((weights, values))
         part = docs.where(F.pmod(F.xxhash64("doc_id", "tie", F.lit("round")), F.lit(rounds)) == k).select("text")
-        copies = cut(arrow_map(part, learner(start), "total array<double>, n long"), "copies")
-        sums = arrow_map(copies.repartition(16), adder, "total array<double>, n long").collect()  # one row for each of 16 tasks
-        n = sum(r["n"] for r in sums)
-        if n:
-            weights = (np.sum([r["total"] for r in sums], axis=0) / n).astype(np.float32)
-    return weights
+        copies = cut(arrow_map(part, learner(start), fields), "copies")
+        sums = arrow_map(copies.repartition("row"), adder, fields).toArrow().combine_chunks()
+        if not len(sums):
+            continue
+        rows, n, m = (sums[c].to_numpy() for c in ("row", "n", "m"))
+        for row, x, seen in zip(rows, sums["total"], n, strict=True):
+            if row < 0:
+                weights = (x.values.to_numpy() / seen).astype(np.float32)
+        at = np.flatnonzero(rows >= 0)
+        if not len(at):
+            continue
+        new = pa.compute.list_flatten(sums["total"].take(at)).to_numpy().reshape(len(at), -1)
+        rows, n, m = rows[at], n[at], m[at]
+        values[rows[n > 0], : HIDDEN + 1] = new[n > 0, : HIDDEN + 1] / n[n > 0, None]
+        values[rows[m > 0], HIDDEN + 1 :] = new[m > 0, HIDDEN + 1 :] / m[m > 0, None]
+    return weights, values
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,18 +331,20 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     spark = df.sparkSession
     prepare(spark)
     docs = keyed(df, id_col, text_col)
-    words = vocabulary(docs)
-    model = spark.sparkContext.broadcast(train(docs, words))
+    known = vocabulary(docs)
+    words, model = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(train(docs, known))
 
     def make():
-        network, table = Network(model.value), Tokens(words)
+        table = Tokens(*words.value)
+        network, within = Network(model.value[0], n=table.classes), Within(table, model.value[1])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
                 tokens, owner = table.of(texts(b))
                 at = np.flatnonzero(owner >= 0)
                 n = np.bincount(owner[at], minlength=b.num_rows)
-                total = np.bincount(owner[at], network.log_probabilities(tokens, at), b.num_rows)
+                each = network.log_probabilities(table.class_of[tokens], at) + within.log_probabilities(network, tokens, at)
+                total = np.bincount(owner[at], each, b.num_rows)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield {"doc_id": column(b, "doc_id"), "n_tokens": n, "log_likelihood": total, "mean_log_likelihood": mean}
 

@@ -445,6 +445,26 @@ def test_pseudo_likelihood(spark, docs):
     assert pseudo_likelihood.score(df.where("false")).count() == 0
 
 
+def test_rare_words_have_scores_of_their_own(spark):
+    rng = random.Random(4)
+    plain = [f"{a}{b}ing" for a in "bcdfghjklmnp" for b in "aeiou" for _ in range(1)] + [f"{a}{b}{c}ed" for a in "bcdfg" for b in "aeiou" for c in "lmnrs"]
+    # The word before says which of two words with one ending comes next.
+    rows = [(i, " ".join(rng.choice(["red xxstone", "blue yystone"]) if rng.random() < 0.4 else rng.choice(plain) for _ in range(60))) for i in range(300)]
+    other = "qqzzstone"  # of the same ending, in no other document
+    tests = [(1000, "red xxstone " * 20), (1001, "red yystone " * 20), (1002, f"red {other} " * 20)]
+    df = spark.createDataFrame([*rows, *[(i, t.strip()) for i, t in tests]], "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in pseudo_likelihood.score(df).collect()}
+    assert got[1000] > got[1001] + 0.1 and got[1000] > got[1002] + 0.1
+    words = [b"w%d" % i for i in range(5000)]
+    table = pseudo_likelihood.Tokens(words, list(range(5000, 0, -1)), 7)
+    assert len({table[w] for w in words}) == 5000 and table[b"unseen"] not in {table[w] for w in words}
+    net, within = pseudo_likelihood.Network(n=table.classes), pseudo_likelihood.Within(table)
+    whole = np.array([x for k in range(table.total) for x in (table.total, table.total, k, table.total, table.total)])
+    at = np.arange(2, len(whole), 5)
+    p = net.log_probabilities(table.class_of[whole], at) + within.log_probabilities(net, whole, at)
+    assert abs(np.exp(p).sum() - 1) < 1e-3
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     tokens = rng.integers(0, pseudo_likelihood.TOKENS, 60)
