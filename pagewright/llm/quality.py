@@ -182,7 +182,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     ``keep`` says that the posterior of quality reaches ``least`` and that of toxic stays below
     ``toxic``. Null texts count as empty, null hosts and paths as empty names, repeated rows as
-    often as they occur. Labels without a document or with nulls teach nothing; of several labels
+    often as they occur. The table of documents has no URL: by default source stands for the host
+    and lang for the path. Labels without a document or with nulls teach nothing; of several labels
     of one document the larger counts. Without any labels every document has even odds. An empty
     table gives no rows.
     """
