@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -39,13 +40,22 @@ IMPLIED = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 #: Elements that are never main text.
-DROPPED = RAW | frozenset("head nav footer aside form svg canvas template select button dialog menu object audio video datalist map".split())
+DROPPED = RAW | frozenset("head nav footer aside svg canvas template select button dialog menu object audio video datalist map".split())
 #: Words of class and id attributes that name such elements.
 NAMES = frozenset(
-    "ad ads adbox advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad ads adbox adsbygoogle advert advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split()
+)
+#: Words that may stand beside those of NAMES without changing what the element is, as in site-nav or comment-list.
+PARTS = frozenset(
+    "site page main primary secondary global local top bottom left right header head foot side box block bar list links link items item area section container wrapper wrap inner outer content row col column slot unit form thread post posts article articles story stories user reader text buttons button icons media mobile desktop sticky fixed small large the and".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 CONTENT = frozenset(("article", "main"))
+#: Whether an element is kept, goes unless it holds the page's content, or goes always.
+KEPT, NAMED, GONE = range(3)
+#: Characters of a block from which it counts as prose when a body is weighed against the articles in it, and
+#: how many times their prose it takes for the articles to be teasers.
+PROSE, OUTWEIGHS = 80, 2
 
 #: A subtree is a template's if it is on so many pages of different text, and on this share of its host's.
 LEAST_PAGES = 10
@@ -56,22 +66,31 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_NAME = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
+_RAW_END = {tag: re.compile(f"</{tag}(?![^\\s/>])", re.IGNORECASE) for tag in RAW}
 
 
-def is_dropped(tag: str, attributes: str, in_content: bool) -> bool:
-    """Whether an element is by its own account no main text."""
-    if tag in DROPPED or tag == "header" and not in_content:
+def is_name(token: str) -> bool:
+    """Whether one class or id names an element that is no main text: by all of its words, so that has-sidebar doesn't."""
+    if token.lower() in NAMES:
         return True
-    if tag in CONTENT or tag in ("html", "body") or not attributes.strip():
-        return False
+    words = [w.lower() for w in _WORD.findall(token)]
+    return not NAMES.isdisjoint(words) and all(w in NAMES or w in PARTS or w.isdigit() for w in words)
+
+
+@lru_cache(1 << 16)
+def by_attributes(attributes: str) -> tuple[int, bool]:
+    """What an element's attributes say of it: KEPT, NAMED or GONE, and whether it is the page's content."""
+    verdict, content = KEPT, False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not NAMES.isdisjoint(_NAME.findall(value)):
-            return True
-    return False
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value.lower()):
+            return GONE, False
+        if name == "role" and value.lower() in ROLES or name in ("class", "id") and any(map(is_name, value.split())):
+            verdict = NAMED
+        content |= name == "role" and value.lower() == "main" or name == "itemprop" and value.lower() == "articlebody"
+    return verdict, content
 
 
 class Page:
@@ -80,7 +99,7 @@ class Page:
     def __init__(self, source: str):
         self.tags: list[str] = []
         self.parent: list[int] = []
-        self.dropped: list[bool] = []
+        self.verdict: list[int] = []
         self.content: list[bool] = []
         self.parts: list[list[bytes]] = []
         self.hash: list[int] = []
@@ -90,23 +109,89 @@ class Page:
         self._read(source)
         while self.stack:
             self._close()
-        inside = [r for r in self.raw_runs if self.content[r[2]]] if any(t in CONTENT and not d for t, d in zip(self.tags, self.dropped, strict=True)) else self.raw_runs
-        self.runs = [(block, text, self._path(k)) for block, text, k in inside]
+        self.inside = self._choose()
+        self.runs = [(block, text, self._path(k)) for block, text, k in self.inside]
+
+    def _choose(self) -> list[tuple[int, str, int]]:
+        """The runs of the main text."""
+        n = range(len(self.tags))
+        gone, named = [False] * len(n), [False] * len(n)
+        for k in n:  # parents come first
+            up = self.parent[k]
+            gone[k] = self.verdict[k] == GONE or up >= 0 and gone[up]
+            named[k] = self.verdict[k] == NAMED or up >= 0 and named[up]
+        content = [k for k in n if self.content[k] and not gone[k]]
+        if content and all(named[k] for k in content) and self._prose([r for r in self.raw_runs if not gone[r[2]] and not named[r[2]]], PROSE) <= OUTWEIGHS * self._prose(self._under([k for k in content if self.verdict[k] == KEPT], gone), 1):
+            # What holds all of the page's content isn't what its name says.
+            for k in content:
+                while self.verdict[k] == KEPT and (k := self.parent[k]) >= 0:
+                    if self.verdict[k] == NAMED:
+                        self.verdict[k] = KEPT
+            for k in n:
+                up = self.parent[k]
+                named[k] = self.verdict[k] == NAMED or up >= 0 and named[up]
+        visible = [r for r in self.raw_runs if not gone[r[2]] and not named[r[2]]]
+        holder = {k: self.tags[k] != "article" for k in content if not named[k]}
+        if not holder:
+            return self._headless(visible, {})
+        # The nearest holder of each element, main elements before articles.
+        within = [0] * len(n)
+        for k in n:
+            up = within[self.parent[k]] if self.parent[k] >= 0 else 0
+            within[k] = max(up, 2 if holder.get(k) else 1 if k in holder else 0)
+        main = [r for r in visible if within[r[2]] == 2]
+        if any(text.strip() for _, text, _ in main):
+            return main
+        articles = [r for r in visible if within[r[2]]]
+        rest = self._headless([r for r in visible if not within[r[2]]], {})
+        return articles if self._prose(rest, PROSE) <= OUTWEIGHS * self._prose(articles, 1) else self._headless(visible, holder)
+
+    def _under(self, roots: list[int], gone: list[bool]) -> list[tuple[int, str, int]]:
+        """Runs in elements of ``roots`` that aren't gone."""
+        under = [False] * len(self.tags)
+        for k in roots:
+            under[k] = True
+        for k, up in enumerate(self.parent):
+            under[k] = under[k] or up >= 0 and under[up]
+        return [r for r in self.raw_runs if under[r[2]] and not gone[r[2]]]
+
+    def _headless(self, runs: list[tuple[int, str, int]], holder: dict[int, bool]) -> list[tuple[int, str, int]]:
+        """Runs that are in no header, but for headers within a holder of content."""
+        head = [False] * len(self.tags)
+        for k, tag in enumerate(self.tags):
+            up = self.parent[k]
+            head[k] = k not in holder and (tag == "header" or up >= 0 and head[up])
+        return [r for r in runs if not head[r[2]]]
+
+    def _prose(self, runs: list[tuple[int, str, int]], least: int) -> int:
+        """Characters, outside links, of blocks that have ``least`` of them."""
+        blocks: dict[int, int] = {}
+        for block, text, k in runs:
+            while k >= 0 and self.tags[k] in INLINE and self.tags[k] != "a":
+                k = self.parent[k]
+            if k < 0 or self.tags[k] != "a":
+                blocks[block] = blocks.get(block, 0) + len(text.strip())
+        return sum(x for x in blocks.values() if x >= least)
 
     def _path(self, k: int) -> list[int]:
         out = []
-        while k > 0 and self.tags[k] not in ("body", "html") and self.tags[k] not in CONTENT:
+        while k >= 0 and self.tags[k] not in ("body", "html") and self.tags[k] not in CONTENT:
             out.append(self.hash[k])
             k = self.parent[k]
         return out
 
     def _open(self, tag: str, attributes: str) -> None:
-        up = self.stack[-1] if self.stack else -1
-        in_content = up >= 0 and self.content[up]
+        verdict, content = by_attributes(attributes) if attributes and not attributes.isspace() else (KEPT, False)
+        if tag in DROPPED:
+            verdict = GONE
+        elif verdict == NAMED and tag in ("html", "body", "main"):
+            verdict = KEPT
+        elif tag == "form" and verdict == KEPT:
+            verdict = NAMED
         self.tags.append(tag)
-        self.parent.append(up)
-        self.dropped.append(up >= 0 and self.dropped[up] or is_dropped(tag, attributes, in_content))
-        self.content.append(in_content or tag in CONTENT)
+        self.parent.append(self.stack[-1] if self.stack else -1)
+        self.verdict.append(verdict)
+        self.content.append(content or tag in CONTENT)
         self.parts.append([tag.encode()])
         self.hash.append(0)
         self.stack.append(len(self.tags) - 1)
@@ -140,12 +225,11 @@ class Page:
         plain = text.split()
         if plain:
             self.parts[k].append(" ".join(plain).encode("utf-8", "replace"))
-        if not self.dropped[k]:
+        if self.verdict[k] != GONE:
             self.raw_runs.append((self.block, text, k))
 
     def _read(self, source: str) -> None:
         at, size = 0, len(source)
-        lower = None
         while at < size:
             m = _TOKEN.search(source, at)
             if not m:
@@ -176,9 +260,8 @@ class Page:
                 self._close_to(*IMPLIED[tag])
             self._open(tag, attributes)
             if tag in RAW:
-                lower = lower or source.lower()
-                end = lower.find(f"</{tag}", at)
-                end = size if end < 0 or len(lower) != size else end
+                end = _RAW_END[tag].search(source, at)
+                end = end.start() if end else size
                 self.parts[self.stack[-1]].append(source[at:end].encode("utf-8", "replace"))
                 at = end
             elif attributes.endswith("/") and tag in ("svg", "path"):
