@@ -4,6 +4,9 @@ A tolerant parser turns a page into runs of text, each with the hashes of the el
 that hold it. Elements that say what they are (menus, forms, adverts, comments) go by rule. What a
 site repeats without saying so goes by count: subtree hashes are counted per host over pages whose
 main text differs, and a subtree on most of a host's pages is part of its template.
+
+Pages are parsed twice, once to count subtrees and once to write the text: only hashes are written
+or shuffled in between, never text.
 """
 
 from __future__ import annotations
@@ -12,11 +15,10 @@ import html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import arrow_map, column, cut, prepare, texts
@@ -60,6 +62,8 @@ PROSE, OUTWEIGHS = 80, 2
 #: A subtree is a template's if it is on so many pages of different text, and on this share of its host's.
 LEAST_PAGES = 10
 LEAST_SHARE = 0.5
+#: Subtrees of all hosts' templates up to which they are broadcast (8 bytes each); beyond it pages are shuffled by host.
+BROADCAST = 1_000_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
@@ -276,27 +280,21 @@ def joined(runs: list[tuple[int, str]]) -> str:
     return "\n".join(x for x in (" ".join("".join(parts).split()) for parts in blocks.values()) if x)
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
-
+def host_of(url: Column) -> Column:
+    """Lower-cased host of a URL; empty where it has none."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[^:/?#]+:)?//(?:[^@/?#]*@)?(\[[^\]]*\]|[^:/?#\s]*)", 1)), F.lit(""))
 
-_RUNS = "array<struct<block:int,text:string,path:array<bigint>>>"
 
-
-def _parse_maker():
+def _count_maker():
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
-                runs, signature, subtrees = [], [], []
+                signature, subtrees = [], []
                 for source in texts(b, "html"):
                     found = Page(source.decode("utf-8", "replace")).runs
-                    runs.append([{"block": k, "text": t, "path": p} for k, t, p in found])
                     signature.append(xxhash.xxh64_intdigest(joined([(k, t) for k, t, _ in found]).encode("utf-8", "replace")) >> 1)
                     subtrees.append(list({h for _, _, p in found for h in p}))
-                yield {c: column(b, c) for c in ("page_id", "url", "tie")} | {"host": [host_of(u) for u in column(b, "url").to_pylist()], "signature": signature, "subtrees": subtrees, "runs": runs}
+                yield {"host": column(b, "host"), "signature": signature, "subtrees": subtrees}
 
         return run
 
@@ -308,9 +306,9 @@ def _text_maker():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
                 out = []
-                for runs, template in zip(column(b, "runs").to_pylist(), column(b, "template").to_pylist(), strict=True):
+                for source, template in zip(texts(b, "html"), column(b, "template").to_pylist(), strict=True):
                     gone = set(template or ())
-                    out.append(joined([(r["block"], r["text"]) for r in runs if gone.isdisjoint(r["path"])]))
+                    out.append(joined([(block, text) for block, text, path in Page(source.decode("utf-8", "replace")).runs if gone.isdisjoint(path)]))
                 yield {"page_id": column(b, "page_id"), "url": column(b, "url"), "text": out, "n_chars": [len(t) for t in out]}
 
         return run
@@ -318,24 +316,34 @@ def _text_maker():
     return make
 
 
-def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+    """(host, template): hashes of each host's template subtrees, for ``pages`` (host as a hash, html).
+
+    A template's subtree is on a share of the host's pages, so a host has no more of them than a
+    page has subtrees, divided by that share.
+    """
+    parsed = cut(arrow_map(pages, _count_maker(), "host long, signature long, subtrees array<bigint>"), "subtrees")
+    total = parsed.select("host", "signature").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    each = parsed.select("host", F.explode("subtrees").alias("subtree"), "signature").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    found = each.join(total, "host").where(F.col("n") >= least_share * F.col("pages"))
+    return cut(found.groupBy("host").agg(F.collect_list("subtree").alias("template")), "templates")
+
+
+def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast: int = BROADCAST) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each page.
 
-    A page's article or main element is its main text, else its body; without elements that are by
-    name, role or class menus, headers, footers, sidebars, notices, adverts, forms, comments or
-    code, and without subtrees of the site's template. Pages of the same main text count once
-    towards a template. Null html gives an empty text, a null or malformed url an empty host;
-    repeated rows stay repeated. An empty table gives no rows.
+    The main text is that of a page's main elements, else of its articles, else of its body; and of
+    its body too where that has far more prose than the articles, which then are teasers. Elements
+    that are by tag, name, role or style menus, headers, footers, sidebars, notices, adverts, forms,
+    comments, code or hidden don't belong to it, unless all of the page's main elements or articles
+    are in those that a name or role marks. Nor do subtrees of the site's template. Pages of the
+    same main text count once towards a template; pages without a host have none. Null html gives
+    an empty text; repeated rows stay repeated. An empty table gives no rows.
     """
     prepare(df.sparkSession)
-    source = F.col(f"`{html_col}`").cast("string")
-    pages = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.xxhash64(F.coalesce(source, F.lit("")), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))).alias("tie"), source.alias("html"))
-    parsed = cut(arrow_map(pages, _parse_maker(), f"page_id long, url string, tie long, host string, signature long, subtrees array<bigint>, runs {_RUNS}"), "pages")
-    key = F.xxhash64("host").alias("host")
-    total = parsed.select(key, "signature").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    each = parsed.select(key, F.explode("subtrees").alias("subtree"), "signature").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    template = cut(each.join(total, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "subtree"), "templates")
-    marked = parsed.select("tie", F.coalesce("page_id", F.lit(-(2**63))).alias("pid"), key, F.explode("subtrees").alias("subtree")).join(template, ["host", "subtree"])
-    marked = marked.groupBy("pid", "tie").agg(F.collect_set("subtree").alias("template"))
-    out = parsed.select("page_id", "url", "tie", F.coalesce("page_id", F.lit(-(2**63))).alias("pid"), "runs").join(marked, ["pid", "tie"], "left")
-    return arrow_map(out.select("page_id", "url", "runs", "template"), _text_maker(), "page_id long, url string, text string, n_chars long")
+    url = F.col(f"`{url_col}`").cast("string")
+    pages = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"), F.when(host_of(url) != "", F.xxhash64(host_of(url))).alias("host"))
+    sites = templates(pages.where(F.col("host").isNotNull()).select("host", "html"), least_pages, least_share)
+    size = sites.agg(F.sum(F.size("template"))).first()[0] or 0
+    marked = pages.join(F.broadcast(sites) if size <= broadcast else sites.hint("merge"), "host", "left")
+    return arrow_map(marked.select("page_id", "url", "html", "template"), _text_maker(), "page_id long, url string, text string, n_chars long")
