@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +17,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of text that go to a Python worker at once.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 BATCH_ROWS = "4000"
+#: Workers give memory back to the system once it is free, so that one stage's peak isn't the next one's base.
+MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304"}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of the tables that cut() wrote, while a scratch() is open.
+_written: list[str] | None = None
 
 
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches, so that very long rows don't pile up in a worker, and let workers find this package."""
     environment = spark.sparkContext.environment
+    environment.update(MEMORY)
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, environment.get("PYTHONPATH", ""))))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -30,9 +37,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a new local one, if all executors are this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='pagewright-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,17 +50,75 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
-    The lineage ends there: a lost executor costs a read of the files, not a new run of what
-    came before. Spark removes the shuffle files behind once their plan is collected, which takes
-    two collections and a moment for its cleaner.
+    The lineage ends there: a lost executor costs a read of the files, not a new run of what came
+    before. So nothing needs the shuffle files behind it any more, and Spark is told to remove them
+    as soon as the table is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    if _written is not None:
+        _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that cut() returned and that nothing reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, table.cut_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Removes, at its end, the tables that cut() wrote inside it, but for those appended to what it yields."""
+    global _written
+    before, _written, kept = _written, [], []
+    try:
+        yield kept
+    finally:
+        paths, _written = _written, before
+        for path in paths:
+            if any(path == x.cut_path for x in kept):
+                if _written is not None:
+                    _written.append(path)
+            else:
+                _remove(spark, path)
+
+
+_kept: dict = {}
+_asked = False
+
+
+def kept(key, make: Callable):
+    """What ``make`` returns, kept over a worker's tasks until one starts that doesn't ask for it."""
+    global _asked
+    _asked = True
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def started(make: Callable):
+    """What ``make`` returns; frees what earlier tasks kept, unless ``make`` asks for it."""
+    global _asked
+    _asked = False
+    out = make()
+    if not _asked:
+        _kept.clear()
+    return out
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]], schema: str) -> DataFrame:
@@ -64,7 +131,9 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatc
     target = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in make()(batches):
+        from pagewright.llm import common  # the worker's own, not a copy sent along
+
+        for columns in common.started(make)(batches):
             arrays = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=f.type, from_pandas=False) for f in target for x in (columns[f.name],)]
             arrays = [(x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x).cast(f.type) for x, f in zip(arrays, target, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)

@@ -4,8 +4,9 @@ The plan works on the histogram of piece lengths, which has at most ``capacity``
 large the corpus is. Exact-complement hashing comes first: for the gap a long piece leaves, look
 up a single length, then a pair, then a triple of lengths that sum exactly to it, and consume the
 combination as often as the counts allow. What is left goes best-fit, longest first. The pieces
-themselves never meet: each gets its rank among the pieces of its length, and the plan maps
-(length, rank) to a sequence and an offset.
+themselves never meet, nor are they sorted or shuffled: each is numbered by its task among the
+task's pieces of its length, sums over tasks make that a rank, and the plan maps (length, rank) to
+a sequence and an offset.
 """
 
 from __future__ import annotations
@@ -15,20 +16,21 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, cut, keyed, prepare, texts
+from pagewright.llm.common import arrow_map, column, cut, kept, keyed, prepare, texts
 
-#: Ranks of one length are counted in so many parts, so that a frequent length is no single task's.
-SALTS = 64
-#: Entries of a worker's word cache; a full one takes no more words.
-CACHE = 1_000_000
+#: Rows of counts by task up to which they are broadcast.
+SMALL = 500_000
+#: Entries of a worker's word cache, which takes a word the second time it is met; a full one takes no more.
+CACHE = 600_000
+#: Places that remember which words were met.
+MET = 1 << 23
 #: Where splitting at white space could differ from the tokenizer's own view of the whole text.
 _WHOLE = re.compile("<\\||[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 
@@ -47,6 +49,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.met = np.zeros(MET, bool)
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
@@ -55,30 +58,32 @@ class WordEncoder:
         cache, whole = self.cache, [bool(_WHOLE.search(t)) for t in batch]
         split = [None if w else t.split() for t, w in zip(batch, whole, strict=True)]
         new = list({w for words in split if words for w in words}.difference(cache))
+        once: dict[str, bytes] = {}
         for k in range(0, len(new), 50_000):
             part = new[k : k + 50_000]
-            cache.update(zip(part, self._encode(part), strict=True))
-        if len(cache) > CACHE:
-            self.cache = dict(islice(cache.items(), CACHE))
+            once.update(zip(part, self._encode(part), strict=True))
+        if len(cache) < CACHE:
+            place = np.fromiter(map(hash, new), np.int64, len(new)) % MET
+            again = np.flatnonzero(self.met[place])[: CACHE - len(cache)]
+            self.met[place] = True
+            cache.update((new[k], once.pop(new[k])) for k in again.tolist())
+        get = cache.get
         rest = iter(self._encode([t for t, w in zip(batch, whole, strict=True) if w]))
-        return [next(rest) if words is None else b"".join(map(cache.__getitem__, words)) for words in split]
-
-
-@lru_cache(1)
-def encoder_of(path: str) -> WordEncoder:
-    """One encoder for all tasks of a worker process."""
-    return WordEncoder(path)
+        return [next(rest) if words is None else b"".join([get(w) or once[w] for w in words]) for words in split]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, salt): the cut documents of ``docs`` (doc_id, text)."""
+    """(doc_id, piece, start, length, ids_crc32, block, nth): the cut documents of ``docs`` (doc_id, text).
+
+    ``block`` is the task that cut the document, ``nth`` counts its pieces of that length.
+    """
     end = int(end_id).to_bytes(4, "little")
 
     def make():
-        encoder = encoder_of(tokenizer_path)
+        encoder = kept(("encoder", tokenizer_path), lambda: WordEncoder(tokenizer_path))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-            salt = 0
+            block, counts = TaskContext.get().partitionId(), [0] * (capacity + 1)
             for b in batches:
                 out: tuple[list, ...] = [], [], [], [], []
                 rows = []
@@ -87,15 +92,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
                     size = len(ids) // 4
                     for k, start in enumerate(range(0, size, capacity)):
                         part = ids[4 * start : 4 * (start + capacity)]
+                        n = len(part) // 4
                         rows.append(i)
-                        for to, x in zip(out, (k, start, len(part) // 4, zlib.crc32(part), salt % SALTS), strict=True):
+                        for to, x in zip(out, (k, start, n, zlib.crc32(part), counts[n]), strict=True):
                             to.append(x)
-                        salt += 1
-                yield {"doc_id": column(b, "doc_id").take(pa.array(rows, pa.int64()))} | dict(zip(("piece", "start", "length", "ids_crc32", "salt"), out, strict=True))
+                        counts[n] += 1
+                yield {"doc_id": column(b, "doc_id").take(pa.array(rows, pa.int64())), "block": [block] * len(rows)} | dict(zip(("piece", "start", "length", "ids_crc32", "nth"), out, strict=True))
 
         return run
 
-    return arrow_map(docs, make, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int")
+    return arrow_map(docs, make, "doc_id long, piece int, start long, length long, ids_crc32 long, block int, nth long")
 
 
 class Lengths:
@@ -224,24 +230,23 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     spark = df.sparkSession
     prepare(spark)
     cut_up = cut(pieces(keyed(df, id_col, text_col), tokenizer_path, capacity, end_id), "pieces")
-    counted = cut_up.groupBy("length", "salt").count().collect()  # at most capacity x SALTS rows
-    by = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in counted:
-        by[r["length"], r["salt"]] = r["count"]
-    total = by.sum(axis=1)
-    slots = Slots(plan({int(k): int(total[k]) for k in np.flatnonzero(total)}, capacity), capacity)
-    before = spark.sparkContext.broadcast((slots, np.cumsum(by, axis=1) - by))
+    counts = cut_up.groupBy("length", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut(counts.select(F.col("length").alias("length2"), F.col("block").alias("block2"), "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "counts")
+    total = {r["length2"]: r["n"] for r in counts.groupBy("length2").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    slots = spark.sparkContext.broadcast(Slots(plan(total, capacity), capacity))
 
     def make():
-        slots, offset = before.value
+        placed = slots.value
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
-                length, salt, rank = (column(b, c).to_numpy() for c in ("length", "salt", "rank"))
-                sequence, at = slots(length, offset[length, salt] + rank)
+                length, rank = (column(b, c).to_numpy() for c in ("length", "rank"))
+                sequence, at = placed(length, rank)
                 yield {c: column(b, c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")} | {"sequence_id": sequence, "offset": at}
 
         return run
 
-    ranked = cut_up.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    return arrow_map(ranked, make, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    small = F.broadcast(counts) if counts.count() <= SMALL else counts
+    ranked = cut_up.join(small, (F.col("length") == F.col("length2")) & (F.col("block") == F.col("block2"))).withColumn("rank", F.col("before") + F.col("nth"))
+    return arrow_map(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), make, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

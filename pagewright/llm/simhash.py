@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, cut, keyed, prepare, texts
+from pagewright.llm.common import arrow_map, column, cut, drop, keyed, prepare, texts
 from pagewright.llm.components import components
 
 BITS = 64
@@ -35,6 +35,16 @@ BANDS, BAND = 32, 6
 _FACTORS, _TERMS = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND, 1), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bits of the parity map of a set.
 PARITY = 2048
+#: Sets, and hashes in them, that one task compares with one another; larger groups are split.
+GROUP, GROUP_HASHES = 512, 8_000_000
+#: Sets of a split group that go into each of its parts.
+PIVOTS = 16
+#: Own fingerprints of a bucket that one task compares; larger buckets are split.
+OWN = 4096
+#: What it costs to send a row to a bucket, in comparisons of two fingerprints.
+ROW = 200
+#: Rows of a table up to which it is broadcast.
+SMALL = 500_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -162,10 +172,30 @@ def _link_maker(distance: int):
     return make
 
 
-def links(distinct: DataFrame, distance: int, segments: int) -> DataFrame:
-    """(u, v): links of fingerprints (column fp) at ``distance`` or fewer bits, as stars within buckets."""
+def segments_for(n: int, distance: int) -> int:
+    """How many segments make ``n`` fingerprints cheapest to link, with balls of radius 1 or 2."""
+
+    def cost(k: int) -> float:
+        bits, radius = BITS // k, distance // k
+        return k * (1 + bits + (bits * (bits - 1) / 2 if radius == 2 else 0)) * (ROW + n / 2**bits)
+
+    return min((k for k in range(1, 9) if distance // k in (1, 2)), key=cost, default=max(1, distance))
+
+
+def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has no more than ``limit`` rows."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def links(distinct: DataFrame, distance: int, segments: int | None = None, own: int = OWN) -> DataFrame:
+    """(u, v): links of fingerprints (column fp) at ``distance`` or fewer bits, as stars within buckets.
+
+    A bucket with more than ``own`` fingerprints of its own is split: each part has some of these,
+    and all that look them up.
+    """
+    segments = segments or segments_for(distinct.count(), distance)
     radius = distance // segments
-    if radius > 1:
+    if radius > 2:
         raise ValueError(f"{segments} segments need balls of radius {radius}; take more segments")
     bounds = [BITS * k // segments for k in range(segments + 1)]
 
@@ -175,18 +205,30 @@ def links(distinct: DataFrame, distance: int, segments: int) -> DataFrame:
                 fps = column(b, "fp").to_numpy().view(np.uint64)
                 for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
                     value = (fps >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1) | np.uint64(k << 56)
-                    flips = np.array([0, *(1 << j for j in range(hi - lo))][: None if radius else 1], np.uint64)
+                    one = [1 << j for j in range(hi - lo)] if radius else []
+                    flips = np.array([0, *one, *(x | y for i, x in enumerate(one) for y in one[:i] if radius == 2)], np.uint64)
                     at = (value[:, None] ^ flips).ravel().view(np.int64)
                     yield {"bucket": at, "own": np.tile(flips == 0, len(fps)), "fp": np.repeat(fps, len(flips)).view(np.int64)}
 
         return run
 
+    owned = F.explode(F.array(*(F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).bitwiseOR(F.lit(k << 56)) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)))))
+    large = cut(distinct.select(owned.alias("large")).groupBy("large").count().where(F.col("count") > own).select("large", F.ceil(F.col("count") / own).cast("int").alias("parts")), "large")
     table = arrow_map(distinct.select("fp"), make, "bucket long, own boolean, fp long")
+    if not large.isEmpty():
+        split = table.join(small(large), F.col("bucket") == F.col("large"), "left")
+        own_part = F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        part = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("own"), own_part).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        # A fingerprint of its own bucket is also compared with those of the other parts.
+        both = F.when(F.col("own") & F.col("parts").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(part)
+        table = split.select("bucket", "own", "fp", part.alias("home"), F.explode(both).alias("part"))
+        table = table.select("bucket", "part", (F.col("own") & F.array_contains("home", F.col("part"))).alias("own"), "fp")
+        table = table.withColumn("bucket", F.when(F.col("part") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "part"))).drop("part")
     sorted_ = table.repartition("bucket").sortWithinPartitions("bucket", F.desc("own"))
     return arrow_map(sorted_, _link_maker(distance), "u long, v long").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, distance: int = 7, segments: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, distance: int = 7, segments: int | None = None) -> DataFrame:
     """(doc_id, tie, fp, component_id) for every row: its fingerprint and the smallest id it reaches over links.
 
     Null texts and texts without words have fingerprint 0, which links like any other. Null ids
@@ -196,7 +238,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prepare(df.sparkSession)
     docs = cut(fingerprints(keyed(df, id_col, text_col), shingle), "fingerprints")
     distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = cut(components(links(distinct, distance, segments)), "roots")
+    roots = components(links(distinct, distance, segments))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "root2")
     ids = cut(named.join(smallest, F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), "component_id"), "components")
@@ -251,12 +293,62 @@ def _star_maker():
     return run
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, distance: int = 7, segments: int = 4) -> DataFrame:
+def cross_links(sets: list[np.ndarray], labels: list[int], asks: list[bool], similarity: float) -> list[tuple[int, int]]:
+    """Links between sets of different labels of which one asks, enough to connect the labels that any link connects."""
+    now, out = np.array(labels), []
+    for i in np.flatnonzero(asks):
+        for j in np.flatnonzero(now != now[i]):
+            a, b = sets[i], sets[j]
+            if now[i] != now[j] and min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9:
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both >= similarity * (len(a) + len(b) - both) - 1e-9:
+                    out.append((i, j))
+                    now[now == now[j]] = now[i]
+    return out
+
+
+def _judge_maker(shingle: int, similarity: float):
+    """Rows (root, part, asks, key, label, text) sorted by root and part: links (u, v) of the sets of each part."""
+
+    def make():
+        def judged(found: dict[int, tuple]) -> dict:
+            keys = np.array(list(found))
+            sets, labels, asks = zip(*found.values(), strict=True)
+            if labels[0] is None:
+                return {"u": keys, "v": keys[groups_of(list(sets), similarity)]}
+            pairs = np.array(cross_links(list(sets), labels, asks, similarity), np.int64).reshape(-1, 2)
+            return {"u": keys[pairs[:, 0]], "v": keys[pairs[:, 1]]}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            now, found = None, {}
+            for b in batches:
+                columns = (column(b, c).to_pylist() for c in ("root", "part", "key", "label", "asks"))
+                for root, part, key, label, asks, text in zip(*columns, texts(b), strict=True):
+                    if (root, part) != now and found:
+                        yield judged(found)
+                        found = {}
+                    now = root, part
+                    if key not in found:
+                        found[key] = np.unique(shingle_hashes(text, shingle)), label, asks
+                    elif asks and not found[key][2]:
+                        found[key] = (*found[key][:2], True)
+            if found:
+                yield judged(found)
+
+        return run
+
+    return make
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, distance: int = 7, segments: int | None = None, group: int = GROUP) -> DataFrame:
     """(doc_id, tie, group) for every row; rows of one group are connected by links of ``similarity`` or more.
 
     The similarity is Jaccard's of the sets of shingles. Candidates are links of fingerprints at
-    ``distance`` or fewer bits and sets that share a MinHash band; the sets of all that candidates
-    connect are compared by one task, each distinct set once. Texts without words are one group.
+    ``distance`` or fewer bits and sets that share a MinHash band. What candidates connect is
+    compared set by set, each distinct set once: by one task up to ``group`` sets. Larger groups are
+    dealt out in parts that share a few pivots, which connect what is similar to them; the sets that
+    this leaves apart from the largest cluster are then compared with all of the group, in blocks.
+    So no link is lost, and no task holds more than two blocks. Texts without words are one group.
     An empty table gives no rows.
     """
     prepare(df.sparkSession)
@@ -269,32 +361,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
                 sets = [np.unique(h) for h in hashes]
                 fps = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
                 keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                yield {"doc_id": column(b, "doc_id"), "tie": column(b, "tie"), "fp": fps, "key": keys, "bands": [bands_of(s) for s in sets]}
-
-        return run
-
-    def judge():
-        def judged(found: dict[int, np.ndarray]) -> dict:
-            keys, labels = np.array(list(found)), groups_of(list(found.values()), similarity)
-            return {"key2": keys, "group": keys[labels]}
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-            now, found = None, {}
-            for b in batches:
-                for root, key, text in zip(column(b, "root").to_pylist(), column(b, "key").to_pylist(), texts(b), strict=True):
-                    if root != now and found:
-                        yield judged(found)
-                        found = {}
-                    now = root
-                    if key not in found:
-                        found[key] = np.unique(shingle_hashes(text, shingle))
-            if found:
-                yield judged(found)
+                yield {"doc_id": column(b, "doc_id"), "tie": column(b, "tie"), "fp": fps, "key": keys, "n": [len(s) for s in sets], "bands": [bands_of(s) for s in sets]}
 
         return run
 
-    rows = cut(arrow_map(docs, make, "doc_id long, tie long, fp long, key long, bands array<long>"), "sets")
-    distinct = cut(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "tie")).alias("one")), "distinct")
+    rows = cut(arrow_map(docs, make, "doc_id long, tie long, fp long, key long, n long, bands array<long>"), "sets")
+    distinct = cut(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.min(F.struct("doc_id", "tie")).alias("one")), "distinct")
     prints = cut(rows.select("fp", "key").distinct(), "prints")
     least = cut(prints.groupBy("fp").agg(F.min("key").alias("least")), "least")
     at = least.select(F.col("fp").alias("fp2"), F.col("least").alias("u2"))
@@ -303,8 +375,40 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     near = near.join(at, F.col("v") == F.col("fp2")).select(F.col("first").alias("u"), F.col("u2").alias("v"))
     banded = distinct.select(F.explode("bands").alias("bucket"), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
     stars = arrow_map(banded, _star_maker, "u long, v long")
-    roots = cut(components(same.unionByName(near).unionByName(stars)), "roots")
-    ones = distinct.join(roots, F.col("key") == F.col("node")).select("root", "key", F.col("one.doc_id").alias("doc_id2"), F.col("one.tie").alias("tie2"))
-    held = docs.join(ones, F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("tie") == F.col("tie2"))).select("root", "key", "text")
-    groups = cut(arrow_map(held.repartition("root").sortWithinPartitions("root", "key"), judge, "key2 long, group long"), "groups")
+    roots = components(same.unionByName(near).unionByName(stars))
+    ones = distinct.join(roots, F.col("key") == F.col("node")).select("root", "key", "n", F.col("one.doc_id").alias("doc_id2"), F.col("one.tie").alias("tie2"))
+    ones = cut(ones, "candidates")
+    drop(prints, least, roots, distinct)
+    parts = F.ceil(F.greatest(F.count("*") / group, F.sum("n") / GROUP_HASHES)).cast("int")
+    large = cut(ones.groupBy("root").agg(parts.alias("parts")).where("parts > 1").withColumnRenamed("root", "large"), "large")
+
+    def judge(asked: DataFrame) -> DataFrame:
+        """Links among the sets of ``asked`` (root, part, key, doc_id2, tie2, label, asks), part by part."""
+        held = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("tie") == F.col("tie2"))).select("root", "part", "key", "label", "asks", "text")
+        return arrow_map(held.repartition("root", "part").sortWithinPartitions("root", "part", "key"), _judge_maker(shingle, similarity), "u long, v long")
+
+    many = ones.join(small(large), F.col("root") == F.col("large"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("large")
+    many = many.withColumns({"part": F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"), "label": F.lit(None).cast("long"), "asks": F.lit(False)})
+    pivots = many.where("parts > 1").groupBy("root", F.pmod(F.xxhash64("key", F.lit("pivot")), F.lit(PIVOTS))).agg(F.min(F.struct("key", "doc_id2", "tie2", "parts")).alias("p"))
+    pivots = pivots.select("root", "p.*", F.explode(F.sequence(F.lit(0), F.col("p.parts") - 1)).alias("part"), F.lit(None).cast("long").alias("label"), F.lit(False).alias("asks"))
+    columns = ["root", "part", "key", "doc_id2", "tie2", "label", "asks"]
+    found = cut(judge(many.select(columns).unionByName(pivots.select(columns))), "judged")
+    if not large.isEmpty():
+        # Sets that their group's largest cluster doesn't hold are compared with all of the group.
+        labels = components(found)
+        labels = labels.select("node", F.col("root").alias("label"))
+        named = many.where("parts > 1").drop("label", "asks").join(labels, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key")).drop("node")
+        named = cut(named, "labels")
+        first = named.groupBy("root", "label").count().groupBy("root").agg(F.max_by("label", F.struct("count", "label")).alias("main")).withColumnRenamed("root", "r2")
+        apart = cut(named.join(first, F.col("root") == F.col("r2")).where(F.col("label") != F.col("main")).drop("r2", "main"), "apart")
+        blocks = apart.groupBy("root").agg(parts.alias("blocks")).withColumnRenamed("root", "r3")
+        blocks = cut(blocks, "blocks")
+        block = F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int")
+        asking = apart.join(small(blocks), F.col("root") == F.col("r3")).withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(True))
+        asked = named.join(small(blocks), F.col("root") == F.col("r3")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(False))
+        pairs = asking.unionByName(asked).withColumn("part", F.col("block") * F.col("parts") + F.col("part"))
+        found = cut(found.unionByName(judge(pairs.select(columns))), "judged")
+        drop(named, apart, blocks)
+    # Links within parts are stars already where no group is split.
+    groups = components(found).select(F.col("node").alias("key2"), F.col("root").alias("group")) if not large.isEmpty() else found.select(F.col("u").alias("key2"), F.col("v").alias("group"))
     return rows.join(groups, F.col("key") == F.col("key2"), "left").select("doc_id", "tie", F.coalesce("group", "key").alias("group"))

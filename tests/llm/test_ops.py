@@ -57,7 +57,7 @@ def plain_fingerprint(text, k):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize(("shingle", "distance", "segments"), [(4, 4, 3), (5, 7, 4)])
+@pytest.mark.parametrize(("shingle", "distance", "segments"), [(4, 4, 3), (5, 7, 4), (4, 4, 2), (4, 4, None)])
 def test_simhash(docs, shingle, distance, segments):
     rows = corpus()
     fps = [plain_fingerprint(r[1], shingle) for r in rows]
@@ -123,6 +123,42 @@ def test_pipeline_removes_all_near_copies(spark):
     assert corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame([], DOCS), "").count() == 0
 
 
+@pytest.mark.parametrize("group", [4, 25])
+def test_near_copies_of_split_groups(spark, group):
+    rng, rows = random.Random(9), near_copy_rows()
+    # One large group: chains of edits of one text, and a cluster apart that only shares half of it.
+    base = [f"b{i}" for i in range(200)]
+    for k in range(60):
+        w = list(base) if k % 3 else base[:100] + [f"c{i}" for i in range(100)]
+        for i in rng.sample(range(200), 1 + k % 4):
+            w[i] = f"e{k}"
+        rows.append((2000 + k, " ".join(w), "en", "s", 1))
+    lab = plain_groups(rows, 0.8)
+    found = simhash.near_copies(spark.createDataFrame(rows, DOCS).repartition(3), group=group).collect()
+    mark = {(r["doc_id"], r["tie"]): r["group"] for r in found}
+    ties = [np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).astype(np.int64) for r in rows]
+    got = [mark[r[0], t] for r, t in zip(rows, ties, strict=True)]
+    assert len(found) == len(rows) and len(set(got)) == len(set(lab)) == len(set(zip(got, lab, strict=True)))
+
+
+def test_links_of_split_buckets(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 2**63, 5, dtype=np.uint64)
+    fps = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, 4), dtype=np.uint64), 1) for c in centres]))
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    want = simhash.labels_of(len(fps), *np.nonzero(near))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    for own, segments in ((simhash.OWN, 3), (7, 3), (7, 2), (1, 3)):
+        got = simhash.links(df, 4, segments, own).collect()
+        a, b = (np.array([at[r[c]] for r in got]) for c in "uv")
+        assert near[a, b].all() and np.array_equal(simhash.labels_of(len(fps), a, b), want)
+
+
+def test_segments_grow_with_the_number_of_fingerprints():
+    assert simhash.segments_for(1000, 4) == 3 and simhash.segments_for(10**11, 4) == 2
+
+
 def test_bucket_links_keep_connectivity():
     rng = np.random.default_rng(0)
     for _ in range(20):
