@@ -5,16 +5,21 @@ that length have the same least n-gram hash (their minimizer), so every start of
 one minimizer, and starts of one minimizer that stand in a row form a piece. The steps are:
 
 1. Pieces are found in each text and named by minimizer and by a hash of their bytes. Of equal
-   pieces all but the earliest are repeats throughout. A minimizer with one piece cannot repeat.
-2. The bytes of the distinct pieces that share a minimizer with others are brought together.
-3. There a run-length index is built over the distinct stretches of them whose strings' hashes occur
-   again, each is streamed through it, and starts whose match is long enough and starts earlier are
-   marked.
-4. The marks return to their documents, which cut out the covered bytes.
-
-Within a task's batch equal pieces are settled at once, and pieces of a minimizer that is frequent
-there are dealt out by their hash, so that a passage in a third of all documents loads no single
-task.
+   pieces only the earliest goes on; the others wait for what the index says of it. A piece that has
+   no equal, of a minimizer that no other piece has, cannot repeat.
+2. The bytes of the other distinct pieces are brought together by minimizer.
+3. There a run-length index is built: of the stretches whose strings' hashes occur again, once each,
+   and a second time if they occur again as a whole. All are streamed through it backwards, which
+   gives each start its matching statistic: the length of its longest match elsewhere (as far as it
+   matters) and the place of it. Starts that match long enough fall into classes of equal strings;
+   all but the earliest of each class are marked.
+4. The answers for pieces with equals return to these, and all marks to their documents, which cut
+   out the covered bytes.
+
+Hashes route and filter; what is marked is what the index matched. Within a task's batch equal
+pieces are set aside at once, and pieces of a minimizer that is frequent there are dealt out by
+their hash. Where very many distinct pieces have one minimizer, as around a passage in a third of
+all documents, they are dealt out string by string instead.
 """
 
 from __future__ import annotations
@@ -24,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, cut, keyed, prepare, texts
+from pagewright.llm.common import arrow_map, column, cut, drop, keyed, prepare, texts
 
 #: Bytes of the n-grams whose hashes name pieces.
 GRAM = 32
@@ -36,7 +41,11 @@ PIECE = 64
 #: Different pieces of a minimizer in one batch from which it counts as frequent.
 FREQUENT = 8
 #: An index is built once so many bytes of pieces are there.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
+#: Distinct pieces of one minimizer from which its strings are dealt out one by one.
+CROWD = 2_000
+#: Rows of a table up to which it is broadcast.
+SMALL = 500_000
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -109,116 +118,123 @@ def pieces_of(text: bytes, length: int) -> tuple[np.ndarray, ...]:
 
 
 class RunIndex:
-    """Run-length Burrows-Wheeler index of a few distinct pieces.
+    """Run-length Burrows-Wheeler index of a few byte strings.
 
-    Keeps per run of equal symbols where it begins and where its first row maps to, samples at run
-    ends, and for every interval of rows that share ``length`` bytes its earliest start. Rows inside
-    a run follow from its beginning, so the index grows with the runs, not with the text.
+    Of each run of equal symbols it keeps where the run begins, where its first row maps to, the
+    text position of its last row (the sample), and how many symbols the row its first row maps to
+    shares with the row before that one, up to ``length``. That is all: rows inside a run follow
+    from its beginning, and so do their matches. The index grows with the runs, not with the text.
     """
 
-    def __init__(self, pieces: list[bytes], order: np.ndarray, length: int):
-        """``order``: for each piece the rank of its first start among all; a smaller rank is earlier."""
-        self.length, n_pieces = length, len(pieces)
-        size = np.fromiter(map(len, pieces), np.int64, n_pieces)
-        ends = np.cumsum(size + 1) - 1
-        text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + n_pieces
-        text[ends] = np.arange(n_pieces)  # separators differ, so that all suffixes do
-        self.ends, self.starts, self.size = ends, ends - size, size
-        rows, same = sort_suffixes(text, length)
-        # Intervals of rows with equal first bytes, and the earliest start in each.
-        n = len(text)
-        head = np.flatnonzero(~same)
-        owner = np.repeat(np.arange(n_pieces), size + 1)
-        rank = order[owner] * (int(size.max()) + 1) + (np.arange(n) - self.starts[owner])
-        tail = np.r_[head[1:], n]
-        several = tail - head > 1
-        earliest = np.minimum.reduceat(rank[rows], head)
-        self.first, self.end, self.earliest = head[several], tail[several], earliest[several]
-        # The transform in runs.
+    def __init__(self, strings: list[bytes], length: int):
+        self.length, n_strings = length, len(strings)
+        self.size = np.fromiter(map(len, strings), np.int64, n_strings)
+        self.starts = np.cumsum(self.size + 1) - self.size - 1
+        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + n_strings
+        text[self.starts + self.size] = np.arange(n_strings)  # separators differ, so that all suffixes do
+        self.n = len(text)
+        rows = sort_suffixes(text)
         bwt = text[rows - 1]
         self.run = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
-        symbol, run_size = bwt[self.run], np.diff(np.r_[self.run, n])
-        by = np.argsort(symbol, kind="stable")
-        target = np.empty(len(by), np.int64)
-        target[by] = np.cumsum(run_size[by]) - run_size[by]
-        self.target = target
-        self.samples = rows[np.r_[self.run[1:], n] - 1]
-        self.row_of_end = np.arange(n_pieces)  # separators sort first, in the order of the pieces
-        self.order = order
-
-    def back(self, row: np.ndarray) -> np.ndarray:
-        """Row of the suffix that starts one symbol earlier."""
-        k = np.searchsorted(self.run, row, "right") - 1
-        return self.target[k] + row - self.run[k]
-
-    def stream(self) -> tuple[np.ndarray, np.ndarray]:
-        """(piece, start in it) of all starts whose match of ``length`` bytes also starts earlier.
-
-        All pieces are streamed together, from their ends backwards.
+        run_size = np.diff(np.r_[self.run, len(text)])
+        by = np.argsort(bwt[self.run], kind="stable")
+        self.target = np.empty(len(by), np.int64)
+        self.target[by] = np.cumsum(run_size[by]) - run_size[by]
+        self.sample = rows[self.run + run_size - 1]
+        # What the first row of a run maps to comes just behind what the last row of this run maps to.
+        self.before = np.empty(len(by), np.int64)
+        self.before[by] = np.r_[by[-1], by[:-1]]
+        own, other = rows[self.target], (self.sample[self.before] - 1) % self.n
+        self.shared = common_prefix(text, own, other, length)
+        self.shared[self.target == 0] = 0
+
+    def nbytes(self) -> int:
+        """Bytes that grow with the text's runs."""
+        return sum(x.nbytes for x in (self.run, self.target, self.sample, self.before, self.shared))
+
+    def stream(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """(string, start in it, row, length of the match, its text position) of all starts, one step of all strings at a time.
+
+        Strings are streamed together, from their ends backwards. The match is the one of the row
+        before. A step inside a run makes it one symbol longer and moves it one place; at the
+        beginning of a run, the sample at the end of another run has it.
         """
-        longest = np.argsort(-self.size, kind="stable")
-        row, left = self.row_of_end[longest], self.size[longest]
-        out_piece, out_start = [], []
-        width = int(self.size.max()) + 1
-        for step in range(1, width):
+        string = np.argsort(-self.size, kind="stable")
+        row, left = string.copy(), self.size[string]  # separators sort first, in the order of the strings
+        match, at = np.zeros(len(row), np.int64), np.r_[0, (self.starts + self.size)[:-1]][string]
+        for step in range(1, int(self.size.max(initial=0)) + 1):
             live = int(np.searchsorted(-left, -step, "right"))
-            row = self.back(row[:live])
-            longest, left = longest[:live], left[:live]
-            if step >= self.length and len(self.first):
-                k = np.searchsorted(self.first, row, "right") - 1
-                start = left - step
-                hit = (k >= 0) & (row < self.end[k]) & (self.earliest[k] < self.order[longest] * width + start)
-                out_piece.append(longest[hit])
-                out_start.append(start[hit])
-        if not out_piece:
+            string, left, row, match, at = (x[:live] for x in (string, left, row, match, at))
+            k = np.searchsorted(self.run, row, "right") - 1
+            inside = row != self.run[k]
+            match = np.where(inside, np.minimum(match + 1, self.length), self.shared[k])
+            at = (np.where(inside, at, self.sample[self.before[k]]) - 1) % self.n
+            row = self.target[k] + row - self.run[k]
+            yield string, left - step, row, match, at
+
+    def repeats(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(string, start in it) of all starts whose match of ``length`` symbols also occurs at a lesser place.
+
+        ``place`` has the place of each string's first start; a later start's is so much greater.
+        """
+        found = [(s, a, r, p) for s, a, r, m, p in self.stream() for hit in (m >= self.length,) for s, a, r, p in ((s[hit], a[hit], r[hit], p[hit]),) if len(s)]
+        if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(out_piece), np.concatenate(out_start)
+        string, start, row, at = map(np.concatenate, zip(*found, strict=True))
+        by = np.argsort(row)
+        string, start, row, at = string[by], start[by], row[by], at[by]
+        # Rows that follow one another share a string; the row before the first of them does, too, and only its match knows where it is.
+        first = np.flatnonzero(np.r_[True, np.diff(row) != 1])
+        head = np.searchsorted(self.starts, at[first], "right") - 1
+        head_start = at[first] - self.starts[head]
+        own, ahead = place[string] + start, place[head] + head_start
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(row)]))
+        least = np.minimum(np.minimum.reduceat(own, first), ahead)
+        late, head_late = own > least[group], ahead > least
+        return np.concatenate([string[late], head[head_late]]), np.concatenate([start[late], head_start[head_late]])
+
+
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many symbols the suffixes at ``a`` and ``b`` share, up to ``most``."""
+    out, n = np.zeros(len(a), np.int64), len(text)
+    live = np.arange(len(a))
+    for k in range(most):
+        i, j = a[live] + k, b[live] + k
+        inside = (i < n) & (j < n)
+        live = live[inside]
+        live = live[text[i[inside]] == text[j[inside]]]
+        if not len(live):
+            break
+        out[live] += 1
+    return out
 
 
-def sort_suffixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of ``text``, and for each row whether it shares ``length`` symbols with the one before.
+def sort_suffixes(text: np.ndarray) -> np.ndarray:
+    """The suffix array of ``text``, whose suffixes all differ before one of them ends.
 
     Prefix doubling; rank pairs and position are packed into one integer, which sorts faster than
     an indirect sort.
     """
     n = len(text)
     bits = int(n + 257).bit_length()
-    rank, depth, same = text, 1, None
+    rank, depth = text, 1
     mask = np.int64((1 << bits) - 1)
-
-    def shifted(x: np.ndarray, by: int) -> np.ndarray:
-        out = np.zeros(n, np.int64)
-        out[: n - by] = x[by:] + 1 if by < n else 0
-        return out
-
-    def sort(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    while True:
+        low = np.zeros(n, np.int64)
+        low[: max(0, n - depth)] = rank[depth:] + 1
         if 3 * bits + 1 < 63:
-            key = (high << np.int64(2 * bits + 1)) | (low << np.int64(bits)) | np.arange(n)
+            key = (rank << np.int64(2 * bits + 1)) | (low << np.int64(bits)) | np.arange(n)
             key.sort()
             rows, pair = key & mask, key >> np.int64(bits)
             new = np.r_[True, pair[1:] != pair[:-1]]
         else:
-            rows = np.lexsort((low, high))
-            new = np.r_[True, (high[rows][1:] != high[rows][:-1]) | (low[rows][1:] != low[rows][:-1])]
-        to = np.empty(n, np.int64)
-        to[rows] = np.cumsum(new) - 1
-        return rows, new, to
-
-    rows = None
-    while True:
-        if same is None and 2 * depth > length:
-            # Between two doublings: equal for ``length`` symbols if equal for ``depth`` here and further on.
-            level = rank, shifted(rank, length - depth) if length > depth else rank
-            same = level
-        rows, new, rank = sort(rank, shifted(rank, depth))
-        depth *= 2
+            rows = np.lexsort((low, rank))
+            new = np.r_[True, (rank[rows][1:] != rank[rows][:-1]) | (low[rows][1:] != low[rows][:-1])]
         if new.all():
-            break
-    if same is None:
-        return rows, np.zeros(n, bool)
-    a, b = same[0][rows], same[1][rows]
-    equal = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
-    return rows, equal
+            return rows
+        rank = np.empty(n, np.int64)
+        rank[rows] = np.cumsum(new) - 1
+        depth *= 2
 
 
 def runs_of(piece: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,8 +248,10 @@ def arrow_map_of(make, schema: str):
     return lambda df: arrow_map(df, make, schema)
 
 
-#: How a piece travels: to its minimizer; there, and known to need its bytes; as one of a frequent minimizer; a repeat of an earlier one.
-PLAIN, SEVERAL, HOT, SETTLED = range(4)
+#: How a piece travels: to its minimizer; there, and known to need its bytes; as one of a frequent minimizer; set aside as equal to another.
+PLAIN, SEVERAL, HOT, EQUAL = range(4)
+#: Added where others are equal to the piece.
+TWIN = 4
 
 
 def batch_modes(did: np.ndarray, tie: np.ndarray, key: np.ndarray, piece: np.ndarray, start: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -243,18 +261,23 @@ def batch_modes(did: np.ndarray, tie: np.ndarray, key: np.ndarray, piece: np.nda
     new_key = np.r_[True, k[1:] != k[:-1]]
     new = new_key | np.r_[True, p[1:] != p[:-1]]
     first = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
-    # A repeated row of the table is no earlier start.
+    # A repeated row of the table is no other piece.
     later = (did[by] != did[by][first]) | (tie[by] != tie[by][first]) | (start[by] != start[by][first])
+    twin = np.zeros(len(by), bool)
+    twin[first[later]] = True
     kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
     # One piece of a frequent minimizer goes to it, so that its other pieces there know of more.
     rest = np.cumsum(new) != np.maximum.accumulate(np.where(new_key, np.cumsum(new), 0))
-    mode = np.where((kinds >= FREQUENT) & rest, HOT, np.where((kinds > 1) | inside[by], SEVERAL, PLAIN))
-    mode[later] = SETTLED
+    mode = np.where((kinds >= FREQUENT) & rest, HOT, np.where((kinds > 1) | inside[by], SEVERAL, PLAIN)) + TWIN * twin
+    mode[later] = EQUAL
     out = np.empty(len(by), np.int8)
     out[by] = mode
     return out
 
 
+_ANCHORS = "did long, tie long, key long, piece long, start int, size int, mode byte"
+
+
 def _anchor_maker(length: int):
     """Rows of pieces with their modes."""
 
@@ -275,25 +298,54 @@ def _anchor_maker(length: int):
 
         return run
 
-    return arrow_map_of(make, "did long, tie long, key long, piece long, start int, size int, mode byte")
+    return arrow_map_of(make, _ANCHORS)
+
+
+def _string_maker(length: int):
+    """Documents with pieces of crowded minimizers: each start of these as a piece of its own, named by its string's hash."""
+
+    def make():
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for b in batches:
+                rows, starts, names = [], [], []
+                for i, (t, pieces) in enumerate(zip(texts(b), column(b, "pieces").to_pylist(), strict=True)):
+                    at = np.concatenate([np.arange(x["start"], x["start"] + x["size"]) for x in pieces])
+                    rows.append(np.full(len(at), i))
+                    starts.append(at)
+                    names.append(Hashes(t).of(at, at + length).view(np.int64))
+                if not rows:
+                    continue
+                row, start, name = map(np.concatenate, (rows, starts, names))
+                did, tie = (column(b, c).to_numpy()[row] for c in ("did", "tie"))
+                mode = batch_modes(did, tie, name, name, start, np.zeros(len(row), bool))
+                yield {"did": did, "tie": tie, "key": name, "piece": name, "start": start, "size": np.ones(len(row), np.int32), "mode": mode}
+
+        return run
+
+    return arrow_map_of(make, _ANCHORS)
+
 
+_NAMES = ("did", "tie", "key", "piece", "start", "size")
 
-def _repeat_maker():
-    """Rows sorted by minimizer, piece and place: repeats, and earliest pieces (``needed``) whose minimizer has others."""
+
+def _equal_maker():
+    """Rows sorted by minimizer, piece and place: the earliest of equal pieces if it is ``needed``, and the others.
+
+    It is needed if its minimizer has other pieces, or it has a ``twin``, that is an equal.
+    """
 
     def make():
-        names = ("did", "tie", "key", "start", "size")
         place = ("did", "tie", "start")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             held: dict | None = None  # the earliest of the last piece; the next piece decides on it
             for b in batches:
-                now = {c: column(b, c).to_numpy() for c in (*names, "piece", "mode")}
-                settled = now["mode"] == SETTLED
-                if settled.any():
-                    yield {c: now[c][settled] for c in names} | {"needed": np.zeros(settled.sum(), bool)}
-                    now = {c: x[~settled] for c, x in now.items()}
-                now["needed"] = now["mode"] != PLAIN
+                now = {c: column(b, c).to_numpy() for c in (*_NAMES, "mode")}
+                aside = now["mode"] == EQUAL
+                if aside.any():
+                    yield {c: now[c][aside] for c in _NAMES} | {c: np.zeros(aside.sum(), bool) for c in ("needed", "twin")}
+                    now = {c: x[~aside] for c, x in now.items()}
+                now["needed"], now["twin"] = now["mode"] != PLAIN, now["mode"] >= TWIN
                 if not len(now["key"]):
                     continue
                 if held is not None:
@@ -302,51 +354,42 @@ def _repeat_maker():
                 at = np.flatnonzero(new)
                 first = at[np.cumsum(new) - 1]
                 later = np.logical_or.reduce([now[c] != now[c][first] for c in place])
-                key, needed = now["key"][at], np.logical_or.reduceat(now["needed"], at)
+                key, twin = now["key"][at], np.logical_or.reduceat(now["twin"] | later, at)
                 same = key[1:] == key[:-1]
-                needed |= np.r_[False, same] | np.r_[same, False]
-                held = {c: x[at[-1:]].copy() for c, x in now.items()} | {"needed": needed[-1:].copy()}
-                out = np.concatenate((np.flatnonzero(later), at[:-1][needed[:-1]]))
-                if len(out):
-                    yield {c: now[c][out] for c in names} | {"needed": np.arange(len(out)) >= later.sum()}
+                needed = np.logical_or.reduceat(now["needed"], at) | twin | np.r_[False, same] | np.r_[same, False]
+                held = {c: x[at[-1:]].copy() for c, x in now.items()} | {"needed": needed[-1:].copy(), "twin": twin[-1:].copy()}
+                out = at[:-1][needed[:-1]]
+                yield {c: np.concatenate((now[c][later], now[c][out])) for c in _NAMES} | {
+                    "needed": np.r_[np.zeros(later.sum(), bool), np.ones(len(out), bool)],
+                    "twin": np.r_[np.zeros(later.sum(), bool), twin[:-1][needed[:-1]]],
+                }
             if held is not None and held["needed"][0]:
-                yield {c: held[c] for c in (*names, "needed")}
+                yield {c: held[c] for c in (*_NAMES, "needed", "twin")}
 
         return run
 
-    return arrow_map_of(make, "did long, tie long, key long, start int, size int, needed boolean")
-
-
-_PIECE_SCHEMA = "did long, tie long, key long, start int, size int, bytes binary"
+    return arrow_map_of(make, "did long, tie long, key long, piece long, start int, size int, needed boolean, twin boolean")
 
 
 def _bytes_maker(length: int):
-    """Documents with their pieces: the bytes of each piece. A piece again in the batch goes without bytes: all its starts are repeats."""
+    """Documents with their pieces: the bytes of each piece."""
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
                 text = texts(b)
                 lists = column(b, "pieces")
-                offsets = lists.offsets.to_numpy()
                 flat = lists.flatten()
-                start, size, key = (flat.field(k).to_numpy() for k in range(3))
-                row = np.repeat(np.arange(len(text)), np.diff(offsets))
-                did, order = column(b, "did").to_numpy(), column(b, "tie").to_numpy()
-                best: dict[bytes, tuple] = {}
-                rank = np.lexsort((start, order[row], did[row]))
-                out = [None] * len(row)
-                for p, r, s, n in zip(rank.tolist(), row[rank].tolist(), start[rank].tolist(), size[rank].tolist(), strict=True):
-                    piece = text[r][s : s + n + length - 1]
-                    place = did[r], order[r], s  # a repeated row of the table is no earlier start
-                    if best.setdefault(piece, place) == place:
-                        out[p] = piece
+                start, size = (flat.field(k).to_numpy() for k in range(2))
+                row = np.repeat(np.arange(len(text)), np.diff(lists.offsets.to_numpy()))
+                data = [text[r][s : s + n + length - 1] for r, s, n in zip(row.tolist(), start.tolist(), size.tolist(), strict=True)]
                 at = pa.array(row, pa.int64())
-                yield {"did": column(b, "did").take(at), "tie": column(b, "tie").take(at), "key": key, "start": start, "size": size, "bytes": pa.array(out, pa.binary())}
+                own = {c: flat.field(k) for k, c in enumerate(("start", "size", "key", "piece", "twin", "route"))}
+                yield own | {"did": column(b, "did").take(at), "tie": column(b, "tie").take(at), "bytes": pa.array(data, pa.binary())}
 
         return run
 
-    return arrow_map_of(make, _PIECE_SCHEMA)
+    return arrow_map_of(make, "did long, tie long, key long, piece long, start int, size int, twin boolean, route long, bytes binary")
 
 
 def again(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -365,93 +408,106 @@ def again(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.
     return runs_of(piece[repeated], start[repeated])
 
 
-def marks_of(did: np.ndarray, tie_: np.ndarray, start: np.ndarray, size: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first start, number of starts) of the starts in pieces that also start earlier among these pieces."""
+#: The place of what is later than everything.
+LAST = 1 << 62
+
+
+def marks_of(did: np.ndarray, tie_: np.ndarray, start: np.ndarray, twin: np.ndarray, data: list[bytes], length: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """What an index over the pieces ``data`` finds.
+
+    Marks (row, first start in the piece, number of starts): starts that also start earlier among
+    these pieces. Answers, alike, for the ``twin`` rows: starts that repeat in later equals.
+    """
     order = np.lexsort((start, tie_, did))
-    same = np.r_[False, (np.diff(did[order]) == 0) & (np.diff(tie_[order]) == 0) & (np.diff(start[order]) == 0)]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(~same) - 1  # equal rows of the table start equally early
+    document = np.empty(len(order), np.int64)
+    document[order] = np.cumsum(np.r_[0, (np.diff(did[order]) != 0) | (np.diff(tie_[order]) != 0)])
+    place = (document << np.int64(32)) | start
+    # Equal pieces: the earliest stands for all.
     earliest: dict[bytes, int] = {}
-    whole, first, twins = [], [], {}
+    copies: dict[int, list[int]] = {}
+    first = []
     for i in order.tolist():
         k = earliest.setdefault(data[i], i)
         if k == i:
             first.append(i)
-        elif rank[k] < rank[i]:
-            whole.append(i)
         else:
-            twins.setdefault(k, []).append(i)
-    rows, ats, ns = [np.array(whole, np.int64)], [start[whole]], [size[whole]]
-
-    def mark(row: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        rows.append(row)
-        ats.append(start[row] + at)
-        ns.append(n)
-
-    # Stretches of repeated starts, in the order of their places; equal ones are one in the index.
-    piece, at, n = again([data[i] for i in first], length)
-    own = np.array(first, np.int64)[piece]
-    distinct: dict[bytes, int] = {}
-    kept, repeats = [], []
-    for j, (i, a, m) in enumerate(zip(own.tolist(), at.tolist(), n.tolist(), strict=True)):
-        (kept if distinct.setdefault(data[i][a : a + m - 1 + length], j) == j else repeats).append(j)
-    marks = [(own[repeats], at[repeats], n[repeats])]
-    if kept:
-        index = RunIndex(list(distinct), np.arange(len(kept)), length)
-        k, inner, m = runs_of(*index.stream())
-        j = np.array(kept, np.int64)[k]
-        marks.append((own[j], at[j] + inner, m))
-    for row, a, m in marks:
-        mark(row, a, m)
-        for k, others in twins.items():
-            mine = row == k
-            for i in others if mine.any() else ():
-                mark(np.full(mine.sum(), i), a[mine], m[mine])
-    return np.concatenate(rows), np.concatenate(ats), np.concatenate(ns)
+            copies.setdefault(k, []).append(i)
+    for k, others in copies.items():
+        twin[k] |= bool(twin[others].any())
+    whole = np.array([bool(twin[i]) or any(place[j] > place[i] for j in copies.get(i, ())) for i in first], bool)
+    # Stretches of starts that may repeat: all of a piece that has equals, and what recurs by its hash.
+    own, at, n = again([data[i] for i in first], length)
+    kept = ~whole[own]
+    all_of = np.flatnonzero(whole)
+    sizes = np.array([len(data[i]) for i in first], np.int64) - length + 1
+    own, at, n = np.r_[all_of, own[kept]], np.r_[np.zeros(len(all_of), np.int64), at[kept]], np.r_[sizes[all_of], n[kept]]
+    if not len(own):
+        return (np.empty(0, np.int64),) * 3, (np.empty(0, np.int64),) * 3
+    row = np.array(first, np.int64)[own]
+    where = place[row] + at
+    occurs: dict[bytes, list[int]] = {}
+    for j in np.argsort(where, kind="stable").tolist():
+        i, a = row[j], at[j]
+        occurs.setdefault(data[i][a : a + n[j] - 1 + length], []).append(j)
+    # Once in the index, and a second time, at a last place, for all that is equal and later.
+    strings, lead = list(occurs), [js[0] for js in occurs.values()]
+    second = [k for k, js in enumerate(occurs.values()) if any(where[j] > where[js[0]] or whole[own[j]] for j in js)]
+    places = np.r_[where[lead], np.full(len(second), LAST)]
+    string, inner = RunIndex([*strings, *(strings[k] for k in second)], length).repeats(places)
+    string, inner, count = runs_of(string, inner)
+    marks, answers = [], []
+    cuts = np.searchsorted(string, np.arange(len(places) + 1))
+    spans = lambda k: [(int(a), int(m)) for a, m in zip(inner[cuts[k] : cuts[k + 1]], count[cuts[k] : cuts[k + 1]], strict=True)]
+    later = {k: spans(len(strings) + e) for e, k in enumerate(second)}
+    for k, js in enumerate(occurs.values()):
+        for j in js:
+            found = spans(k) if where[j] == where[js[0]] else later[k]
+            marks += [(int(row[j]), int(at[j]) + a, m) for a, m in found]
+            if whole[own[j]]:
+                i = int(row[j])
+                marks += [(c, a, m) for c in copies.get(i, ()) for a, m in (later[k] if place[c] > place[i] else found)]
+                answers += [(i, a, m) for a, m in later[k]] if twin[i] else []
+    columns = lambda x: tuple(np.array(x, np.int64).reshape(-1, 3).T)
+    return columns(marks), columns(answers)
 
 
 def _mark_maker(length: int):
-    """Rows sorted by minimizer: indexes of whole minimizers, as many as fit a chunk."""
+    """Rows sorted by route: indexes of whole routes, as many as fit a chunk."""
 
     def make():
-        names = ("did", "tie", "key", "start", "size")
+        names = ("did", "tie", "key", "piece", "start", "twin")
 
-        def marked(part: dict, data: list[bytes]) -> dict:
-            row, at, n = marks_of(part["did"], part["tie"], part["start"], part["size"], data, length)
-            return {"did": part["did"][row], "tie": part["tie"][row], "start": at, "size": n}
-
-        def joined(held: list) -> tuple[dict, list[bytes]]:
-            return {c: np.concatenate([h[0][c] for h in held]) for c in names}, [x for h in held for x in h[1]]
+        def marked(held: list) -> Iterator[dict]:
+            part, data = {c: np.concatenate([h[0][c] for h in held]) for c in names}, [x for h in held for x in h[1]]
+            for answer, (row, at, n) in enumerate(marks_of(part["did"], part["tie"], part["start"], part["twin"].copy(), data, length)):
+                first = at if answer else part["start"][row] + at
+                yield {c: part[c][row] for c in ("did", "tie", "key", "piece")} | {"start": first, "size": n, "answer": np.full(len(row), bool(answer))}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             held: list[tuple[dict, list[bytes]]] = []
             size, last = 0, None
             for b in batches:
-                now, data = {c: column(b, c).to_numpy() for c in names}, column(b, "bytes")
-                settled = np.asarray(data.is_null())
-                if settled.any():
-                    yield {c: now[c][settled] for c in ("did", "tie", "start", "size")}
-                    now, data = {c: x[~settled] for c, x in now.items()}, data.filter(pa.array(~settled))
-                if not len(data):
+                if not b.num_rows:
                     continue
-                rows, key = data.to_pylist(), now["key"]
-                new = np.flatnonzero(np.r_[key[0] != last, key[1:] != key[:-1]])
-                last, end = key[-1], 0
-                if len(new):  # the last minimizer may go on in the next batch
+                now, rows = {c: column(b, c).to_numpy(zero_copy_only=False) for c in names}, column(b, "bytes").to_pylist()
+                route = column(b, "route").to_numpy()
+                new = np.flatnonzero(np.r_[route[0] != last, route[1:] != route[:-1]])
+                last, end = route[-1], 0
+                if len(new):  # the last route may go on in the next batch
                     end = int(new[-1])
                     held.append(({c: x[:end] for c, x in now.items()}, rows[:end]))
                     size += sum(map(len, held[-1][1]))
                     if size >= CHUNK:
-                        yield marked(*joined(held))
+                        yield from marked(held)
                         held, size = [], 0
                 held.append(({c: x[end:] for c, x in now.items()}, rows[end:]))
                 size += sum(map(len, held[-1][1]))
             if size:
-                yield marked(*joined(held))
+                yield from marked(held)
 
         return run
 
-    return arrow_map_of(make, "did long, tie long, start int, size int")
+    return arrow_map_of(make, "did long, tie long, key long, piece long, start int, size int, answer boolean")
 
 
 def covered(text: bytes, starts: list, sizes: list, length: int) -> list[tuple[int, int]]:
@@ -489,7 +545,7 @@ def _cut_maker(length: int, carried: str | None):
     return arrow_map_of(make, "doc_id long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,end:long>>, kept_text string" + (f", carried {carried}" if carried else ""))
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100, carry: tuple[str, ...] = (), crowd: int = CROWD) -> DataFrame:
     """Remove from each text the bytes covered by a ``length``-byte string that also starts earlier.
 
     Earlier means a smaller id, or the same document and a smaller start; null ids come first, and
@@ -511,13 +567,32 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     else:
         docs = docs.withColumn("order", F.col("tie"))
     key = docs.select("did", F.col("order").alias("tie"), "text")
-    to = F.when(F.col("mode") == SETTLED, F.xxhash64("did", "start")).when(F.col("mode") == HOT, F.xxhash64("key", "piece")).otherwise(F.col("key"))
-    repeated = cut(_repeat_maker()(_anchor_maker(length)(key).repartition(to).sortWithinPartitions("key", "piece", "did", "tie", "start")), "repeated")
-    of_doc = repeated.where("needed").groupBy("did", "tie").agg(F.collect_set(F.struct("start", "size", "key")).alias("pieces"))
-    data = cut(_bytes_maker(length)(key.join(of_doc, ["did", "tie"])), "bytes")
-    to = F.when(F.col("bytes").isNull(), F.xxhash64("did", "start")).otherwise(F.col("key"))
-    marks = cut(_mark_maker(length)(data.repartition(to).sortWithinPartitions("key")), "marks")
-    marks = marks.unionByName(repeated.where("not needed").select("did", "tie", "start", "size"))
+
+    def equals(anchors: DataFrame) -> DataFrame:
+        to = F.when(F.col("mode") == EQUAL, F.xxhash64("did", "start")).when(F.col("mode").bitwiseAND(F.lit(3)) == HOT, F.xxhash64("key", "piece")).otherwise(F.col("key"))
+        return cut(_equal_maker()(anchors.repartition(to).sortWithinPartitions("key", "piece", "did", "tie", "start")), "equals")
+
+    def of_documents(found: DataFrame, *more: Column) -> DataFrame:
+        return key.join(found.groupBy("did", "tie").agg(F.collect_set(F.struct("start", "size", *more)).alias("pieces")), ["did", "tie"])
+
+    found = equals(_anchor_maker(length)(key))
+    needed, others = found.where("needed"), [found.where("not needed")]
+    crowds = cut(needed.groupBy("key").count().where(F.col("count") > crowd).select(F.col("key").alias("crowd")), "crowds")
+    route = F.col("key")
+    if not crowds.isEmpty():
+        needed = needed.join(F.broadcast(crowds) if crowds.count() <= SMALL else crowds, F.col("key") == F.col("crowd"), "left")
+        strings = equals(_string_maker(length)(of_documents(needed.where("crowd is not null"))))
+        others.append(strings.where("not needed"))
+        # A crowded minimizer's piece with equals still answers to these, on its own.
+        needed = needed.where("crowd is null or twin").unionByName(strings.where("needed").withColumn("crowd", F.lit(None).cast("long")))
+        route = F.when(F.col("crowd").isNull(), F.col("key")).otherwise(F.xxhash64("key", "piece"))
+    data = cut(_bytes_maker(length)(of_documents(needed, "key", "piece", "twin", route.alias("route"))), "bytes")
+    marks = cut(_mark_maker(length)(data.repartition("route").sortWithinPartitions("route")), "marks")
+    drop(data)
+    answers = marks.where("answer").select(F.col("key").alias("key2"), F.col("piece").alias("piece2"), F.col("start").alias("first"), F.col("size").alias("n")).distinct()
+    waiting = others[0] if len(others) == 1 else others[0].unionByName(others[1])
+    answered = waiting.join(answers, (F.col("key") == F.col("key2")) & (F.col("piece") == F.col("piece2"))).select("did", "tie", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("size"))
+    marks = marks.where("not answer").select("did", "tie", "start", "size").unionByName(answered)
     per_doc = marks.groupBy("did", "tie").agg(F.collect_set(F.struct("start", "size")).alias("marks")).withColumnRenamed("tie", "order")
     carried = docs.schema["carried"].dataType.simpleString() if carry else None
     return _cut_maker(length, carried)(docs.join(per_doc, ["did", "order"], "left").drop("did", "order"))

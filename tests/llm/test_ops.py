@@ -204,38 +204,82 @@ def test_suffix_dedup(docs):
     assert suffix_dedup.deduplicate(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [1, 3])
+def test_suffix_dedup_of_crowded_minimizers(docs, spark, crowd):
+    passage = prose(40)
+    more = [(1000 + i, f"{prose(12)} {passage} {prose(12)}", "en", "s", 1) for i in range(40)]
+    rows = corpus() + more + more[:5]
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = Counter(tuple(r[c] for c in names) for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, DOCS).repartition(3), length=100, crowd=crowd).collect())
+    assert got == plain_dedup(rows, 100)
+
+
+def random_pieces(rng, t):
+    base = bytes(rng.integers(97, 99 + t % 3, 400).astype(np.uint8))
+    data, start = [], []
+    for i in range(int(rng.integers(1, 12))):
+        a, n = int(rng.integers(0, 200)), int(rng.integers(1, 65))
+        data.append(data[-1] if data and rng.random() < 0.3 else base[a : a + n + 99])
+        start.append(1000 * i)
+    return np.arange(len(data)) // 2, np.zeros(len(data), np.int64), np.array(start), data
+
+
 def test_index_marks_what_starts_earlier():
     rng = np.random.default_rng(1)
-    for t in range(60):
-        base = bytes(rng.integers(97, 99 + t % 3, 400).astype(np.uint8))
-        data, start = [], []
-        for i in range(int(rng.integers(1, 9))):
-            a, n = int(rng.integers(0, 200)), int(rng.integers(1, 65))
-            data.append(base[a : a + n + 99])
-            start.append(1000 * i)
-        did, zero, start, size = np.arange(len(data)) // 2, np.zeros(len(data), np.int64), np.array(start), np.array([len(d) - 99 for d in data])
-        row, at, n = suffix_dedup.marks_of(did, zero, start, size, data, 100)
-        got = {(int(r), int(a) + k) for r, a, m in zip(row, at, n, strict=True) for k in range(m)}
+    for t in range(120):
+        did, zero, start, data = random_pieces(rng, t)
+        by = rng.permutation(len(data))
+        twin = rng.random(len(data)) < 0.3
+        (row, at, n), answers = suffix_dedup.marks_of(did[by], zero, start[by], twin[by], [data[i] for i in by], 100)
+        got = {(int(by[r]), int(a) + k) for r, a, m in zip(row, at, n, strict=True) for k in range(m)}
         seen, want = set(), set()
         for i, d in enumerate(data):
             for j in range(len(d) - 99):
                 if d[j : j + 100] in seen:
-                    want.add((i, int(start[i]) + j))
+                    want.add((i, j))
                 seen.add(d[j : j + 100])
         assert got == want
-
-
-def test_run_index_walks_back_through_its_text():
-    pieces = [b"banana" * 3, b"bandana" * 2, b"ananas"]
-    index = suffix_dedup.RunIndex(pieces, np.arange(3), 4)
-    row = index.row_of_end.copy()
-    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + 3
-    text[index.ends] = np.arange(3)
-    rows, _ = suffix_dedup.sort_suffixes(text, 4)
-    for step in range(1, 7):
-        row = index.back(row)
-        assert np.array_equal(rows[row], index.ends - step)
-    assert np.array_equal(index.samples, rows[np.r_[index.run[1:], len(text)] - 1])
+        # Later equals of a twin repeat throughout.
+        told = {(data[by[r]], int(a) + k) for r, a, m in zip(*answers, strict=True) for k in range(m)}
+        assert told == {(data[i], j) for i in np.flatnonzero(twin) for j in range(len(data[i]) - 99)}
+
+
+def test_marks_come_from_the_index(monkeypatch):
+    did, zero, start, data = random_pieces(np.random.default_rng(2), 1)
+    monkeypatch.setattr(suffix_dedup.RunIndex, "stream", lambda self: iter(()))
+    marks, answers = suffix_dedup.marks_of(did, zero, start, np.ones(len(data), bool), [data[0]] * len(data), 100)
+    assert not len(marks[0]) and not len(answers[0])
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        strings = [bytes(rng.integers(97, 100, int(rng.integers(1, 30))).astype(np.uint8)) for _ in range(int(rng.integers(1, 7)))]
+        index = suffix_dedup.RunIndex(strings, 6)
+        suffixes = sorted((s[i:], k, i) for k, s in enumerate(strings) for i in range(len(s)))  # ends sort first, then by string
+        rank = {(k, i): len(strings) + r for r, (_, k, i) in enumerate(suffixes)}
+        seen = set()
+        for string, start, row, match, at in index.stream():
+            for k, i, r, m, p in zip(string.tolist(), start.tolist(), row.tolist(), match.tolist(), at.tolist(), strict=True):
+                seen.add((k, i))
+                assert rank[k, i] == r
+                before = suffixes[r - len(strings) - 1] if r > len(strings) else None
+                if before:
+                    a, b = strings[k][i:], before[0]
+                    shared = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+                    assert m == min(6, shared) and p == index.starts[before[1]] + before[2]
+                else:
+                    assert m == 0
+        assert len(seen) == sum(map(len, strings))
+
+
+def test_the_index_grows_with_runs():
+    rng = np.random.default_rng(4)
+    text = bytes(rng.integers(97, 123, 1500).astype(np.uint8))
+    few, many = (suffix_dedup.RunIndex([text] * n, 100) for n in (5, 100))
+    assert many.nbytes() < few.nbytes() + 100 * 8 * 8
+    string, start = many.repeats(np.arange(100) << 32)
+    assert len(string) == 99 * 1401 and not (string == 0).any()
 
 
 # 3
