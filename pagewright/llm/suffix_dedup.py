@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import arrow_map, column, cut, drop, keyed, prepare, texts
 
-#: Bytes of the n-grams whose hashes name pieces.
-GRAM = 32
-#: Starts in one piece, at most.
-PIECE = 64
+#: Bytes of the n-grams whose hashes name pieces. Shorter ones bring together more pieces that share nothing longer.
+GRAM = 40
+#: Starts in one piece, at most, and in a stretch of pieces that stand in a row and have nothing but equals.
+PIECE, STRETCH = 64, 512
 #: Different pieces of a minimizer in one batch from which it counts as frequent.
 FREQUENT = 8
 #: An index is built once so many bytes of pieces are there.
-CHUNK = 1_000_000
+CHUNK = 450_000
 #: Distinct pieces of one minimizer from which its strings are dealt out one by one.
 CROWD = 2_000
 #: Rows of a table up to which it is broadcast.
@@ -126,26 +126,35 @@ class RunIndex:
     from its beginning, and so do their matches. The index grows with the runs, not with the text.
     """
 
-    def __init__(self, strings: list[bytes], length: int):
-        self.length, n_strings = length, len(strings)
-        self.size = np.fromiter(map(len, strings), np.int64, n_strings)
+    def __init__(self, strings: list[bytes], length: int, twice: np.ndarray | None = None):
+        """``twice`` says which strings are there a second time; these stand just behind the first."""
+        self.length = length
+        times = np.ones(len(strings), np.int64) if twice is None else 1 + twice.astype(np.int64)
+        # A second copy's suffixes follow the first's, so each string is sorted once.
+        size = np.fromiter(map(len, strings), np.int64, len(strings))
+        starts = np.cumsum(size + 1) - size - 1
+        once = sort_suffixes(_symbols(strings, starts + size))
+        owner = np.searchsorted(starts, once, "right") - 1
+        string = np.repeat((np.cumsum(times) - times)[owner], times[owner])
+        offset = np.repeat(once - starts[owner], times[owner])
+        string[1:] += (string[1:] == string[:-1]) & (offset[1:] == offset[:-1])
+        self.size = np.repeat(size, times)
         self.starts = np.cumsum(self.size + 1) - self.size - 1
-        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + n_strings
-        text[self.starts + self.size] = np.arange(n_strings)  # separators differ, so that all suffixes do
+        rows = self.starts[string] + offset
+        text = _symbols([x for x, n in zip(strings, times.tolist(), strict=True) for _ in range(n)], self.starts + self.size)
         self.n = len(text)
-        rows = sort_suffixes(text)
         bwt = text[rows - 1]
-        self.run = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
+        self.run = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]]).astype(np.int32)
         run_size = np.diff(np.r_[self.run, len(text)])
         by = np.argsort(bwt[self.run], kind="stable")
-        self.target = np.empty(len(by), np.int64)
+        self.target = np.empty(len(by), np.int32)
         self.target[by] = np.cumsum(run_size[by]) - run_size[by]
-        self.sample = rows[self.run + run_size - 1]
+        self.sample = rows[self.run + run_size - 1].astype(np.int32)
         # What the first row of a run maps to comes just behind what the last row of this run maps to.
-        self.before = np.empty(len(by), np.int64)
+        self.before = np.empty(len(by), np.int32)
         self.before[by] = np.r_[by[-1], by[:-1]]
         own, other = rows[self.target], (self.sample[self.before] - 1) % self.n
-        self.shared = common_prefix(text, own, other, length)
+        self.shared = common_prefix(text, own, other, length).astype(np.int32)
         self.shared[self.target == 0] = 0
 
     def nbytes(self) -> int:
@@ -160,15 +169,16 @@ class RunIndex:
         beginning of a run, the sample at the end of another run has it.
         """
         string = np.argsort(-self.size, kind="stable")
-        row, left = string.copy(), self.size[string]  # separators sort first, in the order of the strings
-        match, at = np.zeros(len(row), np.int64), np.r_[0, (self.starts + self.size)[:-1]][string]
+        row, left = string.astype(np.int32), self.size[string]  # separators sort first, in the order of the strings
+        match, at = np.zeros(len(row), np.int32), np.r_[0, (self.starts + self.size)[:-1]][string].astype(np.int32)
         for step in range(1, int(self.size.max(initial=0)) + 1):
             live = int(np.searchsorted(-left, -step, "right"))
             string, left, row, match, at = (x[:live] for x in (string, left, row, match, at))
             k = np.searchsorted(self.run, row, "right") - 1
             inside = row != self.run[k]
             match = np.where(inside, np.minimum(match + 1, self.length), self.shared[k])
-            at = (np.where(inside, at, self.sample[self.before[k]]) - 1) % self.n
+            at = np.where(inside, at, self.sample[self.before[k]]) - 1
+            at[at < 0] += self.n
             row = self.target[k] + row - self.run[k]
             yield string, left - step, row, match, at
 
@@ -194,6 +204,13 @@ class RunIndex:
         return np.concatenate([string[late], head[head_late]]), np.concatenate([start[late], head_start[head_late]])
 
 
+def _symbols(strings: list[bytes], ends: np.ndarray) -> np.ndarray:
+    """The strings in one array, each followed by a symbol of its own: these differ, so that all suffixes do."""
+    out = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + len(strings)
+    out[ends] = np.arange(len(strings))
+    return out
+
+
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """How many symbols the suffixes at ``a`` and ``b`` share, up to ``most``."""
     out, n = np.zeros(len(a), np.int64), len(text)
@@ -331,7 +348,8 @@ _NAMES = ("did", "tie", "key", "piece", "start", "size")
 def _equal_maker():
     """Rows sorted by minimizer, piece and place: the earliest of equal pieces if it is ``needed``, and the others.
 
-    It is needed if its minimizer has other pieces, or it has a ``twin``, that is an equal.
+    It is needed if its minimizer has other pieces, or it has a ``twin``, that is an equal. If it has
+    only that it is ``alone``.
     """
 
     def make():
@@ -343,9 +361,9 @@ def _equal_maker():
                 now = {c: column(b, c).to_numpy() for c in (*_NAMES, "mode")}
                 aside = now["mode"] == EQUAL
                 if aside.any():
-                    yield {c: now[c][aside] for c in _NAMES} | {c: np.zeros(aside.sum(), bool) for c in ("needed", "twin")}
+                    yield {c: now[c][aside] for c in _NAMES} | {c: np.zeros(aside.sum(), bool) for c in ("needed", "twin", "alone")}
                     now = {c: x[~aside] for c, x in now.items()}
-                now["needed"], now["twin"] = now["mode"] != PLAIN, now["mode"] >= TWIN
+                now["needed"], now["twin"] = now["mode"] % TWIN != PLAIN, now["mode"] >= TWIN
                 if not len(now["key"]):
                     continue
                 if held is not None:
@@ -356,40 +374,58 @@ def _equal_maker():
                 later = np.logical_or.reduce([now[c] != now[c][first] for c in place])
                 key, twin = now["key"][at], np.logical_or.reduceat(now["twin"] | later, at)
                 same = key[1:] == key[:-1]
-                needed = np.logical_or.reduceat(now["needed"], at) | twin | np.r_[False, same] | np.r_[same, False]
+                needed = np.logical_or.reduceat(now["needed"], at) | np.r_[False, same] | np.r_[same, False]
                 held = {c: x[at[-1:]].copy() for c, x in now.items()} | {"needed": needed[-1:].copy(), "twin": twin[-1:].copy()}
-                out = at[:-1][needed[:-1]]
-                yield {c: np.concatenate((now[c][later], now[c][out])) for c in _NAMES} | {
-                    "needed": np.r_[np.zeros(later.sum(), bool), np.ones(len(out), bool)],
-                    "twin": np.r_[np.zeros(later.sum(), bool), twin[:-1][needed[:-1]]],
+                ended, no = (needed | twin)[:-1], np.zeros(later.sum(), bool)
+                yield {c: np.concatenate((now[c][later], now[c][at[:-1][ended]])) for c in _NAMES} | {
+                    "needed": np.r_[no, np.ones(ended.sum(), bool)],
+                    "twin": np.r_[no, twin[:-1][ended]],
+                    "alone": np.r_[no, ~needed[:-1][ended]],
                 }
-            if held is not None and held["needed"][0]:
-                yield {c: held[c] for c in (*_NAMES, "needed", "twin")}
+            if held is not None and (held["needed"] | held["twin"])[0]:
+                yield {c: held[c] for c in (*_NAMES, "twin")} | {"needed": np.ones(1, bool), "alone": ~held["needed"]}
 
         return run
 
-    return arrow_map_of(make, "did long, tie long, key long, piece long, start int, size int, needed boolean, twin boolean")
+    return arrow_map_of(make, "did long, tie long, key long, piece long, start int, size int, needed boolean, twin boolean, alone boolean")
 
 
 def _bytes_maker(length: int):
-    """Documents with their pieces: the bytes of each piece."""
+    """Documents with their pieces: the bytes of each piece, and the ``names`` to which it answers, with their place in it.
+
+    Pieces that are alone and stand in a row are brought as one, as they need not meet any other.
+    """
 
     def make():
+        def rows_of(pieces: list[dict]) -> Iterator[tuple[int, int, int, list[dict]]]:
+            row: list[dict] = []
+            for p in sorted(pieces, key=lambda p: (not p["alone"], p["start"])):
+                name = {"key": p["key"], "piece": p["piece"], "first": 0, "n": p["size"]}
+                if not p["alone"]:
+                    yield p["start"], p["size"], p["key"], [name] if p["twin"] else []
+                    continue
+                size = p["start"] - row[0]["start"] if row else 0
+                if row and (size != sum(x["n"] for x in row) or size + p["size"] > STRETCH):
+                    yield row[0]["start"], sum(x["n"] for x in row), row[0]["key"], row
+                    row = []
+                name["first"] = p["start"] - row[0]["start"] if row else 0
+                row.append(name | {"start": p["start"]})
+            if row:
+                yield row[0]["start"], sum(x["n"] for x in row), row[0]["key"], row
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
-                text = texts(b)
-                lists = column(b, "pieces")
-                flat = lists.flatten()
-                start, size = (flat.field(k).to_numpy() for k in range(2))
-                row = np.repeat(np.arange(len(text)), np.diff(lists.offsets.to_numpy()))
-                data = [text[r][s : s + n + length - 1] for r, s, n in zip(row.tolist(), start.tolist(), size.tolist(), strict=True)]
-                at = pa.array(row, pa.int64())
-                own = {c: flat.field(k) for k, c in enumerate(("start", "size", "key", "piece", "twin", "route"))}
-                yield own | {"did": column(b, "did").take(at), "tie": column(b, "tie").take(at), "bytes": pa.array(data, pa.binary())}
+                out: tuple[list, ...] = [], [], [], [], [], []
+                for i, (t, pieces) in enumerate(zip(texts(b), column(b, "pieces").to_pylist(), strict=True)):
+                    for start, size, route, names in rows_of(pieces):
+                        for to, x in zip(out, (i, start, size, route, names, t[start : start + size + length - 1]), strict=True):
+                            to.append(x)
+                at = pa.array(out[0], pa.int64())
+                yield {c: column(b, c).take(at) for c in ("did", "tie")} | dict(zip(("start", "size", "route", "names", "bytes"), out[1:], strict=True))
 
         return run
 
-    return arrow_map_of(make, "did long, tie long, key long, piece long, start int, size int, twin boolean, route long, bytes binary")
+    return arrow_map_of(make, "did long, tie long, start int, size int, route long, names array<struct<key:long,piece:long,first:int,n:int>>, bytes binary")
 
 
 def again(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -432,9 +468,7 @@ def marks_of(did: np.ndarray, tie_: np.ndarray, start: np.ndarray, twin: np.ndar
             first.append(i)
         else:
             copies.setdefault(k, []).append(i)
-    for k, others in copies.items():
-        twin[k] |= bool(twin[others].any())
-    whole = np.array([bool(twin[i]) or any(place[j] > place[i] for j in copies.get(i, ())) for i in first], bool)
+    whole = np.array([bool(twin[[i, *copies.get(i, ())]].any()) or any(place[j] > place[i] for j in copies.get(i, ())) for i in first], bool)
     # Stretches of starts that may repeat: all of a piece that has equals, and what recurs by its hash.
     own, at, n = again([data[i] for i in first], length)
     kept = ~whole[own]
@@ -451,22 +485,23 @@ def marks_of(did: np.ndarray, tie_: np.ndarray, start: np.ndarray, twin: np.ndar
         occurs.setdefault(data[i][a : a + n[j] - 1 + length], []).append(j)
     # Once in the index, and a second time, at a last place, for all that is equal and later.
     strings, lead = list(occurs), [js[0] for js in occurs.values()]
-    second = [k for k, js in enumerate(occurs.values()) if any(where[j] > where[js[0]] or whole[own[j]] for j in js)]
-    places = np.r_[where[lead], np.full(len(second), LAST)]
-    string, inner = RunIndex([*strings, *(strings[k] for k in second)], length).repeats(places)
-    string, inner, count = runs_of(string, inner)
+    twice = np.array([any(where[j] > where[js[0]] or whole[own[j]] for j in js) for js in occurs.values()], bool)
+    number = np.cumsum(1 + twice) - 1 - twice  # of each string's first
+    places = np.full(len(strings) + twice.sum(), LAST)
+    places[number] = where[lead]
+    string, inner, count = runs_of(*RunIndex(strings, length, twice).repeats(places))
     marks, answers = [], []
     cuts = np.searchsorted(string, np.arange(len(places) + 1))
     spans = lambda k: [(int(a), int(m)) for a, m in zip(inner[cuts[k] : cuts[k + 1]], count[cuts[k] : cuts[k + 1]], strict=True)]
-    later = {k: spans(len(strings) + e) for e, k in enumerate(second)}
     for k, js in enumerate(occurs.values()):
+        first_spans, later = spans(number[k]), spans(number[k] + 1) if twice[k] else []
         for j in js:
-            found = spans(k) if where[j] == where[js[0]] else later[k]
+            found = first_spans if where[j] == where[js[0]] else later
             marks += [(int(row[j]), int(at[j]) + a, m) for a, m in found]
             if whole[own[j]]:
                 i = int(row[j])
-                marks += [(c, a, m) for c in copies.get(i, ()) for a, m in (later[k] if place[c] > place[i] else found)]
-                answers += [(i, a, m) for a, m in later[k]] if twin[i] else []
+                marks += [(c, a, m) for c in copies.get(i, ()) for a, m in (later if place[c] > place[i] else found)]
+                answers += [(c, a, m) for c in (i, *copies.get(i, ())) if twin[c] for a, m in later]
     columns = lambda x: tuple(np.array(x, np.int64).reshape(-1, 3).T)
     return columns(marks), columns(answers)
 
@@ -475,32 +510,37 @@ def _mark_maker(length: int):
     """Rows sorted by route: indexes of whole routes, as many as fit a chunk."""
 
     def make():
-        names = ("did", "tie", "key", "piece", "start", "twin")
+        places = ("did", "tie", "start")
 
         def marked(held: list) -> Iterator[dict]:
-            part, data = {c: np.concatenate([h[0][c] for h in held]) for c in names}, [x for h in held for x in h[1]]
-            for answer, (row, at, n) in enumerate(marks_of(part["did"], part["tie"], part["start"], part["twin"].copy(), data, length)):
-                first = at if answer else part["start"][row] + at
-                yield {c: part[c][row] for c in ("did", "tie", "key", "piece")} | {"start": first, "size": n, "answer": np.full(len(row), bool(answer))}
+            part, data, names = {c: np.concatenate([h[0][c] for h in held]) for c in places}, [x for h in held for x in h[1]], [x for h in held for x in h[2]]
+            twin = np.fromiter(map(bool, names), bool, len(names))
+            (row, at, n), answers = marks_of(part["did"], part["tie"], part["start"], twin, data, length)
+            none = np.zeros(len(row), np.int64)
+            yield {"did": part["did"][row], "tie": part["tie"][row], "key": none, "piece": none, "start": part["start"][row] + at, "size": n, "answer": none > 0}
+            told = [(x["key"], x["piece"], max(0, a - x["first"]), min(a + m, x["first"] + x["n"]) - max(a, x["first"])) for i, a, m in zip(*(x.tolist() for x in answers), strict=True) for x in names[i] if a < x["first"] + x["n"] and x["first"] < a + m]
+            key, piece, first, n = np.array(told, np.int64).reshape(-1, 4).T
+            none = np.zeros(len(key), np.int64)
+            yield {"did": none, "tie": none, "key": key, "piece": piece, "start": first, "size": n, "answer": none == 0}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-            held: list[tuple[dict, list[bytes]]] = []
+            held: list[tuple[dict, list, list]] = []
             size, last = 0, None
             for b in batches:
                 if not b.num_rows:
                     continue
-                now, rows = {c: column(b, c).to_numpy(zero_copy_only=False) for c in names}, column(b, "bytes").to_pylist()
+                now, rows, names = {c: column(b, c).to_numpy() for c in places}, column(b, "bytes").to_pylist(), column(b, "names").to_pylist()
                 route = column(b, "route").to_numpy()
                 new = np.flatnonzero(np.r_[route[0] != last, route[1:] != route[:-1]])
                 last, end = route[-1], 0
                 if len(new):  # the last route may go on in the next batch
                     end = int(new[-1])
-                    held.append(({c: x[:end] for c, x in now.items()}, rows[:end]))
+                    held.append(({c: x[:end] for c, x in now.items()}, rows[:end], names[:end]))
                     size += sum(map(len, held[-1][1]))
                     if size >= CHUNK:
                         yield from marked(held)
                         held, size = [], 0
-                held.append(({c: x[end:] for c, x in now.items()}, rows[end:]))
+                held.append(({c: x[end:] for c, x in now.items()}, rows[end:], names[end:]))
                 size += sum(map(len, held[-1][1]))
             if size:
                 yield from marked(held)
@@ -578,15 +618,13 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     found = equals(_anchor_maker(length)(key))
     needed, others = found.where("needed"), [found.where("not needed")]
     crowds = cut(needed.groupBy("key").count().where(F.col("count") > crowd).select(F.col("key").alias("crowd")), "crowds")
-    route = F.col("key")
     if not crowds.isEmpty():
         needed = needed.join(F.broadcast(crowds) if crowds.count() <= SMALL else crowds, F.col("key") == F.col("crowd"), "left")
         strings = equals(_string_maker(length)(of_documents(needed.where("crowd is not null"))))
         others.append(strings.where("not needed"))
         # A crowded minimizer's piece with equals still answers to these, on its own.
-        needed = needed.where("crowd is null or twin").unionByName(strings.where("needed").withColumn("crowd", F.lit(None).cast("long")))
-        route = F.when(F.col("crowd").isNull(), F.col("key")).otherwise(F.xxhash64("key", "piece"))
-    data = cut(_bytes_maker(length)(of_documents(needed, "key", "piece", "twin", route.alias("route"))), "bytes")
+        needed = needed.where("crowd is null or twin").withColumn("alone", F.col("alone") | F.col("crowd").isNotNull()).drop("crowd").unionByName(strings.where("needed"))
+    data = cut(_bytes_maker(length)(of_documents(needed, "key", "piece", "twin", "alone")), "bytes")
     marks = cut(_mark_maker(length)(data.repartition("route").sortWithinPartitions("route")), "marks")
     drop(data)
     answers = marks.where("answer").select(F.col("key").alias("key2"), F.col("piece").alias("piece2"), F.col("start").alias("first"), F.col("size").alias("n")).distinct()
