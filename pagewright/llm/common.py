@@ -19,8 +19,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: Bytes of text that go to a Python worker at once.
 BATCH_BYTES = "8m"
 BATCH_ROWS = "4000"
-#: Workers give memory back to the system once it is free, so that one stage's peak isn't the next one's base.
-MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304"}
+#: Workers have one pool of memory, so that what one stage frees the next one uses.
+MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1"}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of the tables that cut() wrote, while a scratch() is open.
 _written: list[str] | None = None
