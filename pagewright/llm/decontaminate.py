@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Items are cut into overlapping word n-grams. One pass over all documents reads their words and
+Items are cut into overlapping word n-grams, short ones into shorter n-grams. In scripts that are
+written without spaces each character counts as a word. One pass over all documents reads their words and
 keeps those documents that hold any of the n-grams, as word numbers. From these it is counted how
 many documents hold each n-gram; an n-gram much more frequent than its item's others is no seed.
 The seeds are then joined with the n-grams of the numbered documents, and each window around the
@@ -22,14 +23,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, cut, keyed, prepare, texts
+from pagewright.llm.common import arrow_map, column, cut, drop, keyed, prepare, texts
 
 #: Words of items in one block; what is broadcast is at most a few hundred bytes a word.
 BLOCK_WORDS = 200_000
 #: A seed's document count may be so many times the median of its item's seeds.
 RARE = 8
 GAP = 1.0
-_WORD = re.compile(r"\w+")
+#: Letters of scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana and Han.
+_SINGLE = "\u0e01-\u0e5b\u0e81-\u0edf\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_SINGLE}]|[^\W{_SINGLE}]+")
 
 
 def words_of(text: bytes) -> list[str]:
@@ -37,17 +40,25 @@ def words_of(text: bytes) -> list[str]:
     return _WORD.findall(text.decode("utf-8", "replace").lower())
 
 
+def seed_size(words: int, n: int) -> int:
+    """Words of the seeds of an item of so many words: ``n``, or half of the item if that is less, so that an edit leaves some whole."""
+    return min(n, max(1, words // 2))
+
+
 class Items:
     """A block of items: word numbers, and their n-grams as one sorted array of codes."""
 
     def __init__(self, items: list[tuple[int, list[str]]], n: int):
-        self.n, self.ids = n, [i for i, _ in items]
+        self.ids = [i for i, _ in items]
         self.vocabulary: dict[str, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64) for _, words in items]
         self.sizes = np.array([len(w) for w in self.words])
+        seeds = [seed_size(len(w), n) for w in self.words]
+        #: Sizes of n-grams that some item has.
+        self.n = sorted(set(seeds))
         codes, owner, at = [], [], []
-        for k, w in enumerate(self.words):
-            c = self.grams(w)
+        for k, (w, size) in enumerate(zip(self.words, seeds, strict=True)):
+            c = self.grams(w, size)
             codes.append(c)
             owner.append(np.full(len(c), k))
             at.append(np.arange(len(c)))
@@ -55,14 +66,14 @@ class Items:
         order = np.lexsort((at, owner, codes))
         self.codes, self.owner, self.at = codes[order], owner[order], at[order]
 
-    def grams(self, w: np.ndarray) -> np.ndarray:
-        """Code of the n-gram at each word, -1 where one of its words is in no item.
+    @staticmethod
+    def grams(w: np.ndarray, n: int) -> np.ndarray:
+        """Code of the ``n``-gram at each word, -1 where one of its words is in no item.
 
         Codes are mixed into 62 bits; equal n-grams have equal codes, and the alignment decides.
         """
-        n = min(self.n, len(w)) or 1
         size = max(0, len(w) - n + 1)
-        code, known = np.zeros(size, np.uint64), np.ones(size, bool)
+        code, known = np.full(size, n, np.uint64), np.ones(size, bool)
         for k in range(n):
             part = w[k : k + size]
             known &= part >= 0
@@ -76,13 +87,15 @@ class Items:
 
     def hits(self, w: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word positions of ``w`` whose n-gram is in sorted ``codes``, and the index there."""
-        got = self.grams(w)
-        at = np.flatnonzero(got >= 0)
-        if not len(at) or not len(codes):
-            return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(codes, got[at]), len(codes) - 1)
-        same = codes[k] == got[at]
-        return at[same], k[same]
+        where, which = [], []
+        for n in self.n if len(codes) else ():
+            got = self.grams(w, n)
+            at = np.flatnonzero(got >= 0)
+            k = np.minimum(np.searchsorted(codes, got[at]), len(codes) - 1)
+            same = codes[k] == got[at]
+            where.append(at[same])
+            which.append(k[same])
+        return (np.concatenate(where), np.concatenate(which)) if where else (np.empty(0, np.int64),) * 2
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
@@ -205,9 +218,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, tie, item_id, score, first_word, end_word): documents that hold an item or an edited copy of it.
 
     ``score`` is the alignment's score over the item's words, 1.0 for a whole copy; rows reach
-    ``least``. Word positions are those of the best copy in the document. Null texts hold nothing,
-    items without words match nothing, items of fewer than ``n`` words are one seed. Repeated
-    documents and items give repeated rows. An empty table gives no rows.
+    ``least``. Word positions are those of the best copy in the document. A copy is found if it
+    shares a seed with the item: ``n`` words in a row, or half of the item's words if that is less.
+    Null texts hold nothing, items without words match nothing. Repeated documents and items give
+    repeated rows. An empty table gives no rows.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -218,7 +232,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         numbered = cut(arrow_map(docs, _number_maker(block), "doc_id long, tie long, words binary"), "numbered")
         counts = arrow_map(numbered, _count_maker(block), "code long, df long").groupBy("code").agg(F.sum("df").alias("df")).collect()  # at most BLOCK_WORDS rows
         rare = rare_seeds(items, {r["code"]: r["df"] for r in counts})
-        part = cut(arrow_map(numbered, _match_maker(spark.sparkContext.broadcast((items, rare)), least), "doc_id long, tie long, item_id long, score double, first_word long, end_word long"), "contaminated")
+        seeds = spark.sparkContext.broadcast((items, rare))
+        part = cut(arrow_map(numbered, _match_maker(seeds, least), "doc_id long, tie long, item_id long, score double, first_word long, end_word long"), "contaminated")
+        drop(numbered)
+        block.unpersist()
+        seeds.unpersist()
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], "doc_id long, tie long, item_id long, score double, first_word long, end_word long") if found is None else found
 
