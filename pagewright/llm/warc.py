@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, prepare, texts
+from pagewright.llm.common import arrow_map, column, cut, prepare, texts
 
 #: Payloads of fewer bytes are always stored.
 LEAST_BYTES = 100
@@ -28,8 +29,13 @@ CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
-#: Compressed bytes inflated at once.
-STEP = 1 << 16
+#: Compressed bytes inflated at once, at first and later in a member.
+FIRST_STEP, STEP = 1 << 11, 1 << 16
+#: Bytes of payloads in one batch of rows.
+BATCH = 4 << 20
+#: Rows of a table up to which it is broadcast.
+SMALL = 500_000
+_log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -88,9 +94,9 @@ def parse_record(data: bytes, at: int) -> Record:
     return Record(at, stop + 4 - at, headers, payload)
 
 
-def salvage_plain(data: bytes, base: int = 0) -> Salvaged:
-    """Records of uncompressed bytes; offsets are shifted by ``base``."""
-    out, at, lost, reason = Salvaged(), 0, -1, ""
+def salvage_plain(data: bytes, base: int = 0) -> Iterator[Record | Gap]:
+    """Records of uncompressed bytes, and the gaps between them; offsets are shifted by ``base``."""
+    at, lost, reason = 0, -1, ""
     while at < len(data):
         try:
             record = parse_record(data, at)
@@ -101,14 +107,13 @@ def salvage_plain(data: bytes, base: int = 0) -> Salvaged:
             at = m.start() if m else len(data)
             continue
         if lost >= 0:
-            out.gaps.append(Gap(base + lost, at - lost, reason))
+            yield Gap(base + lost, at - lost, reason)
             lost = -1
         at += record.length
         record.offset += base
-        out.records.append(record)
+        yield record
     if lost >= 0:
-        out.gaps.append(Gap(base + lost, len(data) - lost, reason))
-    return out
+        yield Gap(base + lost, len(data) - lost, reason)
 
 
 def inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
@@ -116,77 +121,85 @@ def inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
 
     A damaged member takes no bytes: where it ends isn't known.
     """
-    inflate, plain = zlib.decompressobj(31), []
-    try:
-        for k in range(at, len(data), STEP):
-            plain.append(inflate.decompress(data[k : k + STEP]))
-            if inflate.eof:
-                return b"".join(plain), min(k + STEP, len(data)) - len(inflate.unused_data) - at, ""
-        return b"".join(plain), 0, "member does not end"
-    except zlib.error as e:
-        why = f"member fails: {e}"
-    # Where a step fails its output is lost; go on byte by byte from the start of that step.
-    inflate, plain = zlib.decompressobj(31), []
+    inflate, plain, view, why = zlib.decompressobj(31), [], memoryview(data), "member does not end"
+    k, step = at, FIRST_STEP
+    while k < len(data):
+        # A member is taken from a copy of the state before, so that what a failing step has put out isn't lost.
+        before = inflate.copy() if step == STEP else None
+        try:
+            plain.append(inflate.decompress(view[k : k + step]))
+        except zlib.error as e:
+            why = f"member fails: {e}"
+            break
+        if inflate.eof:
+            return b"".join(plain), min(k + step, len(data)) - len(inflate.unused_data) - at, ""
+        k, step = k + step, min(2 * step, STEP)
+        if k - at > STEP and not any(plain):
+            why = "member puts out nothing"
+            break
+    if not why.startswith("member fails"):
+        return b"".join(plain), 0, why
+    if before is None:
+        before, plain, k = zlib.decompressobj(31), [], at
     try:
-        for k in range(at, at + STEP * ((len(data) - at) // STEP + 1), STEP):
-            before = inflate.copy()
-            plain.append(inflate.decompress(data[k : k + STEP]))
+        for i in range(k, min(k + STEP, len(data))):
+            plain.append(before.decompress(view[i : i + 1]))
     except zlib.error:
-        try:
-            for i in range(k, min(k + STEP, len(data))):
-                plain.append(before.decompress(data[i : i + 1]))
-        except zlib.error:
-            pass
+        pass
     return b"".join(plain), 0, why
 
 
-def salvage_gzip(data: bytes) -> Salvaged:
+def salvage_gzip(data: bytes) -> Iterator[Record | Gap]:
     """Records of gzip members, also of damaged ones as far as they inflate. Empty members are skipped.
 
     Offset and length of a record are those of its member. A gap inside a whole member is logged
     with the member's offset and length and its place among the inflated bytes; of a damaged
     member the bytes up to the next member that is whole or holds records are a gap.
     """
-    out, at, lost, reason = Salvaged(), 0, -1, ""
+    at, lost, reason = 0, -1, ""
     while at < len(data):
         plain, size, why = inflated(data, at) if data.startswith(_MEMBER, at) else (b"", 0, "no gzip member")
-        found = salvage_plain(plain)
-        if size and (found.records or not plain):
+        found = list(salvage_plain(plain))
+        records, gaps = [r for r in found if isinstance(r, Record)], [g for g in found if isinstance(g, Gap)]
+        if records or size and not plain:
             if lost >= 0:
-                out.gaps.append(Gap(lost, at - lost, reason))
+                yield Gap(lost, at - lost, reason)
                 lost = -1
-            out.records += [Record(at, size, r.headers, r.payload) for r in found.records]
-            out.gaps += [Gap(at, size, f"{g.reason}, at {g.offset} of the inflated bytes, {g.length} long") for g in found.gaps]
+        if size and (records or not plain):
+            yield from (Record(at, size, r.headers, r.payload) for r in records)
+            yield from (Gap(at, size, f"{g.reason}, at {g.offset} of the inflated bytes, {g.length} long") for g in gaps)
             at += size
             continue
-        if size:
-            why = found.gaps[0].reason
-        if found.records and lost >= 0:
-            out.gaps.append(Gap(lost, at - lost, reason))
-            lost = -1
         if lost < 0:
-            lost, reason = at, why
+            lost, reason = at, gaps[0].reason if size else why
         after = data.find(_MEMBER, at + 1)
         after = len(data) if after < 0 else after
-        out.records += [Record(at, after - at, r.headers, r.payload) for r in found.records]
+        yield from (Record(at, after - at, r.headers, r.payload) for r in records)
         at = after
     if lost >= 0:
-        out.gaps.append(Gap(lost, len(data) - lost, reason))
-    return out
+        yield Gap(lost, len(data) - lost, reason)
 
 
-def salvage(data: bytes) -> Salvaged:
-    """All whole records of an archive, and the byte gaps between them."""
+def salvaged(data: bytes) -> Iterator[Record | Gap]:
+    """All whole records of an archive, and the byte gaps between them, one by one."""
     plain, member = _VERSION.search(data), data.find(_MEMBER)
     return salvage_gzip(data) if data.startswith(_MEMBER) or member >= 0 and (not plain or member < plain.start()) else salvage_plain(data)
 
 
+def salvage(data: bytes) -> Salvaged:
+    """The same, gathered."""
+    out = Salvaged()
+    for x in salvaged(data):
+        (out.records if isinstance(x, Record) else out.gaps).append(x)
+    return out
+
+
 def _headers(pairs: list[tuple[str, Column]]) -> Column:
     """Header lines; a pair whose value is null has none."""
     return F.concat(F.lit("WARC/1.1" + CRLF), *(F.coalesce(F.concat(F.lit(f"{n}: "), v.cast("string"), F.lit(CRLF)), F.lit("")) for n, v in pairs), F.lit(CRLF))
 
 
-def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least_bytes: int = LEAST_BYTES, date: str = DATE) -> DataFrame:
+def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least_bytes: int = LEAST_BYTES, date: str = DATE, broadcast: int = SMALL) -> DataFrame:
     """(record): one WARC record as text for each row, without its last line end.
 
     Of payloads that are equal by SHA-256 and have ``least_bytes`` or more bytes, the one with the
@@ -195,8 +208,14 @@ def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """
     text = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     pages = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.regexp_replace(F.col(f"`{url_col}`").cast("string"), r"[\x00-\x20\x7f]", "%20").alias("url"), text.alias("html"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text.cast("binary"), 256).alias("digest"))
-    first = pages.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first")).withColumnRenamed("digest", "digest2")
-    pages = pages.join(first, (F.col("digest") == F.col("digest2")) & (F.col("bytes") >= least_bytes), "left")
+    # Only digests that occur again matter. Payloads never meet by digest, so an error page that a third of all urls return is no one task's.
+    first = pages.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("digest2")).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = cut(first, "first")
+    if first.count() <= broadcast:
+        pages = pages.join(F.broadcast(first), F.col("digest") == F.col("digest2"), "left")
+    else:
+        marked = pages.select("id", F.col("digest")).distinct().join(first, F.col("digest") == F.col("digest2")).select(F.col("id").alias("id3"), F.col("digest").alias("digest3"), "first")
+        pages = pages.join(cut(marked, "marked"), F.col("id").eqNullSafe(F.col("id3")) & (F.col("digest") == F.col("digest3")), "left")
     revisit = F.coalesce(F.col("first") != F.coalesce("id", F.col("first") - 1), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
@@ -257,19 +276,33 @@ def write_archives(df: DataFrame, path: str, *, records_per_file: int = 2000, **
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(path, offset, length, kind, reason, headers, payload) of the archives, plain or gzip, under ``path``.
 
-    ``kind`` is record or gap; a gap's ``reason`` is the first check that failed there. Header names
-    are in lower case. An archive is read whole by one task.
+    ``kind`` is record or gap; a gap's ``reason`` is the first check that failed there, and each gap
+    goes to the executor's log, too. Header names are in lower case. An archive is read whole by one
+    task, in time that grows with its size, and must be smaller than 2 GB, the most that Spark's
+    reader of binary files takes; a gzip member is inflated whole. Larger archives are to be cut
+    into files at any byte: what the cut breaks in two is a gap.
     """
     prepare(spark)
 
     def make():
+        names = ("offset", "length", "kind", "reason", "headers", "payload")
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
                 for name, data in zip(column(b, "path").to_pylist(), column(b, "content"), strict=True):
-                    got = salvage(data.as_py())
-                    rows = [(r.offset, r.length, "record", None, list(r.headers.items()), r.payload) for r in got.records] + [(g.offset, g.length, "gap", g.reason, [], None) for g in got.gaps]
+                    rows, size = [], 0
+                    for x in salvaged(data.as_py()):
+                        if isinstance(x, Gap):
+                            _log.warning("quarantined %d bytes at %d of %s: %s", x.length, x.offset, name, x.reason)
+                            rows.append((x.offset, x.length, "gap", x.reason, [], None))
+                        else:
+                            rows.append((x.offset, x.length, "record", None, list(x.headers.items()), x.payload))
+                            size += len(x.payload) + 1000
+                        if size > BATCH:
+                            yield {"path": [name] * len(rows)} | dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
+                            rows, size = [], 0
                     if rows:
-                        yield {"path": [name] * len(rows)} | dict(zip(("offset", "length", "kind", "reason", "headers", "payload"), map(list, zip(*rows, strict=True)), strict=True))
+                        yield {"path": [name] * len(rows)} | dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
 
         return run
 

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from functools import cache
@@ -396,12 +397,13 @@ def test_quality(spark):
 # 6
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [warc.SMALL, 0])
+def test_warc(spark, tmp_path, broadcast):
     long = "x" * 100
     pages = [(4, "http://a b/\n", long), (2, None, long), (9, "u", long), (5, "u", "short"), (6, "u", "short"), (7, "u", None), (8, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 4 + "é"), (None, "u", long), (2, None, long)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1))
     path = f"file://{tmp_path}/a"
-    warc.write_archives(df, path)
+    warc.write_archives(df, path, broadcast=broadcast)
     rows = warc.read_archives(spark, path).collect()
     assert all(r["kind"] == "record" for r in rows) and len(rows) == len(pages)
     got = Counter((int(r["headers"]["x-page-id"]) if "x-page-id" in r["headers"] else None, r["headers"]["warc-type"], r["headers"].get("x-refers-to-page-id")) for r in rows)
@@ -443,6 +445,24 @@ def test_salvage(pack):
     assert warc.salvage(whole[: len(whole) - 20]).gaps and not warc.salvage(b"").gaps
 
 
+def test_reader_takes_time_in_proportion_and_logs_gaps(spark, tmp_path):
+    rng = random.Random(3)
+    members = [gzip.compress(record_of(i, rng.randbytes(800))) for i in range(300)]
+    took = []
+    for times in (10, 40):
+        began = time.process_time()
+        assert len(warc.salvage(b"".join(members) * times).records) == 300 * times
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members[:5]) + b"junk" + members[5][:-9] + members[6])
+    (tmp_path / "b.warc").write_bytes(b"".join(record_of(i, b"y" * (1 << 20)) for i in range(12)) + b"tail")
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = warc.read_archives(spark, f"file://{tmp_path}/*").collect()
+    kinds = Counter((r["path"].rsplit("/", 1)[1], r["kind"]) for r in got)
+    assert kinds == {("a.warc.gz", "record"): 6, ("a.warc.gz", "gap"): 1, ("b.warc", "record"): 12, ("b.warc", "gap"): 1}
+    assert next(r for r in got if r["kind"] == "gap" and r["path"].endswith("a.warc.gz"))["length"] == 4 + len(members[5]) - 9
+
+
 def test_salvage_of_members_with_many_records():
     rng = random.Random(2)
     parts = [record_of(i, rng.randbytes(4000) + bytes(range(256)) * 40) for i in range(40)]
@@ -453,7 +473,7 @@ def test_salvage_of_members_with_many_records():
     whole = gzip.compress(b"".join(parts))
     cut = whole[: len(whole) * 3 // 4]
     plain = zlib.decompressobj(31).decompress(cut)
-    want = [r.headers["x-id"] for r in warc.salvage_plain(plain).records]
+    want = [r.headers["x-id"] for r in warc.salvage_plain(plain) if isinstance(r, warc.Record)]
     got = warc.salvage(cut)
     assert [r.headers["x-id"] for r in got.records] == want and len(want) > 25 and got.gaps[0].reason == "member does not end"
     got = warc.salvage(whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:] + gzip.compress(record_of(40, b"x")))
