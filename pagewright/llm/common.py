@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -17,10 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of text that go to a Python worker at once.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 BATCH_ROWS = "4000"
-#: Workers have one pool of memory, so that what one stage frees the next one uses.
-MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1"}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of the tables that cut() wrote, while a scratch() is open.
 _written: list[str] | None = None
@@ -29,7 +28,6 @@ _written: list[str] | None = None
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches, so that very long rows don't pile up in a worker, and let workers find this package."""
     environment = spark.sparkContext.environment
-    environment.update(MEMORY)
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, environment.get("PYTHONPATH", ""))))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -121,6 +119,15 @@ def started(make: Callable):
     return out
 
 
+def released() -> None:
+    """Gives freed memory back to the system, so that one task's peak isn't the next one's base in the same worker."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]], schema: str) -> DataFrame:
     """``mapInArrow`` for functions that yield dicts of columns.
 
@@ -137,6 +144,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatc
             arrays = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=f.type, from_pandas=False) for f in target for x in (columns[f.name],)]
             arrays = [(x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x).cast(f.type) for x, f in zip(arrays, target, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        common.released()
 
     return df.mapInArrow(run, fields)
 

@@ -550,16 +550,12 @@ def _mark_maker(length: int):
     return arrow_map_of(make, "did long, tie long, key long, piece long, start int, size int, answer boolean")
 
 
-def covered(text: bytes, starts: list, sizes: list, length: int) -> list[tuple[int, int]]:
+def covered(starts: np.ndarray, sizes: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal removed stretches (first byte, end) of a text whose marked starts are given in runs."""
-    out: list[tuple[int, int]] = []
-    for s, n in sorted(zip(starts, sizes, strict=True)):
-        end = s + n - 1 + length
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((s, end))
-    return out
+    by = np.argsort(starts, kind="stable")
+    first, end = starts[by], np.maximum.accumulate(starts[by] + sizes[by] - 1 + length) if len(by) else starts
+    new = np.flatnonzero(np.r_[True, first[1:] > end[:-1]]) if len(by) else by
+    return list(zip(first[new].tolist(), end[np.r_[new[1:], len(by)] - 1].tolist(), strict=True)) if len(by) else []
 
 
 def _cut_maker(length: int, carried: str | None):
@@ -567,10 +563,12 @@ def _cut_maker(length: int, carried: str | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
                 marks = column(b, "marks")
+                offsets, flat = marks.offsets.to_numpy(), marks.values
+                start, size = (flat.field(k).to_numpy() for k in range(2))
                 removed, spans, kept, digest, at = [], [], [], [], []
                 text = texts(b)
-                for t, m in zip(text, marks.to_pylist(), strict=True):
-                    cuts = covered(t, [x["start"] for x in m], [x["size"] for x in m], length) if m else []
+                for t, a, z in zip(text, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    cuts = covered(start[a:z], size[a:z], length)
                     rest = b"".join(t[a:z] for a, z in zip([0, *(z for _, z in cuts)], [*(a for a, _ in cuts), len(t)], strict=True)) if cuts else t
                     removed.append(len(t) - len(rest))
                     spans.append(len(cuts))
