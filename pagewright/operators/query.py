@@ -1,8 +1,10 @@
 """The query language: a parser, and plans over the postings.
 
 Words side by side are alternatives. There are AND, OR, NOT, + and -, parentheses, phrases in
-quotes with an optional slop, boosts, and the fields body, doc_id and segment_id. A word that
-holds several terms is a phrase. Whatever else the text says is a typed error.
+quotes with an optional slop, words and phrases whose last word is a beginning (``fo*``, ``"a fo"*``),
+ranges of terms (``[a TO b]``, ``{a TO *}``), sets of terms (``IN [a b]``), ``*`` for everything,
+boosts, and the fields body, doc_id and segment_id. A word that holds several terms is a phrase.
+Whatever else the text says is a typed error.
 """
 
 from __future__ import annotations
@@ -20,16 +22,19 @@ from pagewright.operators import fulltext
 
 FIELDS = ("body", "doc_id", "segment_id")
 _TOKEN = re.compile(
-    r"\s*(?:(?P<open>\()|(?P<close>\))|(?P<sign>[+-])(?=\S)|(?P<quote>\"(?P<phrase>[^\"]*)\"(?:~(?P<slop>\d+))?)|(?P<op>AND|OR|NOT)(?=[\s()]|$)|(?:(?P<field>[A-Za-z_]\w*):(?=\S))|(?P<boost>\^(?P<by>\d+(?:\.\d+)?))|(?P<word>[^\s()\"^:]+))"
+    r"\s*(?:(?P<open>\()|(?P<close>\))|(?P<sign>[+-])(?=\S)|(?P<quote>\"(?P<phrase>[^\"]*)\"(?:~(?P<slop>\d+)|(?P<begins>\*))?)|(?P<range>(?P<from>[\[{])\s*(?P<low>[^\s\]}]+)\s+TO\s+(?P<high>[^\s\]}]+)\s*(?P<to>[\]}]))|(?P<set>IN\s*\[(?P<members>[^\]]*)\])|(?P<op>AND|OR|NOT)(?=[\s()]|$)|(?:(?P<field>[A-Za-z_]\w*):(?=\S))|(?P<boost>\^(?P<by>\d+(?:\.\d+)?))|(?P<word>[^\s()\"^:]+))"
 )
-_UNSUPPORTED = re.compile(r"[\[\]{}*?]|^IN$|^TO$")
+_UNSUPPORTED = re.compile(r"[\[\]{}?]|\*.|^IN$|^TO$")
 _TERM = re.compile(r"[^\W_]+")
 
 
 @dataclass
 class Phrase:
+    """Terms in a row; ``slop`` is how many places all of them together may be off, ``begins`` that the last is a beginning."""
+
     terms: list[str]
     slop: int = 0
+    begins: bool = False
 
 
 @dataclass
@@ -38,12 +43,33 @@ class Keyed:
     value: str
 
 
+@dataclass
+class Range:
+    """Values from ``low`` to ``high``; a None is open, ``ends`` says which ends belong to it."""
+
+    field: str
+    low: str | None
+    high: str | None
+    ends: tuple[bool, bool]
+
+
+@dataclass
+class OneOf:
+    field: str
+    values: list[str]
+
+
+@dataclass
+class Everything:
+    pass
+
+
 @dataclass
 class Clause:
     """must, should or must_not, and the node it is about."""
 
     occur: str
-    node: Phrase | Keyed | Bool
+    node: Node
 
 
 @dataclass
@@ -52,6 +78,9 @@ class Bool:
     boost: float = 1.0
 
 
+Node = Phrase | Keyed | Range | OneOf | Everything | Bool
+
+
 def failed(message: str) -> EngineError:
     return EngineError("E_SEARCH_FAILED", message)
 
@@ -69,7 +98,7 @@ def parse(text: str) -> Bool:
         m = _TOKEN.match(text, at)
         if not m:
             raise failed(f"cannot read the query at {text[at:]!r}")
-        kind = next(k for k in ("open", "close", "sign", "quote", "op", "field", "boost", "word") if m[k] is not None)
+        kind = next(k for k in ("open", "close", "sign", "quote", "range", "set", "op", "field", "boost", "word") if m[k] is not None)
         if kind == "word" and _UNSUPPORTED.search(m["word"]):
             raise failed(f"not supported: {m['word']}")
         tokens.append((kind, m))
@@ -112,7 +141,7 @@ def _alternatives(tokens: list, at: int) -> tuple[Bool, int]:
     return out, at
 
 
-def _primary(tokens: list, at: int) -> tuple[Phrase | Keyed | Bool, int]:
+def _primary(tokens: list, at: int) -> tuple[Node, int]:
     kind, m = tokens[at]
     name = "body"
     if kind == "field":
@@ -127,9 +156,17 @@ def _primary(tokens: list, at: int) -> tuple[Phrase | Keyed | Bool, int]:
         node, at = _alternatives(tokens, at + 1)
         if at == len(tokens):
             raise failed("a parenthesis isn't closed")
+    elif kind == "range":
+        low, high = (None if x == "*" else x.lower() if name == "body" else x for x in (m["low"], m["high"]))
+        node = Range(name, low, high, (m["from"] == "[", m["to"] == "]"))
+    elif kind == "set":
+        node = OneOf(name, [t for w in m["members"].split() for t in (terms_of(w) if name == "body" else [w])])
+    elif kind == "word" and m["word"] == "*":
+        node = Everything()
     elif kind in ("quote", "word"):
-        value = m["phrase"] if kind == "quote" else m["word"]
-        node = Phrase(terms_of(value), int(m["slop"] or 0)) if name == "body" else Keyed(name, value)
+        value = m["phrase"] if kind == "quote" else m["word"].removesuffix("*")
+        begins = bool(m["begins"]) or kind == "word" and m["word"].endswith("*")
+        node = Phrase(terms_of(value), int(m["slop"] or 0), begins) if name == "body" else Keyed(name, value)
     else:
         raise failed("a clause is missing")
     at += 1
@@ -139,8 +176,8 @@ def _primary(tokens: list, at: int) -> tuple[Phrase | Keyed | Bool, int]:
     return node, at
 
 
-def terms_in(node: Phrase | Keyed | Bool) -> list[str]:
-    """All terms that the plan reads from the postings."""
+def terms_in(node: Node) -> list[str]:
+    """All terms that the plan looks up in the postings."""
     if isinstance(node, Phrase):
         return node.terms
     return [t for c in node.clauses for t in terms_in(c.node)] if isinstance(node, Bool) else []
@@ -152,11 +189,13 @@ class Index:
     def __init__(self, postings: DataFrame, lengths: DataFrame, stats: tuple[int, float], segments: DataFrame):
         self.postings, self.lengths, (self.n, self.avg_len), self.segments = postings, lengths, stats, segments
         self.df: dict[str, int] = {}
+        self.whole = postings
 
     def of(self, terms: list[str]) -> Index:
         """The index cut down to the postings of some terms, with their document frequencies from one job."""
         rows = self.postings.where(F.col("term").isin(terms)) if terms else self.postings.where("false")
         out = Index(rows, self.lengths, (self.n, self.avg_len), self.segments)
+        out.whole = self.whole
         out.df = {r["term"]: r["count"] for r in rows.groupBy("term").count().collect()} if terms else {}
         return out
 
@@ -167,10 +206,23 @@ class Index:
     def _weight(self) -> Column:
         return fulltext.weight(F.col("tf"), F.col("doc_len"), F.lit(max(self.avg_len, 1e-9)))
 
-    def scores(self, node: Phrase | Keyed | Bool) -> DataFrame:
-        """(segment_id, score) of the segments that match."""
+    def scores(self, node: Node) -> DataFrame:
+        """(segment_id, score) of the segments that match. What isn't looked up as terms scores 1, an id 0."""
         if isinstance(node, Keyed):
             return self.segments.where(F.col(node.field) == node.value).select("segment_id", F.lit(0.0).alias("score"))
+        if isinstance(node, Everything):
+            return self.segments.select("segment_id", F.lit(1.0).alias("score"))
+        if isinstance(node, Range | OneOf):
+            value = F.col("term" if node.field == "body" else node.field)
+            rows = self.whole if node.field == "body" else self.segments
+            if isinstance(node, OneOf):
+                rows = rows.where(value.isin(node.values)) if node.values else rows.where("false")
+            else:
+                if node.low is not None:
+                    rows = rows.where(value >= node.low if node.ends[0] else value > node.low)
+                if node.high is not None:
+                    rows = rows.where(value <= node.high if node.ends[1] else value < node.high)
+            return rows.select("segment_id").distinct().withColumn("score", F.lit(1.0))
         if isinstance(node, Phrase):
             return self._phrase(node)
         return self._bool(node)
@@ -185,25 +237,35 @@ class Index:
     def _phrase(self, node: Phrase) -> DataFrame:
         if not node.terms:
             return self.segments.where("false").select("segment_id", F.lit(0.0).alias("score"))
-        if len(node.terms) == 1:
+        if len(node.terms) == 1 and not node.begins:
             return self._words({node.terms[0]: [0]}).select("segment_id", "score")
-        own = [self.postings.where(F.col("term") == t) for t in node.terms]
+        if len(node.terms) == 1:
+            return self._beginning(node.terms[0]).select("segment_id", F.lit(1.0).alias("score"))
+        own = [self.postings.where(F.col("term") == t).select("segment_id", "positions") for t in node.terms]
+        if node.begins:
+            own[-1] = self._beginning(node.terms[-1])
         rows = own[0].select("segment_id", F.col("positions").alias("p0"))
         for k, more in enumerate(own[1:], 1):
             rows = rows.join(more.select("segment_id", F.col("positions").alias(f"p{k}")), "segment_id")
 
-        # Places where each next term stands behind the first, up to the slop.
-        def behind(k: int, p: Column) -> Column:
-            return F.exists(f"p{k}", lambda q: F.abs(q - p - k) <= node.slop)
+        # For each place of the first term: where the terms so far can end, and how many places they are off by then.
+        def step(states: Column, k: int) -> Column:
+            least = lambda q: F.array_min(F.transform(states, lambda s: s["off"] + F.abs(q - s["at"] - 1)))
+            return F.filter(F.transform(f"p{k}", lambda q: F.struct(q.alias("at"), least(q).alias("off"))), lambda s: s["off"] <= node.slop)
 
         def near(p: Column) -> Column:
-            out = behind(1, p)
-            for k in range(2, len(own)):
-                out = out & behind(k, p)
-            return out
+            states = F.array(F.struct(p.alias("at"), F.lit(0).alias("off")))
+            for k in range(1, len(own)):
+                states = step(states, k)
+            return F.size(states) > 0
 
         found = rows.select("segment_id", F.size(F.filter("p0", near)).alias("tf")).where("tf > 0").join(self.lengths, "segment_id")
-        return found.select("segment_id", (F.lit(sum(map(self._idf, node.terms))) * self._weight()).alias("score"))
+        known = node.terms[:-1] if node.begins else node.terms
+        return found.select("segment_id", (F.lit(sum(map(self._idf, known))) * self._weight()).alias("score"))
+
+    def _beginning(self, prefix: str) -> DataFrame:
+        """(segment_id, positions) of all terms that begin so."""
+        return self.whole.where(F.col("term").startswith(prefix)).groupBy("segment_id").agg(F.flatten(F.collect_list("positions")).alias("positions"))
 
     def _bool(self, node: Bool) -> DataFrame:
         words: dict[str, list[int]] = {}
@@ -213,7 +275,7 @@ class Index:
             tag = -1
             if c.occur == "must":
                 tag, must = must, must + 1
-            if isinstance(c.node, Phrase) and len(c.node.terms) == 1:
+            if isinstance(c.node, Phrase) and len(c.node.terms) == 1 and not c.node.begins:
                 words.setdefault(c.node.terms[0], []).append(tag)
             else:
                 rows.append(self.scores(c.node).select("segment_id", "score", F.lit(tag).alias("clause")))

@@ -17,7 +17,8 @@ BROADER, NARROWER, RELATED = "BROADER", "NARROWER", "RELATED"
 def closure(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut, *, check_cycles: bool = True) -> DataFrame:
     """(ancestor, descendant, depth): all pairs that a path of ``edges`` (ancestor, descendant) connects, with the shortest depth.
 
-    Breadth first: round k adds the pairs at distance k only, and ``cut`` ends its lineage.
+    Breadth first: round k writes the pairs at distance k only, and ``cut`` ends its lineage; what
+    earlier rounds wrote is read, never written again.
     """
     step = cut(edges.select("ancestor", "descendant").where("ancestor <> descendant").distinct())
     if check_cycles and not edges.where("ancestor = descendant").isEmpty():
@@ -32,7 +33,7 @@ def closure(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut, *, ch
         frontier = cut(next_.where("ancestor <> descendant").join(found, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return found
-        found = cut(found.unionByName(frontier))
+        found = found.unionByName(frontier)
 
 
 IMPORT_SCHEMA = "scheme_uri string, pref_label string, alt_labels array<string>, definition string, broader array<string>, narrower array<string>, related array<string>"

@@ -11,26 +11,39 @@ from pyspark.sql import SparkSession
 from pagewright.errors import EngineError
 from pagewright.sources.files import Store
 
-# Key -> (type, meaning).
-KEYS: dict[str, tuple[type, str]] = {
-    "search.limit": (int, "Maximum search results"),
-    "embed.base_url": (str, "Embedding service base URL"),
-    "embed.model": (str, "Embedding model name"),
-    "embed.dimensions": (int, "Expected embedding dimensions"),
-    "embed.api_key": (str, "Embedding service API key"),
-    "embed.provider": (str, "Embedding provider"),
-    "embed.cache_dir": (str, "Model cache directory"),
-    "rerank.provider": (str, "Reranking provider"),
-    "rerank.model": (str, "Reranking model name"),
-    "rerank.top_k": (int, "Number of results to rerank"),
+# Keys and their types.
+TYPES: dict[str, type] = {
+    "search.limit": int,
+    "embed.base_url": str,
+    "embed.model": str,
+    "embed.dimensions": int,
+    "embed.api_key": str,
+    "embed.provider": str,
+    "embed.cache_dir": str,
+    "rerank.provider": str,
+    "rerank.model": str,
+    "rerank.top_k": int,
+}
+#: What each key is for.
+ABOUT = {
+    "search.limit": "how many hits a search returns if it doesn't say",
+    "embed.base_url": "where requests for vectors go",
+    "embed.model": "which model makes vectors",
+    "embed.dimensions": "how long these vectors are",
+    "embed.api_key": "what authorizes requests for vectors",
+    "embed.provider": "who makes vectors: a service or a local model",
+    "embed.cache_dir": "where local models are kept",
+    "rerank.provider": "who reranks hits",
+    "rerank.model": "which model reranks hits",
+    "rerank.top_k": "how many hits are reranked",
 }
 
 
 def typed(key: str, value: Any) -> Any:
     """The value in the key's type; text is converted."""
-    if key not in KEYS:
+    if key not in TYPES:
         raise EngineError("E_CONFIG", f"unknown key: {key}")
-    kind = KEYS[key][0]
+    kind = TYPES[key]
     if kind is int and isinstance(value, str):
         try:
             value = int(value)
@@ -71,7 +84,7 @@ class Config:
         return parse(self.files.read(self.path)) if self.files.exists(self.path) else {}
 
     def get(self, key: str) -> Any:
-        if key not in KEYS:
+        if key not in TYPES:
             raise EngineError("E_CONFIG", f"unknown key: {key}")
         return self.load().get(key)
 
@@ -79,3 +92,8 @@ class Config:
         values = self.load() | {key: typed(key, value)}
         self.files.write(self.path, dump(values))
         return values[key]
+
+    def show(self) -> list[dict[str, Any]]:
+        """All keys with their type, meaning and value; a key for requests is shown as set or not."""
+        values = self.load()
+        return [{"key": k, "type": TYPES[k].__name__, "about": ABOUT[k], "value": "set" if k == "embed.api_key" and k in values else values.get(k)} for k in sorted(TYPES)]

@@ -20,6 +20,8 @@ from pagewright.sources import files
 
 SEGMENTER_VERSION = 1
 TEXT_LIMIT = 50_000
+#: Failures that an ingestion's report names; all are counted, and ``found`` (see Engine.take) has all.
+REPORTED = 1_000
 STATES = ("STAGED", "INDEXING", "READY", "FAILED", "DELETED")
 TRANSITIONS = {("STAGED", "INDEXING"), ("INDEXING", "READY"), ("INDEXING", "FAILED"), ("FAILED", "STAGED"), *((s, "DELETED") for s in STATES if s != "DELETED")}
 
@@ -75,11 +77,12 @@ class Engine:
     def take(self, found: DataFrame) -> dict:
         """Store parsed documents (see ``files.documents``); equal contents count as ready, failures are reported."""
         bad = found.where(F.col("error_code").isNotNull())
-        live = self.tables.latest("documents").where("state <> 'DELETED'").select("doc_id")
-        versions = self.tables.rows("documents").groupBy("doc_id").agg(F.countDistinct("version_id").alias("n"))
         good = found.where(F.col("error_code").isNull())
+        # Of what is stored, only the rows of documents in this batch are looked at.
+        known = self.tables.rows("documents").select("doc_id", "version_id", "state", "seq").join(good.select("doc_id").distinct(), "doc_id", "left_semi")
+        known = known.groupBy("doc_id").agg(F.max_by("state", "seq").alias("now"), F.countDistinct("version_id").alias("n"))
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy("source_uri"))
-        new = good.withColumn("_n", first).where("_n = 1").join(live, "doc_id", "left_anti").join(versions, "doc_id", "left")
+        new = good.withColumn("_n", first).where("_n = 1").join(known, "doc_id", "left").where("now IS NULL OR now = 'DELETED'")
         version = tx.derived_id("ver", F.col("doc_id"), F.coalesce("n", F.lit(0)) + 1)
         parser_version = F.coalesce(*(F.when(F.col("parser") == k, F.lit(v[0])) for k, v in parse.PARSERS.items()))
         docs = new.select(
@@ -91,8 +94,10 @@ class Engine:
         self.tables.commit(documents=docs, segments=segments, **self._index_rows(segments))
         added = docs.count()
         total = good.count()
-        failures = [{"path": r["source_uri"], "code": r["error_code"], "message": r["error"]} for r in bad.select("source_uri", "error_code", "error").orderBy("source_uri").collect()]
-        return {"added": added, "ready": total, "failed": len(failures), "failures": failures}
+        failed = bad.count()
+        rows = bad.select("source_uri", "error_code", "error").orderBy("source_uri").limit(REPORTED).collect()
+        failures = [{"path": r["source_uri"], "code": r["error_code"], "message": r["error"]} for r in rows]
+        return {"added": added, "ready": total, "failed": failed, "failures": failures}
 
     def _index_rows(self, segments: DataFrame) -> dict[str, DataFrame]:
         of_doc = segments.select("segment_id", "doc_id", "body")
@@ -104,18 +109,22 @@ class Engine:
 
     def resolve(self, name: str) -> str:
         """A document's id from its id or its title; of several titles the first one added."""
-        docs = self.tables.latest("documents")
+        docs = self.tables.latest("documents", "title", "created_at")
         r = docs.where((F.col("doc_id") == name) | (F.col("title") == name)).orderBy(F.desc(F.col("doc_id") == name), "created_at", "first_seq", "doc_id").select("doc_id").first()
         if r is None:
             raise not_found(name)
         return r["doc_id"]
 
     def _document(self, doc: str):
-        r = self.tables.latest("documents").where(F.col("doc_id") == doc).first()
+        r = self._latest_of(doc).first()
         if r is None:
             raise not_found(doc)
         return r
 
+    def _latest_of(self, doc: str) -> DataFrame:
+        """The current row of one document, with its text."""
+        return self.tables.rows("documents").where(F.col("doc_id") == doc).orderBy(F.desc("seq")).limit(1)
+
     def read(self, id: str, mode: str = "text") -> dict:
         """A document's text (cut at a character after 50 000 bytes), blocks or outline."""
         doc = self._document(self.resolve(id))
@@ -132,7 +141,7 @@ class Engine:
         return {"doc_id": doc["doc_id"], "title": doc["title"], "state": doc["state"], "content": content}
 
     def list(self, limit: int = 100, tag: str | None = None, concept: str | None = None) -> dict:
-        docs = self._filtered(self.tables.latest("documents"), tag, concept, None)
+        docs = self._filtered(self.tables.latest("documents", "title", "state", "source_uri", "created_at"), tag, concept, None)
         rows = docs.orderBy("created_at", "first_seq", "doc_id").limit(limit + 1).select("doc_id", "title", "state", "source_uri").collect()
         return {"documents": [r.asDict() for r in rows[:limit]], "truncated": len(rows) > limit}
 
@@ -152,8 +161,7 @@ class Engine:
         """Put a document into another state; returns the state it had."""
         now = self._document(doc)
         check_transition(now["state"], state)
-        rows = self.tables.latest("documents").where(F.col("doc_id") == doc).withColumn("state", F.lit(state))
-        self.tables.commit(documents=cut(rows.drop("seq", "first_seq")))
+        self.tables.commit(documents=cut(self._latest_of(doc).withColumn("state", F.lit(state)).drop("seq")))
         return now["state"]
 
     def remove(self, id: str, purge: bool = False) -> dict:
@@ -167,7 +175,7 @@ class Engine:
     # Searching.
 
     def _live(self) -> DataFrame:
-        return self.tables.latest("documents").where("state = 'READY'").select("doc_id", "version_id")
+        return self.tables.latest("documents", "state", "version_id").where("state = 'READY'").select("doc_id", "version_id")
 
     def frame_segments(self) -> DataFrame:
         """Segments of the current versions of all documents that are ready."""
@@ -233,7 +241,7 @@ class Engine:
             out.append(r | {"result_id": f"res_{digest(query + ':' + r['segment_id'])}", "reranker_score": score, "reranker_rank": rank, "query": query, "query_digest": digest(query)} | gens)
         if out:
             names = [c.strip().split(" ")[0] for c in self._result_schema().split(",")]
-            self.tables.commit(search_results=self.spark.createDataFrame([tuple(r[c] for c in names) for r in out], self._result_schema()))
+            self.tables.log("search_results", self.spark.createDataFrame([tuple(r[c] for c in names) for r in out], self._result_schema()))
         out.sort(key=lambda r: (r["reranker_rank"] is None, r["reranker_rank"] or 0, r["fused_rank"]))
         hits = [
             {k: r[k] for k in ("result_id", "doc_id", "segment_id", "block_idx", "block_kind", "span_start", "span_end")}
@@ -267,7 +275,7 @@ class Engine:
         doc = self._document(self.resolve(id))
         if doc["state"] != "READY":
             raise invalid(f"document {doc['doc_id']} is in state {doc['state']}, it must be READY")
-        rows = cut(enrich.enrich(self.tables.latest("documents").where(F.col("doc_id") == doc["doc_id"])))
+        rows = cut(enrich.enrich(self._latest_of(doc["doc_id"])))
         self.tables.commit(enrichments=rows)
         r = rows.first()
         return {"doc_id": r["doc_id"], "title": r["title"], "summary_length": len((r["summary"] or "").encode()), "tags": r["tags"]}
@@ -282,7 +290,7 @@ class Engine:
         """Build a new generation of the full-text index from the segments of documents that are ready."""
         segments = cut(self.frame_segments())
         n = segments.agg(F.countDistinct("doc_id").alias("d"), F.count("*").alias("s")).first()
-        stale = self.tables.latest("documents").where(F.col("segmenter_version") != SEGMENTER_VERSION).count()
+        stale = self.tables.latest("documents", "segmenter_version").where(F.col("segmenter_version") != SEGMENTER_VERSION).count()
         rows = {k: v.repartitionByRange("term").sortWithinPartitions("term") if k == "postings" else v for k, v in self._index_rows(segments).items()}
         gen = self.tables.publish("fts", rows, documents=n["d"], segments=n["s"])
         return {"index": "fts", "status": "ok", "documents": n["d"], "segments": n["s"], "generation": gen, "stale_documents": stale}
@@ -311,16 +319,16 @@ class Engine:
         check("home_directory", "ok" if there else "fail", self.home if there else f"{self.home} does not exist")
         try:
             manifest = self.tables.manifest()
-            states = {r["state"]: r["count"] for r in self.tables.latest("documents").groupBy("state").count().collect()}
-            check("store", "ok", f"{sum(states.values())} documents in store")
+            states = {r["state"]: r["count"] for r in self.tables.latest("documents", "state").groupBy("state").count().collect()}
+            check("store", "ok", f"the store holds {sum(states.values())} documents")
             check("schema_version", "ok", f"schema version {manifest['version']}")
             stuck = states.get("INDEXING", 0)
             check("document_states", "warn" if stuck else "ok", f"{stuck} documents are stuck in INDEXING" if stuck else f"{states.get('READY', 0)} documents are ready")
-            missing = self.tables.latest("documents").where("state = 'READY' AND (parser IS NULL OR parser_version IS NULL)").count()
+            missing = self.tables.latest("documents", "state", "parser", "parser_version").where("state = 'READY' AND (parser IS NULL OR parser_version IS NULL)").count()
             check("processing_fingerprints", "warn" if missing else "ok", f"{missing} documents lack a fingerprint")
             indexed = self.tables.rows("lengths").select("segment_id").distinct().join(self.frame_segments().select("segment_id"), "segment_id", "left_semi").count()
             segments = self.frame_segments().count()
-            check("fts_index", "ok", f"{indexed} segments indexed")
+            check("fts_index", "ok", f"the index covers {indexed} segments")
             check("fts_consistency", "ok" if indexed == segments else "fail", f"{indexed} of {segments} segments are indexed")
             about = self.tables.about("vectors")
             if about is None:

@@ -44,6 +44,10 @@ KEYS = {
     "blobs": ["hash"],
     "vectors": ["segment_id"],
 }
+#: Tables whose rows carry whole texts: what of them is the latest is found by key alone.
+WIDE = {"documents", "blobs", "vectors"}
+#: Tables that no operation depends on; rows are appended to them without a lock and without a place in the manifest.
+LOGS = {"search_results"}
 GENERATIONS = {"fts": ("postings", "lengths"), "vectors": ("vectors",), "closure": ("concept_closure",)}
 
 
@@ -140,12 +144,25 @@ class Tables:
         schema = f"{SCHEMAS[name]}, seq long"
         if not self.files.exists(path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path).where(F.col("seq") <= manifest["seq"])
+        found = self.spark.read.schema(schema).parquet(path)
+        return found if name in LOGS else found.where(F.col("seq") <= manifest["seq"])
 
-    def latest(self, name: str) -> DataFrame:
-        """Per key the row written last."""
+    def log(self, name: str, df: DataFrame) -> None:
+        """Append to a table of LOGS. Writers don't wait for one another; the latest row of a key is that written last by the clock."""
+        columns = [c.strip().split(" ")[0] for c in _split(SCHEMAS[name])]
+        df.select(*columns).withColumn("seq", F.lit(time.time_ns())).coalesce(1).write.mode("append").parquet(self._dir(name))
+
+    def latest(self, name: str, *columns: str) -> DataFrame:
+        """Per key the row written last, or some of its columns.
+
+        Of a wide table without ``columns``, keys and sequence numbers are aggregated first; the rows
+        themselves only join the result, so texts of old versions are neither aggregated nor sorted.
+        """
         rows, keys = self.rows(name), KEYS[name]
-        rest = [c for c in rows.columns if c not in keys and c != "seq"]
+        rest = [c for c in rows.columns if c not in keys and c != "seq" and (not columns or c in columns)]
+        if name in WIDE and not columns:
+            heads = rows.groupBy(*keys).agg(F.max("seq").alias("seq"), F.min("seq").alias("first_seq"))
+            return rows.join(heads, [*keys, "seq"]).select(*keys, *rest, "seq", "first_seq")
         if not rest:
             return rows.select(*keys).distinct()
         best = F.max_by(F.struct(*rest), F.col("seq")).alias("r")
