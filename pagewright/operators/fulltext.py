@@ -31,8 +31,8 @@ def term_counts(segments: DataFrame, key: str = "segment_id", body: str = "body"
 
 
 def lengths(segments: DataFrame, key: str = "segment_id", body: str = "body") -> DataFrame:
-    """(segment_id, doc_len)."""
-    return segments.select(key, F.size(tx.terms(F.col(body))).cast("bigint").alias("doc_len"))
+    """(segment_id, doc_len) of the segments that have a body; one without terms has length 0."""
+    return segments.where(F.col(body).isNotNull()).select(key, F.size(tx.terms(F.col(body))).cast("bigint").alias("doc_len"))
 
 
 def term_stats(counts: DataFrame) -> DataFrame:

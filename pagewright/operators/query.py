@@ -99,6 +99,8 @@ def parse(text: str) -> Bool:
         if not m:
             raise failed(f"cannot read the query at {text[at:]!r}")
         kind = next(k for k in ("open", "close", "sign", "quote", "range", "set", "op", "field", "boost", "word") if m[k] is not None)
+        if kind == "word" and m["word"] in ("+", "-"):
+            raise failed("a sign needs a clause")
         if kind == "word" and _UNSUPPORTED.search(m["word"]):
             raise failed(f"not supported: {m['word']}")
         tokens.append((kind, m))

@@ -88,20 +88,6 @@ def bm25_batch(spark, sf_dir):
     return best.select(F.col("query_id").alias("item_id"), "doc_id", "bm25_score", F.col("bm25_rank").cast("long").alias("bm25_rank"))
 
 
-def boolean_match(spark, sf_dir):
-    """+license +version -that: documents by set operations on the postings."""
-    counts = fulltext.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    ids = lambda t: counts.where(F.col("term") == t).select("doc_id")
-    return ids("license").join(ids("version"), "doc_id", "left_semi").join(ids("that"), "doc_id", "left_anti")
-
-
-def phrase_match(spark, sf_dir):
-    """Documents with the phrase "under the", and how often."""
-    t = fulltext.tokens(table(spark, sf_dir, "documents"), "doc_id", "text").where(F.col("term").isin("under", "the"))
-    first, second = t.where("term = 'under'"), t.where("term = 'the'").select("doc_id", (F.col("position") - 1).alias("position"))
-    return first.join(second, ["doc_id", "position"]).groupBy("doc_id").agg(F.count("*").alias("tf"))
-
-
 def knn(spark, sf_dir):
     """The nearest vectors of one query vector."""
     rows = table(spark, sf_dir, "embeddings")
@@ -159,11 +145,6 @@ def enrichment(spark, sf_dir):
     return found.select("doc_id", "title", F.octet_length("summary").cast("long").alias("summary_bytes"), F.array_join("tags", "|").alias("tags"), "content_hash")
 
 
-def snippets(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents")
-    return rows.select("doc_id", F.sha2(tx.snippet(F.col("text")).cast("binary"), 256).alias("snippet_hash"), F.octet_length(tx.snippet(F.col("text"))).cast("long").alias("snippet_bytes"))
-
-
 def outline(spark, sf_dir):
     """The first lines of each conversation's turns."""
     rows = table(spark, sf_dir, "conversations")
@@ -188,25 +169,6 @@ def graph_violations(spark, sf_dir):
     return graph.violations(docs, blocks, order, edges)
 
 
-def document_states(spark, sf_dir):
-    """Latest event of each user as its state, and how many are in each."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
-    return rows.groupBy("state").agg(F.count("*").alias("n"))
-
-
-def label_filter(spark, sf_dir):
-    """Documents of good quality that no label calls toxic: semi and anti joins."""
-    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
-
-
-def listing(spark, sf_dir):
-    """The first hundred documents, and whether there are more."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source").orderBy("doc_id").limit(101)
-    numbered = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("doc_id", "source"))).alias("all"))
-    return numbered.select(F.explode(F.slice("all", 1, 100)).alias("d"), (F.size("all") > 100).alias("truncated")).select("d.doc_id", "d.source", "truncated")
-
-
 def taxonomy_closure(spark, sf_dir):
     """Part types as a hierarchy of their words: ancestors of every type, with depth."""
     types = table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
@@ -233,8 +195,8 @@ def result_identity(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        segments, span_round_trip, reading_chain, plain_titles, content_identity, term_frequencies, corpus_statistics, bm25_top, bm25_batch, boolean_match, phrase_match, knn, knn_batch, hybrid,
-        block_resolution, context_windows, enrichment, snippets, outline, fidelity, graph_violations, document_states, label_filter, listing, taxonomy_closure, geography_closure, result_identity,
+        segments, span_round_trip, reading_chain, plain_titles, content_identity, term_frequencies, corpus_statistics, bm25_top, bm25_batch, knn, knn_batch, hybrid,
+        block_resolution, context_windows, enrichment, outline, fidelity, graph_violations, taxonomy_closure, geography_closure, result_identity,
     )
 }
 
@@ -283,9 +245,6 @@ ORACLE_SQL: dict[str, str] = {
     "corpus_statistics": f"WITH {_TOKENS} SELECT n AS n_segments, round(avg_len, 6) AS avg_len FROM stats",
     "bm25_top": f"WITH {_WORDS}, {_SCORED}, {_BEST} SELECT doc_id, bm25_score, bm25_rank FROM best",
     "bm25_batch": rf"WITH words AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND strlen(x) < 40)) AS t FROM benchmark), wanted AS (SELECT item_id AS query_id, lower(t) AS term, count(*) AS times FROM words GROUP BY ALL), {_SCORED} SELECT query_id AS item_id, doc_id, bm25_score, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, doc_id) AS bm25_rank FROM scored QUALIFY bm25_rank <= 10",
-    "boolean_match": f"WITH {_TOKENS} SELECT doc_id FROM tf WHERE term = 'license' INTERSECT SELECT doc_id FROM tf WHERE term = 'version' EXCEPT SELECT doc_id FROM tf WHERE term = 'that'",
-    "phrase_match": r"""WITH l AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda x: x <> '' AND strlen(x) < 40), lambda x: lower(x)) AS w FROM documents),
-        p AS (SELECT doc_id, unnest(w) AS a, unnest(list_slice(w, 2, len(w))) AS b FROM l) SELECT doc_id, count(*) AS tf FROM p WHERE a = 'under' AND b = 'the' GROUP BY doc_id""",
     "knn": f"WITH {_VECS}, {_NEAR} SELECT vec_id, vector_score, vector_rank FROM near",
     "knn_batch": f"WITH {_VECS} SELECT b.vec_id AS query_id, a.vec_id, round({_COSINE}, 6) AS vector_score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COSINE} DESC, a.vec_id) AS vector_rank FROM vecs a, vecs b WHERE b.vec_id % 20 = 0 QUALIFY vector_rank <= 5",
     "hybrid": f"WITH {_WORDS}, {_SCORED}, {_BEST}, {_VECS}, {_NEAR}, fused AS (SELECT coalesce(best.doc_id, near.vec_id) AS doc_id, bm25_rank, vector_rank, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0) AS s FROM best FULL JOIN near ON best.doc_id = near.vec_id) SELECT doc_id, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(vector_rank, 0) AS vector_rank, round(s, 9) AS fused_score, row_number() OVER (ORDER BY s DESC, doc_id) AS fused_rank FROM fused QUALIFY fused_rank <= {TOP}",
@@ -303,9 +262,6 @@ ORACLE_SQL: dict[str, str] = {
     "outline": f"SELECT conv_id, turn, '[' || turn || '] ' || coalesce(({_LINES.format('coalesce(text, chr(0))')})[1], '') AS line FROM conversations".replace("chr(0)", "''"),
     "fidelity": "SELECT conv_id AS doc_id, count(*) AS n_blocks, count(DISTINCT role) AS n_kinds, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS n_user, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS n_assistant, CAST(count(*) FILTER (role = 'system') AS BIGINT) AS n_system FROM conversations GROUP BY conv_id",
     "graph_violations": "SELECT conv_id AS doc_id, 'READING_CYCLE' AS problem FROM conversations GROUP BY conv_id HAVING count(*) > 1 AND min(turn) = 0",
-    "document_states": "WITH s AS (SELECT user_id, event_type AS state FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT state, count(*) AS n FROM s GROUP BY state",
-    "label_filter": "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
-    "listing": "SELECT doc_id, source, (SELECT count(*) > 100 FROM documents) AS truncated FROM documents ORDER BY doc_id LIMIT 100",
     "taxonomy_closure": "WITH RECURSIVE edges AS (SELECT DISTINCT 'brand:' || p_brand AS ancestor, 'type:' || p_type AS descendant FROM part UNION SELECT DISTINCT 'root', 'brand:' || p_brand FROM part)" + _CLOSURE,
     "geography_closure": "WITH RECURSIVE edges AS (SELECT 'world' AS ancestor, 'r' || r_regionkey AS descendant FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)" + _CLOSURE,
     "result_identity": "SELECT item_id, 'res_' || substr(sha256(text || ':' || item_id), 1, 16) AS result_id FROM benchmark",
