@@ -20,6 +20,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: Bytes of text that go to a Python worker at once.
 BATCH_BYTES = "4m"
 BATCH_ROWS = "4000"
+#: Rows of a written table up to which it is broadcast.
+SMALL = 500_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of the tables that cut() wrote, while a scratch() is open.
 _written: list[str] | None = None
@@ -67,6 +69,11 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     return out
 
 
+def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if it has no more than ``limit`` of them."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables that cut() returned and that nothing reads any more."""
     for table in tables:
@@ -109,6 +116,12 @@ def kept(key, make: Callable):
     return _kept[key]
 
 
+def keep(key) -> None:
+    """Lets tasks that don't use what is kept under ``key`` leave it to later tasks of their operator."""
+    global _asked
+    _asked = key in _kept
+
+
 def started(make: Callable):
     """What ``make`` returns; frees what earlier tasks kept, unless ``make`` asks for it."""
     global _asked

@@ -23,14 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, cut, kept, keyed, prepare, texts
-
-#: Rows of counts by task up to which they are broadcast.
-SMALL = 500_000
-#: Entries of a worker's word cache, which takes a word the second time it is met; a full one takes no more.
-CACHE = 600_000
-#: Places that remember which words were met.
-MET = 1 << 23
+from pagewright.llm.common import arrow_map, column, cut, keep, kept, keyed, prepare, small, texts
+
+#: Words in each of the two generations of a worker's cache, and the length from which a word isn't kept.
+CACHE, LONG = 500_000, 100
+#: New words that the tokenizer gets at once.
+TOGETHER = 200
 #: Where splitting at white space could differ from the tokenizer's own view of the whole text.
 _WHOLE = re.compile("<\\||[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 
@@ -48,28 +46,39 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.met = np.zeros(MET, bool)
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        #: Words met lately, and those met before the younger generation began.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words, many at a time in one text: where a token stands tells its word."""
+        for k in range(0, len(words), TOGETHER):
+            part = words[k : k + TOGETHER]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(got.ids, "<u4").tobytes()
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            at = np.fromiter((first for first, _ in got.offsets), np.int64, len(got.ids))
+            cut = (4 * np.searchsorted(at, starts)).tolist()
+            yield from (ids[a:z] for a, z in zip(cut, cut[1:], strict=False))
 
     def __call__(self, batch: list[str]) -> list[bytes]:
-        cache, whole = self.cache, [bool(_WHOLE.search(t)) for t in batch]
+        whole = [bool(_WHOLE.search(t)) for t in batch]
         split = [None if w else t.split() for t, w in zip(batch, whole, strict=True)]
-        new = list({w for words in split if words for w in words}.difference(cache))
-        once: dict[str, bytes] = {}
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            once.update(zip(part, self._encode(part), strict=True))
-        if len(cache) < CACHE:
-            place = np.fromiter(map(hash, new), np.int64, len(new)) % MET
-            again = np.flatnonzero(self.met[place])[: CACHE - len(cache)]
-            self.met[place] = True
-            cache.update((new[k], once.pop(new[k])) for k in again.tolist())
-        get = cache.get
-        rest = iter(self._encode([t for t, w in zip(batch, whole, strict=True) if w]))
-        return [next(rest) if words is None else b"".join([get(w) or once[w] for w in words]) for words in split]
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = {w for words in split if words for w in words}.difference(young)
+        known = missing.intersection(old)
+        young.update((w, old[w]) for w in known)
+        new = list(missing.difference(known))
+        young.update(zip(new, self._encode(new), strict=True))
+        texts_ = [t for t, w in zip(batch, whole, strict=True) if w]
+        rest = (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts_, add_special_tokens=False))
+        out = [next(rest) if words is None else b"".join(map(young.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) >= LONG:
+                del young[w]
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
@@ -237,6 +246,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     slots = spark.sparkContext.broadcast(Slots(plan(total, capacity), capacity))
 
     def make():
+        keep(("encoder", tokenizer_path))
         placed = slots.value
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -247,6 +257,5 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
         return run
 
-    small = F.broadcast(counts) if counts.count() <= SMALL else counts
-    ranked = cut_up.join(small, (F.col("length") == F.col("length2")) & (F.col("block") == F.col("block2"))).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = cut_up.join(small(counts), (F.col("length") == F.col("length2")) & (F.col("block") == F.col("block2"))).withColumn("rank", F.col("before") + F.col("nth"))
     return arrow_map(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), make, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -23,10 +23,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, cut, keyed, prepare, texts
+from pagewright.llm.common import arrow_map, column, cut, drop, keyed, prepare, texts
 
 #: Times a word occurs in the corpus to be a token of its own.
 LEAST = 5
+#: The model's size: words with a token of their own, at most, the most frequent first. Driver and workers hold about 400 bytes for each.
+VOCABULARY = 1_000_000
 #: Frequent words with a class of their own, and the fewest classes of the others.
 WORDS = 96
 CLASSES = 32
@@ -221,8 +223,8 @@ class Within:
         return np.append(self.as_class, 0)[self.table.class_of], self.as_near
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[bytes], list[int], int]:
-    """Words of all documents that occur ``LEAST`` times, most frequent first, their counts, and occurrences of the others."""
+def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[list[bytes], list[int], int]:
+    """Words of all documents that occur ``LEAST`` times, the ``size`` most frequent of them, their counts, and occurrences of all others."""
 
     def make():
         def rows(counts: Counter) -> dict:
@@ -241,9 +243,11 @@ def vocabulary(docs: DataFrame) -> tuple[list[bytes], list[int], int]:
         return run
 
     counted = cut(arrow_map(docs.select("text"), make, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    found = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").toArrow()
-    rest = counted.where(F.col("n") < LEAST).agg(F.sum("n")).first()[0] or 0
-    return found["word"].to_pylist(), found["n"].to_pylist(), rest
+    counted_all = counted.agg(F.sum("n")).first()[0] or 0
+    found = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(size).toArrow()
+    words, n = found["word"].to_pylist(), found["n"].to_pylist()
+    drop(counted)
+    return words, n, (counted_all - sum(n))
 
 
 def train(docs: DataFrame, known: tuple[list[bytes], list[int], int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -305,6 +309,7 @@ def train(docs: DataFrame, known: tuple[list[bytes], list[int], int], rounds: in
         part = docs.where(F.pmod(F.xxhash64("doc_id", "tie", F.lit("round")), F.lit(rounds)) == k).select("text")
         copies = cut(arrow_map(part, learner(start), fields), "copies")
         sums = arrow_map(copies.repartition("row"), adder, fields).toArrow().combine_chunks()
+        drop(copies)
         if not len(sums):
             continue
         rows, n, m = (sums[c].to_numpy() for c in ("row", "n", "m"))
@@ -321,17 +326,22 @@ def train(docs: DataFrame, known: tuple[list[bytes], list[int], int], rounds: in
     return weights, values
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row.
 
     ``log_likelihood`` is the sum over the document's tokens of the log-probability of each given
     the tokens on both sides; its mean is null for texts without words, null texts among them,
     whose sum is 0. Repeated rows get equal scores. An empty table gives no rows.
+
+    The vocabulary grows with the corpus up to ``size`` words; the others are scored as the rest of
+    their class. Training mixes the copies that tasks train on their rows, so the weights, and with
+    them the scores, depend somewhat on how rows are dealt to tasks and batches: the same files read
+    with the same settings give the same scores.
     """
     spark = df.sparkSession
     prepare(spark)
     docs = keyed(df, id_col, text_col)
-    known = vocabulary(docs)
+    known = vocabulary(docs, size)
     words, model = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(train(docs, known))
 
     def make():

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, cut, keyed, prepare, texts
+from pagewright.llm.common import arrow_map, column, cut, keyed, prepare, small, texts
 
 #: Labelled documents that the classifier learns from, at most.
 SAMPLE = 20_000
-#: Words whose log-odds are kept for each label.
+#: The classifier's size: words whose log-odds are kept for each label, the surest first. No row of the table is left out for it.
 WORDS = 5_000
 #: Documents of the sample in which a word must be.
 SEEN = 5
@@ -166,7 +166,7 @@ def posteriors(scores: DataFrame) -> DataFrame:
     for t in TARGETS:
         hosts = hosts.withColumn(f"host_{t}", shrunk(F.col(f"s_{t}"), F.col("n"), F.lit(prior[t]), strength[t][0]))
     table = paths.withColumnRenamed("host", "h").withColumnRenamed("path", "p").join(hosts.select(F.col("host").alias("h2"), *(f"host_{t}" for t in TARGETS)), F.col("h") == F.col("h2")).drop("h2")
-    table = cut(table, "priors")
+    table = small(cut(table, "priors"))
     out = scores.join(table, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")))
     for t in TARGETS:
         own = F.col(f"p_{t}")
@@ -181,7 +181,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Per row: doc_id, tie, host, path, p_, host_, path_ and post_ of quality and toxic, and keep.
 
     ``keep`` says that the posterior of quality reaches ``least`` and that of toxic stays below
-    ``toxic``. Null texts count as empty, null hosts and paths as empty names, repeated rows as
+    ``toxic``. The model is bounded: it learns from at most ``sample`` labelled rows and keeps
+    ``WORDS`` words for each label. Null texts count as empty, null hosts and paths as empty names, repeated rows as
     often as they occur. The table of documents has no URL: by default source stands for the host
     and lang for the path. Labels without a document or with nulls teach nothing; of several labels
     of one document the larger counts. Without any labels every document has even odds. An empty

@@ -26,8 +26,8 @@ SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
 
 
-def suffix_ranks(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The suffix array, and the ranks of all prefixes of 1, 2, 4, ... symbols. Ends count as smallest."""
+def suffix_ranks(symbols: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The suffix array, and the ranks of all prefixes of 1, 2, 4, ... symbols, or only of the last. Ends count as smallest."""
     n = len(symbols)
     bits = int(n + 1).bit_length()
     levels = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)]
@@ -49,26 +49,72 @@ def suffix_ranks(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
             return rows, levels
         to = np.empty(n, np.int64)
         to[rows] = np.cumsum(new) - 1
-        levels.append(to)
+        levels = [*levels, to] if keep else [to]
         depth *= 2
 
 
+# Primes below 2^31, so that products of two residues fit 64 bits.
+PRIMES = (2_147_483_647, 2_147_483_629)
+
+
+class Stretches:
+    """Compares stretches of symbols by residues of polynomials modulo two primes, in memory that grows with the symbols only."""
+
+    def __init__(self, symbols: np.ndarray, seed: int = 1):
+        n, rng = len(symbols), np.random.default_rng(seed)
+        self.parts = []
+        for prime in PRIMES:
+            base, power = int(rng.integers(1 << 20, prime)), np.ones(n + 1, np.int64)
+            size = 1
+            while size <= n:  # powers of the base, twice as many each time
+                more = min(size, n + 1 - size)
+                power[size : size + more] = power[:more] * pow(base, size, prime) % prime
+                size *= 2
+            sums = np.zeros(n + 1, np.int64)
+            np.cumsum((symbols + 1) % prime * power[:n] % prime, out=sums[1:])
+            self.parts.append((prime, power, sums % prime))
+
+    def equal(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the stretches of ``size`` symbols at ``a`` and ``b`` (a <= b) are the same."""
+        out = np.ones(len(a), bool)
+        for prime, power, sums in self.parts:
+            out &= (sums[a + size] - sums[a]) % prime * power[b - a] % prime == (sums[b + size] - sums[b]) % prime
+        return out
+
+
+def shared_prefixes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, and the length that each of its rows but the first shares with the row before."""
+    n = len(symbols)
+    rows, levels = suffix_ranks(symbols, keep=n <= CHUNK)
+    lcp = np.zeros(n - 1, np.int64)
+    if n <= CHUNK:
+        a, b = rows[:-1].copy(), rows[1:].copy()
+        for k in range(len(levels) - 1, -1, -1):
+            inside = (a < n) & (b < n)
+            same = inside.copy()
+            same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
+            step = same.astype(np.int64) << k
+            lcp += step
+            a += step
+            b += step
+        return rows, lcp
+    # All ranks of a long text would take too much memory: find the lengths bit by bit instead.
+    stretches = Stretches(symbols)
+    a, b = np.minimum(rows[:-1], rows[1:]), np.maximum(rows[:-1], rows[1:])
+    for k in range(int(n).bit_length() - 1, -1, -1):
+        longer = lcp + (1 << k)
+        inside = np.flatnonzero(b + longer <= n)
+        same = inside[stretches.equal(a[inside], b[inside], longer[inside])]
+        lcp[same] = longer[same]
+    return rows, lcp
+
+
 def longest_repeats(symbols: np.ndarray) -> np.ndarray:
     """For each position the length of the longest string that starts there and somewhere else."""
     n = len(symbols)
     if n < 2:
         return np.zeros(n, np.int64)
-    rows, levels = suffix_ranks(symbols)
-    a, b = rows[:-1].copy(), rows[1:].copy()
-    lcp = np.zeros(n - 1, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        inside = (a < n) & (b < n)
-        same = inside.copy()
-        same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
-        step = same.astype(np.int64) << k
-        lcp += step
-        a += step
-        b += step
+    rows, lcp = shared_prefixes(symbols)
     out = np.zeros(n, np.int64)
     out[rows[:-1]] = lcp
     out[rows[1:]] = np.maximum(out[rows[1:]], lcp)

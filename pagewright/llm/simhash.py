@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, cut, drop, keyed, prepare, texts
+from pagewright.llm.common import arrow_map, column, cut, drop, keyed, prepare, small, texts
 from pagewright.llm.components import components
 
 BITS = 64
@@ -36,15 +36,13 @@ _FACTORS, _TERMS = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BA
 #: Bits of the parity map of a set.
 PARITY = 2048
 #: Sets, and hashes in them, that one task compares with one another; larger groups are split.
-GROUP, GROUP_HASHES = 512, 8_000_000
+GROUP, GROUP_HASHES = 128, 8_000_000
 #: Sets of a split group that go into each of its parts.
 PIVOTS = 16
 #: Own fingerprints of a bucket that one task compares; larger buckets are split.
 OWN = 4096
 #: What it costs to send a row to a bucket, in comparisons of two fingerprints.
 ROW = 200
-#: Rows of a table up to which it is broadcast.
-SMALL = 500_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -182,11 +180,6 @@ def segments_for(n: int, distance: int) -> int:
     return min((k for k in range(1, 9) if distance // k in (1, 2)), key=cost, default=max(1, distance))
 
 
-def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """``df``, a written table, marked for broadcast if it has no more than ``limit`` rows."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def links(distinct: DataFrame, distance: int, segments: int | None = None, own: int = OWN) -> DataFrame:
     """(u, v): links of fingerprints (column fp) at ``distance`` or fewer bits, as stars within buckets.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, cut, drop, keyed, prepare, texts
+from pagewright.llm.common import arrow_map, column, cut, drop, keyed, prepare, small, texts
 
 #: Bytes of the n-grams whose hashes name pieces. Shorter ones bring together more pieces that share nothing longer.
 GRAM = 40
@@ -43,9 +43,7 @@ FREQUENT = 8
 #: An index is built once so many bytes of pieces are there.
 CHUNK = 450_000
 #: Distinct pieces of one minimizer from which its strings are dealt out one by one.
-CROWD = 2_000
-#: Rows of a table up to which it is broadcast.
-SMALL = 500_000
+CROWD = 400
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -617,7 +615,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     needed, others = found.where("needed"), [found.where("not needed")]
     crowds = cut(needed.groupBy("key").count().where(F.col("count") > crowd).select(F.col("key").alias("crowd")), "crowds")
     if not crowds.isEmpty():
-        needed = needed.join(F.broadcast(crowds) if crowds.count() <= SMALL else crowds, F.col("key") == F.col("crowd"), "left")
+        needed = needed.join(small(crowds), F.col("key") == F.col("crowd"), "left")
         strings = equals(_string_maker(length)(of_documents(needed.where("crowd is not null"))))
         others.append(strings.where("not needed"))
         # A crowded minimizer's piece with equals still answers to these, on its own.

@@ -598,7 +598,9 @@ def test_repetition(docs):
     assert repetition.rules(empty(docs)).count() == 0
 
 
-def test_longest_repeats():
+@pytest.mark.parametrize("chunk", [repetition.CHUNK, 3])
+def test_longest_repeats(monkeypatch, chunk):
+    monkeypatch.setattr(repetition, "CHUNK", chunk)
     rng = np.random.default_rng(0)
     for t in range(80):
         s = rng.integers(0, 1 + t % 4, rng.integers(1, 40)).tolist()
@@ -607,6 +609,47 @@ def test_longest_repeats():
         assert repetition.longest_repeats(np.array(s)).tolist() == want
 
 
+def plain_verdict(text):
+    """base_failed, kept, share and characters of repeats of four words or more, by comparing all pairs of words."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(w)
+    seen = Counter(tuple(w[i : i + 3]) for i in range(n - 2))
+    again = {i + k for i in range(n - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    failed = n < 50 or 100 * len(again) > 50 * n
+    covered, longest = set(), 0
+    for i in range(n):
+        r = max((next((k for k in range(n) if max(i, j) + k >= n or w[i + k] != w[j + k]), n) for j in range(n) if j != i), default=0)
+        if r >= repetition.LEAST_WORDS:
+            covered |= set(range(i, i + r))
+            longest = max(longest, sum(map(len, w[i : i + r])))
+    share = sum(len(w[i]) for i in covered) / max(1, sum(map(len, w)))
+    return failed, not failed and share <= repetition.MOST_COVERED and longest <= repetition.LONGEST, share, longest
+
+
+def test_kept_against_all_pairs(spark):
+    a, b = prose(30), prose(12)
+    long = prose(170)
+    texts = [prose(90), prose(60) + " " + a + " " + prose(9) + " " + a, (b + " ") * 9, prose(49), prose(50), long + " " + prose(200) + " " + long, None, "", "x " * 60, prose(40) + " " + b + "\n" + b + " " + prose(40)]
+    # Ties at the limits: exactly 40 hundredths of the characters in repeats, exactly as long as allowed, and one more.
+    tie = " ".join(f"r{i:03d}" for i in range(20))
+    texts += [tie + " " + " ".join(f"u{i:03d}" for i in range(60)) + " " + tie, tie + " " + " ".join(f"u{i:03d}" for i in range(59)) + " " + tie]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS kept", "2 AS n_words")
+    got = Counter((r["doc_id"], r["base_failed"], r["kept"], round(r["repeat_covered"], 9), r["longest_repeat"]) for r in repetition.rules(df, longest=repetition.LONGEST).collect())
+    assert got == Counter((i, f, k, round(c, 9), m) for i, t in rows for f, k, c, m in (plain_verdict(t),))
+
+
+def test_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    words = [f"w{i % 5000}".encode() for i in range(repetition.CHUNK + 1000)]
+    tracemalloc.start()
+    got = repetition.measure([b" ".join(words)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["repeat_covered"] == [1.0] and peak < 800 * len(words)
+
+
 def test_verdict_on_repeats():
     clean, again = prose(200), prose(80)
     got = repetition.measure([clean.encode(), (prose(60) + " " + again + " " + prose(10) + " " + again).encode()])
