@@ -12,45 +12,63 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import decontaminate, packing, quality, simhash, suffix_dedup
-from pagewright.llm.common import cut, table
+from pagewright.llm.common import cut, scratch, small, table
 
 NO_ID = -(2**63)
+#: A row of documents by its id and a hash of its text.
+KEY = ["did", "tie"]
 
 
-def _keys(docs: DataFrame) -> tuple[Column, Column]:
-    """What tells a row of documents: its id, and a hash of its text."""
-    return F.coalesce(F.col("doc_id"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+def _did() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did")
 
 
-def _rows(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` that are (left_semi) or aren't (left_anti) among (did, tie) of ``decided``."""
-    did, tie = _keys(docs)
-    return docs.withColumns({"_did": did, "_tie": tie}).join(decided.select(F.col("did").alias("_did"), F.col("tie").alias("_tie")).distinct(), ["_did", "_tie"], how).drop("_did", "_tie")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, did, tie): the whole row as one column, so that its columns may have any names."""
+    return docs.select(F.struct("*").alias("row"), _did(), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"))
 
 
-def _did() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("did")
+def _rows(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` that are (left_semi) or aren't (left_anti) among (did, tie) of ``decided``."""
+    keys = small(cut(decided.select(*KEY).distinct(), "decided"))
+    return _keyed(docs).join(keys, KEY, how).select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier and their site's posterior accept."""
+    """Documents that the classifier and their site's posterior accept.
+
+    Null texts are judged as empty ones, rows without a label like any other; repeated rows share a
+    verdict. Columns beyond those of documents stay. An empty table gives no rows.
+    """
     judged = quality.classify(docs, table(spark, sf_dir, "labels"))
     return _rows(docs, judged.where(~F.col("keep")).select(_did(), "tie"), "left_anti")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    found = cut(simhash.near_copies(docs, shingle=5, similarity=0.8, distance=7, segments=4), "groups")
-    first = found.groupBy("group").agg(F.min(F.struct(_did(), F.col("tie"))).alias("first")).select("first.did", "first.tie")
-    kept = _rows(docs, first, "left_semi")
-    did, tie = _keys(docs)
-    # Rows that are equal in id and text are one document.
-    number = F.row_number().over(Window.partitionBy(did, tie).orderBy(F.lit(0)))
-    return kept.withColumn("_number", number).where("_number = 1").drop("_number")
+    """One document, that of the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    A null id counts as smaller than all others. Texts without words, null texts among them, are one
+    group. Of rows that are equal in id and text one stays. An empty table gives no rows.
+    """
+    found = cut(simhash.near_copies(docs, shingle=5, similarity=0.8, distance=7), "groups")
+    first = found.groupBy("group").agg(F.min(F.struct(_did(), F.col("tie"))).alias("first"), F.count("*").alias("n")).select("first.did", "first.tie", "n")
+    first = cut(first, "first")
+    kept = _keyed(docs).join(small(first), KEY)
+    again = cut(found.groupBy(_did(), "tie").count().where("count > 1").select(*KEY), "again")
+    if again.isEmpty():
+        return kept.select("row.*")
+    # Rows that are equal in id and text are one document; only these are brought together to be numbered.
+    number = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))
+    once = kept.join(small(again), KEY, "left_semi").withColumn("number", number).where("number = 1").select("row")
+    return kept.join(small(again), KEY, "left_anti").select("row").unionByName(once).select("row.*")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 100 bytes or more that start earlier in the corpus."""
+    """Documents without the passages of 100 bytes or more that start earlier in the corpus.
+
+    All documents stay, also those of which nothing is left; n_chars is that of what is left. A null
+    text becomes an empty one. Repeated rows stay repeated. An empty table gives no rows.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     found = suffix_dedup.deduplicate(docs, length=100, carry=tuple(rest) or ("doc_id",))
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")} | {c: F.col(f"carried.`{c}`") for c in rest}
@@ -58,13 +76,16 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an item of the benchmark or an edited copy of one."""
+    """Documents without an item of the benchmark or an edited copy of one.
+
+    Null texts hold none and stay; an empty benchmark leaves all. An empty table gives no rows.
+    """
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return _rows(docs, found.select(_did(), "tie"), "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    """The pieces of all documents, each with its sequence and offset."""
+    """The pieces of all documents, each with its sequence and offset; a null or empty text is one piece of one token."""
     if tokenizer_path is None:
         import public_tokenizers
 
@@ -85,9 +106,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table of documents. What a stage writes for itself is removed once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as kept:
+            docs = cut(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
