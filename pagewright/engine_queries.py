@@ -120,6 +120,15 @@ def kb_blocks(spark, sf_dir):
     return _rows(spark, [(b["index"], b["kind"], b["span_start"], b["span_end"], b["body"]) for b in got], "block_idx long, kind string, span_start long, span_end long, body string")
 
 
+def kb_graph(spark, sf_dir):
+    """The stored reading order and edges of every document, beside its blocks."""
+    blocks, order, edges = _engine(spark, sf_dir).frame_graph()
+    n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    found = n(blocks, "blocks").join(n(order, "places"), "doc_id", "left").join(n(edges, "edges"), "doc_id", "left")
+    broken = graph.violations(_engine(spark, sf_dir).tables.latest("documents").select("doc_id", "canonical_text"), blocks, order, edges)
+    return found.join(broken.groupBy("doc_id").agg(F.count("*").alias("broken")), "doc_id", "left").fillna(0)
+
+
 def kb_outline(spark, sf_dir):
     """Its outline, read by its title."""
     engine = _engine(spark, sf_dir)
@@ -567,7 +576,7 @@ def latencies(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        kb_documents, kb_ingest_report, kb_segments, kb_states, kb_removed, kb_list, kb_blocks, kb_outline, kb_text, kb_enrichments, kb_transitions, kb_search, kb_search_errors, kb_vector_search, kb_hybrid, kb_search_expanded, kb_explain,
+        kb_documents, kb_ingest_report, kb_segments, kb_states, kb_removed, kb_list, kb_blocks, kb_graph, kb_outline, kb_text, kb_enrichments, kb_transitions, kb_search, kb_search_errors, kb_vector_search, kb_hybrid, kb_search_expanded, kb_explain,
         kb_rerank, kb_doctor, kb_snippets, kb_concepts, kb_import_report, kb_closure, kb_cycle, kb_by_concept, kb_by_tag, kb_of_document, markdown_blocks, markdown_documents, structured_blocks, structured_losses, parser_errors,
         pdf_documents, graph_rules, file_walk, file_stream, blobs, vector_lines, vector_index, program, program_errors, replies, operation_search, exit_codes, configuration, latencies,
     )
@@ -650,6 +659,7 @@ ORACLE_SQL: dict[str, str] = {
     "kb_removed": "SELECT CAST(0 AS BIGINT) AS still_found, CAST(1 AS BIGINT) AS added_again, CAST(2 AS BIGINT) AS versions, CAST(1 AS BIGINT) AS generation",
     "kb_list": f"WITH {_SRC} SELECT doc_id, {_TITLE} AS title, 'READY' AS state, (SELECT count(*) > 100 FROM docs) AS truncated FROM docs ORDER BY doc_id LIMIT 100",
     "kb_blocks": f"WITH {_SEGS} SELECT seg_index AS block_idx, 'PARAGRAPH' AS kind, span_start, span_end, body FROM named WHERE doc_id = {_FIRST_DOC}",
+    "kb_graph": f"WITH {_SEGS} SELECT doc_id, count(*) AS blocks, count(*) AS places, count(*) - 1 AS edges, CAST(0 AS BIGINT) AS broken FROM named GROUP BY doc_id",
     "kb_outline": f"WITH {_SEGS} SELECT seg_index AS position, '[' || seg_index || '] ' || body AS line FROM named WHERE doc_id = {_FIRST_DOC}",
     "kb_text": f"WITH {_SRC} SELECT t AS text, false AS truncated FROM docs WHERE doc_id = {_FIRST_DOC}",
     "kb_enrichments": f"WITH {_SRC} SELECT doc_id, {_TITLE} AS title, length(substr(t, 1, 500)) AS summary_chars, CAST(0 AS BIGINT) AS n_tags, 'heuristic' AS provider, sha256(t) AS content_hash FROM docs",

@@ -8,7 +8,10 @@ expressions; formats that nest are read by Arrow functions.
 from __future__ import annotations
 
 import json
+import os
 import re
+import subprocess
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -274,6 +277,31 @@ def pdf_blocks(extract: Callable[[bytes], str]) -> Callable[[bytes], dict]:
     return parse
 
 
+def external(command: list[str], suffix: str = ".pdf", timeout_s: float = 600.0) -> Callable[[bytes], dict]:
+    """A parser that runs a converter: ``command --to json --output FOLDER FILE`` leaves a structured export in the folder."""
+
+    def parse(data: bytes) -> dict:
+        with tempfile.TemporaryDirectory() as folder:
+            source = os.path.join(folder, f"source{suffix}")
+            with open(source, "wb") as f:
+                f.write(data)
+            out = os.path.join(folder, "out")
+            os.mkdir(out)
+            done = subprocess.run([*command, "--to", "json", "--output", out, source], capture_output=True, timeout=timeout_s)
+            if done.returncode:
+                raise RuntimeError(f"the converter ended with {done.returncode}: {done.stderr[-200:].decode('utf-8', 'replace')}")
+            found = sorted(x for x in os.listdir(out) if x.endswith(".json"))
+            if not found:
+                raise RuntimeError("the converter left no export")
+            with open(os.path.join(out, found[0]), "rb") as f:
+                exported = f.read()
+        if json.loads(exported).get("schema_name") != "DoclingDocument":
+            raise ValueError("not a structured document")
+        return structured_blocks(exported)
+
+    return parse
+
+
 def no_pdf(data: bytes) -> str:
     raise RuntimeError("no PDF extractor is configured")
 

@@ -91,7 +91,9 @@ class Engine:
         )
         docs = cut(docs)
         segments = graph.segments_of(docs).join(docs.select("doc_id", "version_id"), "doc_id")
-        self.tables.commit(documents=docs, segments=segments, **self._index_rows(segments))
+        of_version = docs.select("doc_id", "version_id")
+        order, edges = (make(docs).join(of_version, "doc_id") for make in (graph.order_of, graph.edges_of))
+        self.tables.commit(documents=docs, block_order=order, block_edges=edges, segments=segments, **self._index_rows(segments))
         added = docs.count()
         total = good.count()
         failed = bad.count()
@@ -140,6 +142,13 @@ class Engine:
             raise invalid(f"unknown mode: {mode}")
         return {"doc_id": doc["doc_id"], "title": doc["title"], "state": doc["state"], "content": content}
 
+    def frame_graph(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Blocks, reading order and edges of the current versions of all documents that are ready."""
+        live = self._live()
+        blocks = graph.exploded(self.tables.latest("documents").join(live.select("doc_id"), "doc_id", "left_semi"))
+        order, edges = (self.tables.rows(n).join(live, ["doc_id", "version_id"], "left_semi").drop("seq", "version_id").distinct() for n in ("block_order", "block_edges"))
+        return blocks, order, edges
+
     def list(self, limit: int = 100, tag: str | None = None, concept: str | None = None) -> dict:
         docs = self._filtered(self.tables.latest("documents", "title", "state", "source_uri", "created_at"), tag, concept, None)
         rows = docs.orderBy("created_at", "first_seq", "doc_id").limit(limit + 1).select("doc_id", "title", "state", "source_uri").collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
@@ -91,12 +92,33 @@ def zeros(dimensions: int = 64) -> Embedder:
     return Embedder("stub", "zero", dimensions, lambda texts: [[0.0] * dimensions for _ in texts])
 
 
+def post_to(url: str, key: str | None = None, timeout_s: float = 30.0) -> Callable[[dict], dict]:
+    """Sends requests for embeddings as JSON to a service; whatever goes wrong is E_EMBED_FAIL."""
+
+    def post(body: dict) -> dict:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        request = urllib.request.Request(f"{url.rstrip('/')}/embeddings", json.dumps(body).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=timeout_s) as reply:
+                return json.loads(reply.read())
+        except (OSError, ValueError) as e:
+            raise EngineError("E_EMBED_FAIL", f"the embedding service failed: {e}") from None
+
+    return post
+
+
 def over_http(post: Callable[[dict], dict], model: str, dimensions: int) -> Embedder:
     """An embedder behind a service: ``post`` sends a request body and returns the reply, whose data are ordered by index."""
 
     def embed(texts: list[str]) -> list[list[float]]:
         reply = post({"model": model, "input": texts})
-        return [r["embedding"] for r in sorted(reply["data"], key=lambda r: r["index"])]
+        try:
+            found = [r["embedding"] for r in sorted(reply["data"], key=lambda r: r["index"])]
+        except (KeyError, TypeError) as e:
+            raise EngineError("E_EMBED_FAIL", f"the embedding service's reply lacks {e}") from None
+        if len(found) != len(texts) or any(len(v) != dimensions for v in found):
+            raise EngineError("E_EMBED_FAIL", f"the embedding service didn't give {len(texts)} vectors of {dimensions} dimensions")
+        return found
 
     return Embedder("http", model, dimensions, embed)
 

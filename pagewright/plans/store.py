@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from pagewright.sources.files import Store
 VERSION = 1
 SCHEMAS = {
     "documents": f"doc_id string, state string, title string, canonical_text string, source_uri string, source_hash string, parser string, parser_version int, segmenter_version int, version_id string, blocks array<{BLOCK}>, losses array<{LOSS}>, created_at timestamp",
+    "block_order": "doc_id string, version_id string, position long, block_idx long",
+    "block_edges": "doc_id string, version_id string, from_idx long, to_idx long, relation string",
     "segments": "segment_id string, doc_id string, seg_index long, span_start long, span_end long, body string, version_id string",
     "enrichments": "doc_id string, title string, summary string, tags array<string>, provider string, content_hash string",
     "search_results": "result_id string, query string, query_digest string, doc_id string, segment_id string, block_idx long, block_kind string, bm25_score double, bm25_rank int, vector_score double, vector_rank int, fused_score double, fused_rank int, reranker_score double, reranker_rank int, fts_gen long, vec_gen long",
@@ -144,13 +147,14 @@ class Tables:
         schema = f"{SCHEMAS[name]}, seq long"
         if not self.files.exists(path):
             return self.spark.createDataFrame([], schema)
-        found = self.spark.read.schema(schema).parquet(path)
-        return found if name in LOGS else found.where(F.col("seq") <= manifest["seq"])
+        if name in LOGS:
+            return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+        return self.spark.read.schema(schema).parquet(path).where(F.col("seq") <= manifest["seq"])
 
     def log(self, name: str, df: DataFrame) -> None:
-        """Append to a table of LOGS. Writers don't wait for one another; the latest row of a key is that written last by the clock."""
+        """Append to a table of LOGS. Writers don't wait for one another, as each has a folder of its own; the latest row of a key is that written last by the clock."""
         columns = [c.strip().split(" ")[0] for c in _split(SCHEMAS[name])]
-        df.select(*columns).withColumn("seq", F.lit(time.time_ns())).coalesce(1).write.mode("append").parquet(self._dir(name))
+        df.select(*columns).withColumn("seq", F.lit(time.time_ns())).coalesce(1).write.parquet(f"{self._dir(name)}/{uuid.uuid4().hex}")
 
     def latest(self, name: str, *columns: str) -> DataFrame:
         """Per key the row written last, or some of its columns.

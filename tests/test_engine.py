@@ -90,16 +90,16 @@ def test_enrich_filters_and_taxonomy(engine, tmp_path):
     doc = engine.search("Result", "bm25")["hits"][0]["doc_id"]
     made = engine.enrich(doc)
     assert made["title"] == "Rust errors in depth"
-    data = [{"scheme_uri": "s", "pref_label": "Dog", "broader": ["Mammal"]}, {"scheme_uri": "s", "pref_label": "Mammal", "broader": ["Animal"]}, {"scheme_uri": "s", "pref_label": "Animal"}]
+    data = [{"scheme_uri": "s", "pref_label": "Errors", "broader": ["Language"]}, {"scheme_uri": "s", "pref_label": "Language", "narrower": ["Types"], "broader": ["Computing"]}, {"scheme_uri": "s", "pref_label": "Types"}, {"scheme_uri": "s", "pref_label": "Computing"}]
     (tmp_path / "c.json").write_text(json.dumps(data))
-    assert engine.import_concepts(f"file://{tmp_path}/c.json") == {"created": 3, "skipped": 0, "relations": 2}
+    assert engine.import_concepts(f"file://{tmp_path}/c.json") == {"created": 4, "skipped": 0, "relations": 3}
     ids = {c["pref_label"]: c["concept_id"] for c in engine.concepts()}
     rows = {(r["ancestor"], r["descendant"]): r["depth"] for r in engine.tables.rows("concept_closure").collect()}
-    assert rows[ids["Animal"], ids["Dog"]] == 2 and len(rows) == 3
-    engine.assign(doc, ids["Dog"])
-    assert [h["doc_id"] for h in engine.search("Result OR fox", "bm25", concept=ids["Animal"])["hits"]] == [doc]
+    assert rows[ids["Computing"], ids["Types"]] == 2 and len(rows) == 5
+    engine.assign(doc, ids["Errors"])
+    assert [h["doc_id"] for h in engine.search("Result OR fox", "bm25", concept=ids["Computing"])["hits"]] == [doc]
     with pytest.raises(EngineError) as e:
-        engine.relate(ids["Animal"], ids["Dog"])
+        engine.relate(ids["Computing"], ids["Errors"])
     assert e.value.code == "E_TAXONOMY_CYCLE"
 
 
