@@ -1,25 +1,25 @@
 """Masked pseudo-likelihood scores of documents.
 
 Every word that occurs ``LEAST`` times in the corpus is a token of its own. The most frequent words
-are classes of their own; the others fall into classes by their ending, as many as the square root
-of the vocabulary. A small window network, written in numpy, predicts the class of every token from
-the classes before and after it; a second model with vectors for each word predicts the word within
-its class from the network's state and the neighbouring words. Words that are too rare are one token
-of their class. Every task trains a copy on all of its documents; the copies are averaged by tokens
-(parameter mixing), and the next round goes on from the average. A document's score is the sum of
-the log-probabilities of its words given both sides.
+are classes of their own, the others fall into classes by their ending. A window network, written
+in numpy, predicts the class of every token from the tokens on both sides: a hidden layer sums a
+vector for each neighbour and its place, and a softmax in two steps, over groups of classes and then
+over the classes of the group, makes a probability of it. Within its class a word has the share that
+it has in the corpus; words that are too rare are one token of their class. Every task trains a copy
+of the network on all of its documents; the copies are averaged by tokens (parameter mixing), and
+the next round goes on from the average. A document's score is the sum of the log-probabilities of
+its words given both sides.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,26 +27,23 @@ from pagewright.llm.common import arrow_map, column, cut, drop, keyed, prepare,
 
 #: Times a word occurs in the corpus to be a token of its own.
 LEAST = 5
-#: The model's size: words with a token of their own, at most, the most frequent first. Driver and workers hold about 400 bytes for each.
+#: The model's size: words with a token of their own, at most, the most frequent first. Driver and workers hold about 200 bytes for each.
 VOCABULARY = 1_000_000
-#: Frequent words with a class of their own, and the fewest classes of the others.
-WORDS = 96
-CLASSES = 32
-TOKENS = WORDS + CLASSES
+#: Groups of classes, and classes in each; so many frequent words have a class of their own, the other classes are endings.
+GROUPS, MEMBERS = 32, 32
+CLASSES, WORDS = GROUPS * MEMBERS, 512
+ENDINGS = CLASSES - WORDS
 #: Tokens seen on each side, and hidden units.
-SIDE = 2
-HIDDEN = 16
+SIDE, HIDDEN = 2, 16
 #: Each round trains on another part of the documents, so that together they cover all.
 ROUNDS = 2
-#: Tokens that are scored, and that are learned from, at once.
-STEP, LEARN = 2048, 512
+#: Tokens that are scored, and that are learned from, at once; of the latter an eighth in the first steps.
+STEP, LEARN, FEW = 8192, 8192, 100
 RATE = 0.02
-#: Tokens that words within classes are learned from at once, and the rate of their vectors.
-WIDE, WORD_RATE = 8192, 0.05
-#: Rows of the word model sent at once.
-SENT = 10_000
+#: Weights in one row of a copy, and parts in which the copies are added up at first.
+SENT, SALTS = 4096, 64
 _PUNCTUATION = b".,;:!?\"'()"
-#: Entries of a worker's table of words.
+#: Entries of a worker's table of rare words.
 KNOWN = 500_000
 
 
@@ -54,33 +51,31 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(None, _PUNCTUATION).lower().split()
 
 
+def ending(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % ENDINGS
+
+
 class Tokens(dict):
-    """Token of a word. Tokens are numbered by class; the last of a class of endings stands for words that are too rare."""
-
-    def __init__(self, words: list[bytes], counts: list[int], rest: int):
-        self.endings = max(CLASSES, math.isqrt(len(words)))
-        self.classes = WORDS + self.endings
-        of_class: list[list[int]] = [[i] if i < len(words) else [] for i in range(WORDS)] + [[] for _ in range(self.endings)]
-        for i in range(WORDS, len(words)):
-            of_class[self.ending(words[i])].append(i)
-        sizes = [len(x) for x in of_class[:WORDS]] + [len(x) + 1 for x in of_class[WORDS:]]
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        self.total = int(self.first[-1])
+    """Token of a word, with each token's class and the logarithm of its share in it.
+
+    Tokens are the known words, most frequent first, then one for the rare words of each ending.
+    """
+
+    def __init__(self, words: list[bytes], counts: list[int], rare: dict[int, int]):
+        n = len(words)
+        super().__init__(zip(words, range(n), strict=True))
+        # Neighbours in rank are in different groups, so that groups are about equally frequent.
+        place = np.arange(CLASSES).reshape(MEMBERS, GROUPS).T.ravel().argsort()
+        own = np.r_[np.arange(min(n, WORDS)), [WORDS + ending(w) for w in words[WORDS:]], WORDS + np.arange(ENDINGS)].astype(np.int64)
+        weight = np.r_[np.array(counts, float), [rare.get(e, 0) + 0.5 for e in range(ENDINGS)]]
+        total = np.bincount(own, weight, CLASSES)
+        self.share = np.log(weight / total[own])
         #: Class of each token, and of the pad, which is the token after all others.
-        self.class_of = np.append(np.repeat(np.arange(self.classes), sizes), self.classes)
-        self.counts = np.full(self.total, rest / self.endings + 1)
-        super().__init__()
-        for c, members in enumerate(of_class):
-            for k, i in enumerate(members, int(self.first[c])):
-                self[words[i]] = k
-                self.counts[k] = counts[i]
-        self.most = len(self) + KNOWN
-
-    def ending(self, word: bytes) -> int:
-        return WORDS + zlib.crc32(word[-3:]) % self.endings
+        self.class_of = np.append(place[own], CLASSES)
+        self.n, self.total, self.most = n, len(own), n + KNOWN
 
     def __missing__(self, word: bytes) -> int:
-        token = int(self.first[self.ending(word) + 1]) - 1
+        token = self.n + ending(word)
         if len(self) < self.most:
             self[word] = token
         return token
@@ -97,50 +92,95 @@ class Tokens(dict):
 
 
 class Network:
-    """Sums a vector for each neighbour and its place, squashes it, and scores all tokens (here: classes)."""
+    """Sums a vector for each neighbour and its place, squashes it, and scores groups and the classes of a group."""
 
-    def __init__(self, weights: np.ndarray | None = None, seed: int = 11, n: int = TOKENS):
-        self.n = n
-        shapes = ((2 * SIDE, n + 1, HIDDEN), (HIDDEN,), (HIDDEN, n), (n,))
-        sizes = [int(np.prod(s)) for s in shapes]
+    SHAPES = ((2 * SIDE, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, MEMBERS, HIDDEN), (GROUPS, MEMBERS))
+    SIZES = tuple(int(np.prod(s)) for s in SHAPES)
+
+    def __init__(self, weights: np.ndarray | None = None, seed: int = 11):
         if weights is None:
-            weights = np.random.default_rng(seed).normal(0, 0.1, sum(sizes))
+            weights = np.random.default_rng(seed).normal(0, 0.1, sum(self.SIZES))
         self.weights = np.array(weights, np.float32)
-        parts = np.split(self.weights, np.cumsum(sizes)[:-1])
-        self.near, self.bias, self.out, self.prior = (p.reshape(s) for p, s in zip(parts, shapes, strict=True))
+        parts = np.split(self.weights, np.cumsum(self.SIZES)[:-1])
+        self.near, self.bias, self.top, self.top_prior, self.out, self.prior = (p.reshape(s) for p, s in zip(parts, self.SHAPES, strict=True))
         self.moment, self.square, self.steps = np.zeros_like(self.weights), np.zeros_like(self.weights), 0
 
-    def _forward(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        around = np.stack([tokens[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))])
-        hidden = np.tanh(self.bias + sum(self.near[j][around[j]] for j in range(2 * SIDE)))
-        scores = hidden @ self.out
-        scores += self.prior
+    @staticmethod
+    def _softmax(scores: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of rows of scores (in place), and the log-probability of each row's own column."""
         scores -= scores.max(1, keepdims=True)
-        return around, hidden, scores
-
-    def log_probabilities(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of the token at each place given the tokens on both sides."""
+        mine = scores[np.arange(len(own)), own]
+        np.exp(scores, out=scores)
+        total = scores.sum(1)
+        scores /= total[:, None]
+        return scores, mine - np.log(total)
+
+    def _hidden(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        hidden = self.near[0][classes[at - SIDE]]
+        for j, d in enumerate((*range(1 - SIDE, 0), *range(1, SIDE + 1)), 1):
+            hidden += self.near[j][classes[at + d]]
+        hidden += self.bias
+        return np.tanh(hidden, out=hidden)
+
+    @staticmethod
+    def _groups(classes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(group, first, end) of sorted classes; pads are in none."""
+        cuts = np.searchsorted(classes, np.arange(GROUPS + 1) * MEMBERS).tolist()
+        return [(g, a, z) for g, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
+
+    def log_probabilities(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the class at each place given the classes on both sides."""
         out = np.empty(len(at))
         for k in range(0, len(at), STEP):
-            part = at[k : k + STEP]
-            _, _, scores = self._forward(tokens, part)
-            own = scores[np.arange(len(part)), tokens[part]]
-            out[k : k + STEP] = own - np.log(np.exp(scores, out=scores).sum(1))
+            # Sorted by class, so that the classes of a group stand together.
+            order = np.argsort(classes[at[k : k + STEP]], kind="stable")
+            part = at[k : k + STEP][order]
+            own = classes[part]
+            hidden = self._hidden(classes, part)
+            each = self._softmax(hidden @ self.top + self.top_prior, own // MEMBERS)[1]
+            for g, a, z in self._groups(own):
+                each[a:z] += self._softmax(hidden[a:z] @ self.out[g].T + self.prior[g], own[a:z] - g * MEMBERS)[1]
+            out[k + order] = each
         return out
 
-    def learn(self, tokens: np.ndarray, at: np.ndarray) -> None:
-        """One Adam step for each ``LEARN`` of the places."""
-        for k in range(0, len(at), LEARN):
-            part = at[k : k + LEARN]
-            around, hidden, p = self._forward(tokens, part)
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(part)), tokens[part]] -= 1
-            p /= len(part)
-            back = (p @ self.out.T) * (1 - hidden * hidden)
-            spread = np.arange(HIDDEN)
-            near = [np.bincount((around[j][:, None] * HIDDEN + spread).ravel(), back.ravel(), (self.n + 1) * HIDDEN) for j in range(2 * SIDE)]
-            self._step(np.concatenate([*near, back.sum(0), (hidden.T @ p).ravel(), p.sum(0)]).astype(np.float32))
+    def learn(self, classes: np.ndarray) -> None:
+        """Adam steps over all places, a few at a time at first; pads are learned from as neighbours only."""
+        k = SIDE
+        while k < len(classes) - SIDE:
+            z = min(len(classes) - SIDE, k + (LEARN if self.steps >= FEW else LEARN // 8))
+            gradient = self.gradient(classes, k, z)
+            if gradient is not None:
+                self._step(gradient)
+            k = z
+
+    def gradient(self, classes: np.ndarray, first: int, end: int) -> np.ndarray | None:
+        """Of the mean negative log-probability at the places from ``first`` to ``end`` that are no pads, in the order of the weights."""
+        lo, window = first - SIDE, classes[first - SIDE : end + SIDE]
+        order = np.argsort(window, kind="stable")
+        inside = order[(order >= SIDE) & (order < len(window) - SIDE) & (window[order] < CLASSES)]
+        if not len(inside):
+            return None
+        own = window[inside]
+        hidden = self._hidden(classes, inside + lo)
+        p = self._softmax(hidden @ self.top + self.top_prior, own // MEMBERS)[0]
+        p[np.arange(len(own)), own // MEMBERS] -= 1
+        back = p @ self.top.T
+        out, prior = np.zeros_like(self.out), np.zeros_like(self.prior)
+        for g, a, z in self._groups(own):
+            q = self._softmax(hidden[a:z] @ self.out[g].T + self.prior[g], own[a:z] - g * MEMBERS)[0]
+            q[np.arange(z - a), own[a:z] - g * MEMBERS] -= 1
+            out[g], prior[g] = q.T @ hidden[a:z], q.sum(0)
+            back[a:z] += q @ self.out[g]
+        back *= 1 - hidden * hidden
+        # What each place gives back goes to the classes of its neighbours; the window is sorted by class already.
+        padded = np.zeros((len(window) + 2 * SIDE, HIDDEN), np.float32)
+        padded[inside + SIDE] = back
+        starts = np.flatnonzero(np.r_[True, np.diff(window[order]) > 0])
+        rows = window[order[starts]]
+        near = np.zeros_like(self.near)
+        for j, d in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
+            near[j][rows] = np.add.reduceat(padded[order + SIDE - d], starts)
+        return np.concatenate([near.ravel(), back.sum(0), (hidden.T @ p).ravel(), p.sum(0), out.ravel(), prior.ravel()]).astype(np.float32) / np.float32(len(own))
 
     def _step(self, gradient: np.ndarray) -> None:
         self.steps += 1
@@ -150,81 +190,8 @@ class Network:
         self.weights -= rate * self.moment / (np.sqrt(self.square) + 1e-8)
 
 
-class Within:
-    """Scores the words of a class from the network's state plus a vector for each neighbouring word."""
-
-    def __init__(self, table: Tokens, values: np.ndarray | None = None):
-        self.table = table
-        if values is None:
-            values = np.zeros((table.total + 1, 2 * HIDDEN + 1), np.float32)
-            values[:-1, HIDDEN] = np.log(table.counts)
-        self.out, self.prior, self.near = values[:, :HIDDEN].copy(), values[:, HIDDEN].copy(), values[:, HIDDEN + 1 :].copy()
-        self.squares = [np.full_like(x, 1e-2) for x in (self.out, self.prior, self.near)]
-        self.as_class, self.as_near = np.zeros(table.classes), np.zeros(table.total + 1)
-
-    def values(self) -> np.ndarray:
-        return np.concatenate([self.out, self.prior[:, None], self.near], 1)
-
-    def _classes(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """Places of the tokens of each class of two or more, and its first and last token."""
-        classes, first = self.table.class_of[tokens], self.table.first
-        order = np.argsort(classes, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(classes[order]) > 0]) if len(order) else []
-        for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
-            c = classes[order[lo]]
-            if first[c + 1] - first[c] > 1:
-                yield order[lo:hi], int(first[c]), int(first[c + 1])
-
-    def _state(self, network: Network, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        around = np.stack([tokens[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))])
-        classes = self.table.class_of[around]
-        hidden = np.tanh(network.bias + sum(network.near[j][classes[j]] for j in range(2 * SIDE)))
-        return around, hidden + sum(self.near[around[j]] for j in range(2 * SIDE))
-
-    def log_probabilities(self, network: Network, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at))
-        for k in range(0, len(at), WIDE):
-            part = at[k : k + WIDE]
-            _, state = self._state(network, tokens, part)
-            for i, lo, hi in self._classes(tokens[part]):
-                scores = state[i] @ self.out[lo:hi].T + self.prior[lo:hi]
-                scores -= scores.max(1, keepdims=True)
-                out[k + i] = scores[np.arange(len(i)), tokens[part[i]] - lo] - np.log(np.exp(scores).sum(1))
-        return out
-
-    def _move(self, which: int, rows: slice | np.ndarray, gradient: np.ndarray) -> None:
-        """An Adagrad step of some rows."""
-        values, squares = (self.out, self.prior, self.near)[which], self.squares[which]
-        squares[rows] += gradient * gradient
-        values[rows] -= WORD_RATE * gradient / np.sqrt(squares[rows])
-
-    def learn(self, network: Network, tokens: np.ndarray, at: np.ndarray) -> None:
-        for k in range(0, len(at), WIDE):
-            part = at[k : k + WIDE]
-            around, state = self._state(network, tokens, part)
-            back = np.zeros_like(state)
-            for i, lo, hi in self._classes(tokens[part]):
-                p = state[i] @ self.out[lo:hi].T + self.prior[lo:hi]
-                np.exp(p - p.max(1, keepdims=True), out=p)
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(i)), tokens[part[i]] - lo] -= 1
-                back[i] = p @ self.out[lo:hi]
-                self._move(0, slice(lo, hi), p.T @ state[i])
-                self._move(1, slice(lo, hi), p.sum(0))
-                self.as_class[self.table.class_of[lo]] += len(i)
-            rows, places = np.unique(around.ravel(), return_inverse=True)
-            spread = (places[:, None] * HIDDEN + np.arange(HIDDEN)).ravel()
-            gradient = np.bincount(spread, np.tile(back, (2 * SIDE, 1)).ravel(), len(rows) * HIDDEN)
-            self._move(2, rows, gradient.reshape(-1, HIDDEN).astype(np.float32))
-            self.as_near[rows] += np.bincount(places)
-
-    def shares(self) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens that moved the vectors of each word within its class, and as a neighbour."""
-        return np.append(self.as_class, 0)[self.table.class_of], self.as_near
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[list[bytes], list[int], int]:
-    """Words of all documents that occur ``LEAST`` times, the ``size`` most frequent of them, their counts, and occurrences of all others."""
+def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[list[bytes], list[int], dict[int, int]]:
+    """Words of all documents that occur ``LEAST`` times, the ``size`` most frequent of them, their counts, and occurrences of all others by ending."""
 
     def make():
         def rows(counts: Counter) -> dict:
@@ -243,43 +210,36 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[list[bytes], li
         return run
 
     counted = cut(arrow_map(docs.select("text"), make, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    counted_all = counted.agg(F.sum("n")).first()[0] or 0
     found = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(size).toArrow()
     words, n = found["word"].to_pylist(), found["n"].to_pylist()
+    of_ending = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(ENDINGS)).cast("int")
+    rare = {r["ending"]: r["n"] for r in counted.groupBy(of_ending.alias("ending")).agg(F.sum("n").alias("n")).collect()}  # at most ENDINGS rows
     drop(counted)
-    return words, n, (counted_all - sum(n))
+    for w, k in zip(words, n, strict=True):
+        rare[ending(w)] -= k
+    return words, n, rare
 
 
-def train(docs: DataFrame, known: tuple[list[bytes], list[int], int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the network and values of the word model after ``rounds`` rounds of parameter mixing."""
-    table = Tokens(*known)
-    weights, values = Network(n=table.classes).weights, Within(table).values()
-    words = docs.sparkSession.sparkContext.broadcast(known)
-    fields = "row long, total array<float>, n double, m double"
+def train(docs: DataFrame, known: tuple, rounds: int = ROUNDS) -> np.ndarray:
+    """The network's weights after ``rounds`` rounds of parameter mixing."""
+    spark = docs.sparkSession
+    weights = Network().weights
+    words = spark.sparkContext.broadcast(known)
+    fields = "row int, salt int, total array<float>, n double"
 
     def learner(start):
         def make():
-            table = Tokens(*words.value)
-            network, within = Network(start.value[0], n=table.classes), Within(table, start.value[1])
+            table, network = Tokens(*words.value), Network(start.value)
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                 seen = 0
                 for b in batches:
                     tokens, owner = table.of(texts(b))
-                    at = np.random.default_rng(len(tokens)).permutation(np.flatnonzero(owner >= 0))
-                    network.learn(table.class_of[tokens], at)
-                    within.learn(network, tokens, at)
-                    seen += len(at)
+                    network.learn(table.class_of[tokens])
+                    seen += int((owner >= 0).sum())
                 if seen:
-                    yield {"row": [-1], "total": [network.weights * np.float32(seen)], "n": [float(seen)], "m": [0.0]}
-                    n, m = within.shares()
-                    total = within.values()
-                    total[:, : HIDDEN + 1] *= n[:, None]
-                    total[:, HIDDEN + 1 :] *= m[:, None]
-                    moved = np.flatnonzero((n > 0) | (m > 0))
-                    for k in range(0, len(moved), SENT):
-                        part = moved[k : k + SENT]
-                        yield {"row": part, "total": list(total[part]), "n": n[part], "m": m[part]}
+                    total = np.split(network.weights * np.float32(seen), range(SENT, len(network.weights), SENT))
+                    yield {"row": range(len(total)), "salt": [TaskContext.get().partitionId() % SALTS] * len(total), "total": total, "n": [float(seen)] * len(total)}
 
             return run
 
@@ -289,41 +249,26 @@ def train(docs: DataFrame, known: tuple[list[bytes], list[int], int], rounds: in
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             sums: dict[int, list] = {}
             for b in batches:
-                for row, x, n, m in zip(*(column(b, c) for c in ("row", "total", "n", "m")), strict=True):
-                    x, row = x.values.to_numpy(), row.as_py()
-                    at = sums.get(row)
-                    if at is None:
-                        sums[row] = [x.astype(float), n.as_py(), m.as_py()]
-                    else:
-                        at[0] += x
-                        at[1] += n.as_py()
-                        at[2] += m.as_py()
+                for row, x, n in zip(column(b, "row").to_pylist(), column(b, "total"), column(b, "n").to_pylist(), strict=True):
+                    held = sums.setdefault(row, [0.0, 0.0])
+                    held[0] = held[0] + x.values.to_numpy().astype(float)
+                    held[1] += n
             if sums:
-                total, n, m = zip(*sums.values(), strict=True)
-                yield {"row": list(sums), "total": [x.astype(np.float32) for x in total], "n": list(n), "m": list(m)}
+                yield {"row": list(sums), "salt": [0] * len(sums), "total": [x.astype(np.float32) for x, _ in sums.values()], "n": [n for _, n in sums.values()]}
 
         return run
 
     for k in range(rounds):
-        start = docs.sparkSession.sparkContext.broadcast((weights, values))
+        start = spark.sparkContext.broadcast(weights)
         part = docs.where(F.pmod(F.xxhash64("doc_id", "tie", F.lit("round")), F.lit(rounds)) == k).select("text")
         copies = cut(arrow_map(part, learner(start), fields), "copies")
-        sums = arrow_map(copies.repartition("row"), adder, fields).toArrow().combine_chunks()
+        some = arrow_map(copies.repartition("row", "salt"), adder, fields)
+        sums = {r["row"]: np.array(r["total"], np.float32) / np.float32(r["n"]) for r in arrow_map(some.repartition("row"), adder, fields).collect()}  # as many rows as the weights have parts
+        if sums:
+            weights = np.concatenate([sums[row] for row in range(len(sums))])
         drop(copies)
-        if not len(sums):
-            continue
-        rows, n, m = (sums[c].to_numpy() for c in ("row", "n", "m"))
-        for row, x, seen in zip(rows, sums["total"], n, strict=True):
-            if row < 0:
-                weights = (x.values.to_numpy() / seen).astype(np.float32)
-        at = np.flatnonzero(rows >= 0)
-        if not len(at):
-            continue
-        new = pa.compute.list_flatten(sums["total"].take(at)).to_numpy().reshape(len(at), -1)
-        rows, n, m = rows[at], n[at], m[at]
-        values[rows[n > 0], : HIDDEN + 1] = new[n > 0, : HIDDEN + 1] / n[n > 0, None]
-        values[rows[m > 0], HIDDEN + 1 :] = new[m > 0, HIDDEN + 1 :] / m[m > 0, None]
-    return weights, values
+        start.unpersist()
+    return weights
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = VOCABULARY) -> DataFrame:
@@ -345,15 +290,14 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size
     words, model = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(train(docs, known))
 
     def make():
-        table = Tokens(*words.value)
-        network, within = Network(model.value[0], n=table.classes), Within(table, model.value[1])
+        table, network = Tokens(*words.value), Network(model.value)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
                 tokens, owner = table.of(texts(b))
                 at = np.flatnonzero(owner >= 0)
                 n = np.bincount(owner[at], minlength=b.num_rows)
-                each = network.log_probabilities(table.class_of[tokens], at) + within.log_probabilities(network, tokens, at)
+                each = network.log_probabilities(table.class_of[tokens], at) + table.share[tokens[at]]
                 total = np.bincount(owner[at], each, b.num_rows)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield {"doc_id": column(b, "doc_id"), "n_tokens": n, "log_likelihood": total, "mean_log_likelihood": mean}

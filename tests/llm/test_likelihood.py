@@ -14,48 +14,49 @@ DOCS = "doc_id long, text string"
 
 def a_table(rng, n):
     words = [f"w{i}{rng.choice('abcd')}{rng.choice('xyz')}".encode() for i in range(n)]
-    return words, lm.Tokens(words, [rng.randint(5, 500) for _ in words], 40)
+    return words, lm.Tokens(words, sorted((rng.randint(5, 500) for _ in words), reverse=True), {3: 40, 77: 2})
 
 
-def plain(table, network, within, tokens, at):
-    """Log-probability of the token at ``at``: of its class among all classes, times of the word among those of its class."""
-    around = [int(tokens[at + d]) for d in (*range(-lm.SIDE, 0), *range(1, lm.SIDE + 1))]
-    classes = [int(table.class_of[t]) for t in around]
+def softmax(scores, own):
+    return scores[own] - math.log(sum(math.exp(s) for s in scores))
+
+
+def plain(table, network, tokens, at):
+    """Log-probability of the token at ``at``: of its group, of its class in the group, and of the word in its class."""
+    classes = [int(table.class_of[tokens[at + d]]) for d in (*range(-lm.SIDE, 0), *range(1, lm.SIDE + 1))]
     hidden = [math.tanh(float(network.bias[h]) + sum(float(network.near[j][c][h]) for j, c in enumerate(classes))) for h in range(lm.HIDDEN)]
-    own = int(table.class_of[tokens[at]])
-    scores = [sum(hidden[h] * float(network.out[h][c]) for h in range(lm.HIDDEN)) + float(network.prior[c]) for c in range(table.classes)]
-    total = scores[own] - math.log(sum(math.exp(s) for s in scores))
-    state = [hidden[h] + sum(float(within.near[t][h]) for t in around) for h in range(lm.HIDDEN)]
-    members = range(int(table.first[own]), int(table.first[own + 1]))
-    if len(members) > 1:
-        scores = {t: sum(state[h] * float(within.out[t][h]) for h in range(lm.HIDDEN)) + float(within.prior[t]) for t in members}
-        total += scores[int(tokens[at])] - math.log(sum(math.exp(s) for s in scores.values()))
-    return total
+    group, member = divmod(int(table.class_of[tokens[at]]), lm.MEMBERS)
+    total = softmax([sum(hidden[h] * float(network.top[h][g]) for h in range(lm.HIDDEN)) + float(network.top_prior[g]) for g in range(lm.GROUPS)], group)
+    total += softmax([sum(hidden[h] * float(network.out[group][m][h]) for h in range(lm.HIDDEN)) + float(network.prior[group][m]) for m in range(lm.MEMBERS)], member)
+    return total + float(table.share[tokens[at]])
+
+
+def of_table(network, table, tokens, at):
+    return network.log_probabilities(table.class_of[tokens], at) + table.share[tokens[at]]
 
 
 def test_log_probabilities_are_those_of_plain_loops():
     rng = random.Random(1)
-    words, table = a_table(rng, 260)
-    values = np.random.default_rng(2).normal(0, 0.3, (table.total + 1, 2 * lm.HIDDEN + 1)).astype(np.float32)
-    network, within = lm.Network(n=table.classes), lm.Within(table, values)
-    texts = [" ".join(rng.choice(words).decode() for _ in range(rng.randint(1, 12))).encode() for _ in range(6)] + [b"unseen rarewords here", b""]
+    words, table = a_table(rng, 900)
+    network = lm.Network(seed=5)
+    network.weights *= 3
+    texts = [" ".join(rng.choice(words).decode() for _ in range(rng.randint(1, 40))).encode() for _ in range(6)] + [b"unseen rarewords here", b""]
     tokens, owner = table.of(texts)
     at = np.flatnonzero(owner >= 0)
-    got = network.log_probabilities(table.class_of[tokens], at) + within.log_probabilities(network, tokens, at)
-    assert np.allclose(got, [plain(table, network, within, tokens, k) for k in at.tolist()], atol=1e-3)
+    assert np.allclose(of_table(network, table, tokens, at), [plain(table, network, tokens, k) for k in at.tolist()], atol=1e-3)
 
 
-def test_probabilities_of_all_tokens_sum_to_one():
-    rng = random.Random(3)
-    _, table = a_table(rng, 200)
-    network, within = lm.Network(n=table.classes), lm.Within(table)
+@pytest.mark.parametrize("n", [0, 40, 900])
+def test_probabilities_of_all_tokens_sum_to_one(n):
+    _, table = a_table(random.Random(3), n)
     tokens = np.full(5, table.total, np.int64)
-    tokens[[0, 1, 3, 4]] = [3, 120, 7, table.total - 1]
-    total = 0.0
-    for t in range(table.total):
-        tokens[2] = t
-        total += math.exp(float((network.log_probabilities(table.class_of[tokens], np.array([2])) + within.log_probabilities(network, tokens, np.array([2])))[0]))
-    assert abs(total - 1) < 1e-3
+    tokens[[0, 1, 3, 4]] = [3, table.total // 2, 7, table.total - 1]
+    whole = np.tile(tokens, table.total)
+    whole[2::5] = np.arange(table.total)
+    total = np.exp(of_table(lm.Network(), table, whole, np.arange(2, len(whole), 5))).sum()
+    # Words share out their classes; a class that no word has yet keeps its own part.
+    empty = set(range(lm.CLASSES)) - set(table.class_of[:-1].tolist())
+    assert total <= 1 + 1e-3 and (total > 1 - 1e-3 or empty)
 
 
 @pytest.mark.parametrize("size", [lm.VOCABULARY, 20])
@@ -79,4 +80,4 @@ def test_vocabulary_grows_with_the_corpus(spark):
     few, many = (lm.vocabulary(spark.createDataFrame(docs[:n], DOCS)) for n in (10, 80))
     assert len(few[0]) == 10 and len(many[0]) == 40
     capped = lm.vocabulary(spark.createDataFrame(docs, DOCS), 7)
-    assert len(capped[0]) == 7 and capped[2] + sum(capped[1]) == 480
+    assert len(capped[0]) == 7 and sum(capped[2].values()) + sum(capped[1]) == 480
