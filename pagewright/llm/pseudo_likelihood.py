@@ -13,6 +13,7 @@ its words given both sides.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import arrow_map, column, cut, drop, keyed, prepare, texts
+from pagewright.llm.common import arrow_map, column, cut, drop, keep, kept, keyed, prepare, texts
 
 #: Times a word occurs in the corpus to be a token of its own.
 LEAST = 5
@@ -43,8 +44,8 @@ RATE = 0.02
 #: Weights in one row of a copy, and parts in which the copies are added up at first.
 SENT, SALTS = 4096, 64
 _PUNCTUATION = b".,;:!?\"'()"
-#: Entries of a worker's table of rare words.
-KNOWN = 500_000
+#: Entries of a worker's table of rare words, and words that a task counts before it hands them on.
+KNOWN, COUNTED = 100_000, 250_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -61,7 +62,7 @@ class Tokens(dict):
     Tokens are the known words, most frequent first, then one for the rare words of each ending.
     """
 
-    def __init__(self, words: list[bytes], counts: list[int], rare: dict[int, int]):
+    def __init__(self, words: list[bytes], counts: list[int] | np.ndarray, rare: dict[int, int]):
         n = len(words)
         super().__init__(zip(words, range(n), strict=True))
         # Neighbours in rank are in different groups, so that groups are about equally frequent.
@@ -191,7 +192,10 @@ class Network:
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[list[bytes], list[int], dict[int, int]]:
-    """Words of all documents that occur ``LEAST`` times, the ``size`` most frequent of them, their counts, and occurrences of all others by ending."""
+    """Words of all documents that occur ``LEAST`` times, most frequent first, their counts, and occurrences of all others by ending.
+
+    If these are more than ``size`` words, a word must occur more often, so often that they aren't.
+    """
 
     def make():
         def rows(counts: Counter) -> dict:
@@ -202,7 +206,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[list[bytes], li
             for b in batches:
                 for t in texts(b):
                     counts.update(words_of(t))
-                if len(counts) > KNOWN:
+                if len(counts) > COUNTED:
                     yield rows(counts)
                     counts = Counter()
             yield rows(counts)
@@ -210,7 +214,15 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[list[bytes], li
         return run
 
     counted = cut(arrow_map(docs.select("text"), make, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    found = counted.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(size).toArrow()
+    least = LEAST
+    if counted.where(F.col("n") >= least).count() > size:
+        total = 0
+        for r in counted.where(F.col("n") >= least).groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+            total += r["count"]
+            if total > size:
+                least = r["n"] + 1
+                break
+    found = counted.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words, n = found["word"].to_pylist(), found["n"].to_pylist()
     of_ending = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(ENDINGS)).cast("int")
     rare = {r["ending"]: r["n"] for r in counted.groupBy(of_ending.alias("ending")).agg(F.sum("n").alias("n")).collect()}  # at most ENDINGS rows
@@ -220,16 +232,29 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[list[bytes], li
     return words, n, rare
 
 
-def train(docs: DataFrame, known: tuple, rounds: int = ROUNDS) -> np.ndarray:
+class Sent:
+    """A vocabulary as a broadcast of one block of bytes; workers make a table of it once and keep it over their tasks."""
+
+    def __init__(self, spark: SparkSession, words: list[bytes], counts: list[int], rare: dict[int, int]):
+        self.block, self.key = spark.sparkContext.broadcast((b" ".join(words), np.array(counts, np.int64), rare)), uuid.uuid4().hex
+
+    def table(self) -> Tokens:
+        def made() -> Tokens:
+            words, counts, rare = self.block.value
+            return Tokens(words.split(), counts, rare)
+
+        return kept(("tokens", self.key), made)
+
+
+def train(docs: DataFrame, words: Sent, rounds: int = ROUNDS) -> np.ndarray:
     """The network's weights after ``rounds`` rounds of parameter mixing."""
     spark = docs.sparkSession
     weights = Network().weights
-    words = spark.sparkContext.broadcast(known)
     fields = "row int, salt int, total array<float>, n double"
 
     def learner(start):
         def make():
-            table, network = Tokens(*words.value), Network(start.value)
+            table, network = words.table(), Network(start.value)
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                 seen = 0
@@ -246,6 +271,8 @@ def train(docs: DataFrame, known: tuple, rounds: int = ROUNDS) -> np.ndarray:
         return make
 
     def adder():
+        keep(("tokens", words.key))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             sums: dict[int, list] = {}
             for b in batches:
@@ -286,11 +313,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size
     spark = df.sparkSession
     prepare(spark)
     docs = keyed(df, id_col, text_col)
-    known = vocabulary(docs, size)
-    words, model = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(train(docs, known))
+    words = Sent(spark, *vocabulary(docs, size))
+    model = spark.sparkContext.broadcast(train(docs, words))
 
     def make():
-        table, network = Tokens(*words.value), Network(model.value)
+        table, network = words.table(), Network(model.value)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for b in batches:
