@@ -123,6 +123,11 @@ class Engine:
             raise not_found(doc)
         return r
 
+    def _current(self, docs: DataFrame, live: DataFrame) -> DataFrame:
+        """The current rows, with their texts, of the few documents ``docs``."""
+        rows = self.tables.rows("documents").join(F.broadcast(docs), "doc_id", "left_semi").where("state = 'READY'")
+        return rows.join(live, ["doc_id", "version_id"], "left_semi").dropDuplicates(["doc_id"])
+
     def _latest_of(self, doc: str) -> DataFrame:
         """The current row of one document, with its text."""
         return self.tables.rows("documents").where(F.col("doc_id") == doc).orderBy(F.desc("seq")).limit(1)
@@ -190,19 +195,20 @@ class Engine:
         """Segments of the current versions of all documents that are ready."""
         return self.tables.rows("segments").join(self._live(), ["doc_id", "version_id"], "left_semi").drop("seq").dropDuplicates(["segment_id"])
 
-    def _words(self, text: str, k: int, segments: DataFrame) -> DataFrame:
-        live = segments.select("segment_id", "doc_id")
-        posted = self.tables.rows("postings").drop("seq", "doc_id").dropDuplicates(["term", "segment_id"]).join(live.select("segment_id"), "segment_id", "left_semi")
-        lens = self.tables.rows("lengths").select("segment_id", "doc_len").dropDuplicates(["segment_id"]).join(live.select("segment_id"), "segment_id", "left_semi")
+    def _words(self, text: str, k: int, docs: DataFrame) -> DataFrame:
+        """The best segments by words. Only rows of the query's terms are joined or shuffled; an index that was built anew has each once."""
+        lens = self.tables.rows("lengths").drop("seq").join(docs, "doc_id", "left_semi")
+        posted = self.tables.rows("postings").drop("seq").join(docs, "doc_id", "left_semi").drop("doc_id")
+        if not self.tables.active("fts") or self.tables.added("fts"):
+            lens, posted = lens.dropDuplicates(["segment_id"]), posted.dropDuplicates(["term", "segment_id"])
         stats = fulltext.corpus_stats(lens).first()
-        return query.search(self.spark, query.Index(posted, lens, (stats["n_segments"], stats["avg_len"] or 1.0), live), text, k)
+        return query.search(self.spark, query.Index(posted, lens.select("segment_id", "doc_len"), (stats["n_segments"], stats["avg_len"] or 1.0), lens.select("segment_id", "doc_id")), text, k)
 
-    def _vectors(self, text: str, k: int, segments: DataFrame) -> DataFrame:
+    def _vectors(self, text: str, k: int, docs: DataFrame) -> DataFrame:
         about = self.tables.about("vectors")
         if about and about.get("fingerprint") != self.embedder.fingerprint():
             raise EngineError("E_FINGERPRINT_MISMATCH", "the vectors were made by another embedder: reindex them")
-        own = self.tables.latest("vectors").join(segments.select("segment_id"), "segment_id", "left_semi")
-        return vectors.nearest(own, self.embedder.embed([text])[0], k)
+        return vectors.nearest(self.tables.rows("vectors").join(docs, "doc_id", "left_semi"), self.embedder.embed([text])[0], k)
 
     def frame_search(self, text: str, mode: str = "hybrid", limit: int = 10, *, tag: str | None = None, concept: str | None = None, doc: str | None = None, candidates: int | None = None) -> DataFrame:
         """Hits with their scores, ranks, document, body and block."""
@@ -211,14 +217,17 @@ class Engine:
         has_vectors = self.embedder is not None and self.tables.active("vectors") > 0
         if mode == "vector" and not has_vectors:
             raise EngineError("E_SEARCH_FAILED", "there is no vector index or no embedder")
-        segments = self._filtered(self.frame_segments(), tag, concept, doc)
+        live = cut(self._live())
+        docs = self._filtered(live.select("doc_id"), tag, concept, doc)
         k = candidates or limit
         empty = not text.strip() or limit <= 0
-        words = self._words(text if mode != "vector" else "", k, segments)
-        near = self._vectors(text, k, segments) if mode != "bm25" and has_vectors and not empty else self.spark.createDataFrame([], "segment_id string, vector_score double, vector_rank int")
+        words = self._words(text if mode != "vector" else "", k, docs)
+        near = self._vectors(text, k, docs) if mode != "bm25" and has_vectors and not empty else self.spark.createDataFrame([], "segment_id string, vector_score double, vector_rank int")
         fused = cut(fusion.fuse(words, near, limit=max(0, limit)))
-        hits = fused.join(segments.select("segment_id", "doc_id", "seg_index", "span_start", "span_end", "body"), "segment_id")
-        blocks = graph.exploded(self.tables.latest("documents").join(hits.select("doc_id"), "doc_id", "left_semi"))
+        # A few hits meet all segments: they are broadcast, and only their segments go on.
+        own = self.tables.rows("segments").join(F.broadcast(fused.select("segment_id")), "segment_id", "left_semi").join(live, ["doc_id", "version_id"], "left_semi").dropDuplicates(["segment_id"])
+        hits = cut(fused.join(own.select("segment_id", "doc_id", "seg_index", "span_start", "span_end", "body"), "segment_id"))
+        blocks = graph.exploded(self._current(hits.select("doc_id").distinct(), live))
         at = context.resolve_blocks(hits, blocks, "segment_id")
         kinds = blocks.select("doc_id", "block_idx", F.col("kind").alias("block_kind"))
         return hits.join(at, ["segment_id", "doc_id"]).join(kinds, ["doc_id", "block_idx"], "left")
@@ -239,7 +248,7 @@ class Engine:
                 info["rerank_error"] = str(e)
         windows = {}
         if expand and rows:
-            order = graph.exploded(self.tables.latest("documents").join(found.select("doc_id"), "doc_id", "left_semi")).select("doc_id", F.col("block_idx").alias("position"), F.col("canonical_text").alias("body"))
+            order = graph.exploded(self._current(found.select("doc_id").distinct(), self._live())).select("doc_id", F.col("block_idx").alias("position"), F.col("canonical_text").alias("body"))
             hits = found.select("segment_id", "doc_id", F.col("block_idx").alias("position"))
             around = context.as_array(context.window(hits, order, "segment_id", max_blocks=max_blocks, max_chars=max_chars), "segment_id")
             windows = {r["segment_id"]: [x.asDict() for x in r["context_window"]] for r in around.collect()}

@@ -112,6 +112,8 @@ class Tables:
                 to = self._dir(name, manifest["active"].get(kind, 0) if kind else None)
                 columns = [c.strip().split(" ")[0] for c in _split(SCHEMAS[name])]
                 df.select(*columns).withColumn("seq", F.lit(seq).cast("long")).write.mode("append").parquet(to)
+                if kind:
+                    manifest.setdefault("appended", {})[kind] = manifest["active"].get(kind, 0)
             manifest["seq"] = seq
             self.files.write(self._manifest, json.dumps(manifest))
         return seq
@@ -135,6 +137,11 @@ class Tables:
     def active(self, kind: str) -> int:
         return self.manifest()["active"].get(kind, 0)
 
+    def added(self, kind: str) -> bool:
+        """Whether rows were appended to the active generation of an index since it was built."""
+        about = self.about(kind)
+        return about is not None and self.manifest().get("appended", {}).get(kind) == about["gen"]
+
     def about(self, kind: str) -> dict | None:
         m = self.manifest()
         return next((g for g in m["generations"] if g["kind"] == kind and g["gen"] == m["active"].get(kind)), None)
