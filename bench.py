@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
+from pagewright.engine_queries import _texts  # noqa: E402
 from pagewright.operators import fulltext, fusion, parse, query, vectors  # noqa: E402
+from pagewright.plans import ports  # noqa: E402
+from pagewright.plans.engine import Engine  # noqa: E402
 from pagewright.queries import TOP, WORDS, geography_closure, table  # noqa: E402
+from pagewright.sources import files  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -53,10 +57,17 @@ def main() -> None:
     stats = fulltext.corpus_stats(lens).cache()
     n, avg = stats.first()
     opened = query.Index(postings, lens, (n, avg), lens.select("segment_id"))
-    embeddings = table(spark, SF_DIR, "embeddings").select(F.col("vec_id").alias("segment_id"), "embedding").cache()
+    embeddings = table(spark, SF_DIR, "embeddings").select(F.col("vec_id").alias("segment_id"), "embedding")
     vector = [float(x) for x in embeddings.first()["embedding"]]
     many = table(spark, SF_DIR, "benchmark").where("item_id < 100")
 
+    # The engine itself: every line of every document is a segment.
+    engine = Engine(spark, f"{index}/kb", embedder=ports.hashed(64))
+    engine.init()
+    engine.take(files.documents(_texts(spark, SF_DIR)))
+    engine.reindex()
+    engine.reindex_vector()
+
     queries = {
         "segments_build": lambda: run(parse.paragraphs(docs, ["doc_id"], F.col("text"), "\n")),
         "index_build": build,
@@ -65,6 +76,9 @@ def main() -> None:
         "knn_top10": lambda: vectors.nearest(embeddings, vector, 10).collect(),
         "knn_batch": lambda: run(vectors.nearest_of_all(embeddings, embeddings.where("segment_id % 20 = 0").withColumnRenamed("segment_id", "query_id"), 10)),
         "hybrid_top": lambda: fusion.fuse(query.search(spark, opened, WORDS, TOP), vectors.nearest(embeddings, vector, TOP), limit=TOP).collect(),
+        "search_words": lambda: engine.search(WORDS, "bm25"),
+        "search_hybrid_context": lambda: engine.search(WORDS, "hybrid", expand=True),
+        "full_reindex": engine.reindex,
         "closure_rebuild": lambda: geography_closure(spark, SF_DIR).count(),
     }
     took = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -22,6 +23,8 @@ SEGMENTER_VERSION = 1
 TEXT_LIMIT = 50_000
 #: Failures that an ingestion's report names; all are counted, and ``found`` (see Engine.take) has all.
 REPORTED = 1_000
+#: Hits up to which a search brings them to the driver on its way, rather than write them.
+FEW = 1_000
 STATES = ("STAGED", "INDEXING", "READY", "FAILED", "DELETED")
 TRANSITIONS = {("STAGED", "INDEXING"), ("INDEXING", "READY"), ("INDEXING", "FAILED"), ("FAILED", "STAGED"), *((s, "DELETED") for s in STATES if s != "DELETED")}
 
@@ -47,6 +50,7 @@ class Engine:
 
     def __post_init__(self) -> None:
         self.tables = Tables(self.spark, self.home)
+        self._seen: tuple[int, dict] = (-1, {})
 
     # Writing documents.
 
@@ -123,9 +127,9 @@ class Engine:
             raise not_found(doc)
         return r
 
-    def _current(self, docs: DataFrame, live: DataFrame) -> DataFrame:
+    def _current(self, docs: DataFrame, live: DataFrame, limit: int) -> DataFrame:
         """The current rows, with their texts, of the few documents ``docs``."""
-        rows = self.tables.rows("documents").join(F.broadcast(docs), "doc_id", "left_semi").where("state = 'READY'")
+        rows = self._with(self.tables.rows("documents"), "doc_id", docs, limit).where("state = 'READY'")
         return rows.join(live, ["doc_id", "version_id"], "left_semi").dropDuplicates(["doc_id"])
 
     def _latest_of(self, doc: str) -> DataFrame:
@@ -191,17 +195,41 @@ class Engine:
     def _live(self) -> DataFrame:
         return self.tables.latest("documents", "state", "version_id").where("state = 'READY'").select("doc_id", "version_id")
 
+    def _once(self, what: str, make: Callable[[], Any]) -> Any:
+        """What ``make`` gives, kept until something is published."""
+        seq = self.tables.manifest()["seq"]
+        if self._seen[0] != seq:
+            self._seen = (seq, {})
+        if what not in self._seen[1]:
+            self._seen[1][what] = make()
+        return self._seen[1][what]
+
+    def _few(self, rows: DataFrame, limit: int) -> DataFrame:
+        """The rows of a result, computed: as a local table if they are few, else written."""
+        if limit > FEW:
+            return cut(rows)
+        found = rows.collect()
+        out = self.spark.createDataFrame(found, rows.schema)
+        out.found = found
+        return out
+
+    def _with(self, rows: DataFrame, column: str, of: DataFrame, limit: int) -> DataFrame:
+        """Rows whose ``column`` is among that of a few others: by a filter that reaches the scan, else by a broadcast."""
+        if limit <= FEW:
+            return rows.where(F.col(column).isin(list({r[column] for r in of.found})))
+        return rows.join(F.broadcast(of.select(column)), column, "left_semi")
+
     def frame_segments(self) -> DataFrame:
         """Segments of the current versions of all documents that are ready."""
         return self.tables.rows("segments").join(self._live(), ["doc_id", "version_id"], "left_semi").drop("seq").dropDuplicates(["segment_id"])
 
-    def _words(self, text: str, k: int, docs: DataFrame) -> DataFrame:
+    def _words(self, text: str, k: int, docs: DataFrame, whole: bool) -> DataFrame:
         """The best segments by words. Only rows of the query's terms are joined or shuffled; an index that was built anew has each once."""
         lens = self.tables.rows("lengths").drop("seq").join(docs, "doc_id", "left_semi")
         posted = self.tables.rows("postings").drop("seq").join(docs, "doc_id", "left_semi").drop("doc_id")
         if not self.tables.active("fts") or self.tables.added("fts"):
             lens, posted = lens.dropDuplicates(["segment_id"]), posted.dropDuplicates(["term", "segment_id"])
-        stats = fulltext.corpus_stats(lens).first()
+        stats = self._once("stats", lambda: fulltext.corpus_stats(lens).first()) if whole else fulltext.corpus_stats(lens).first()
         return query.search(self.spark, query.Index(posted, lens.select("segment_id", "doc_len"), (stats["n_segments"], stats["avg_len"] or 1.0), lens.select("segment_id", "doc_id")), text, k)
 
     def _vectors(self, text: str, k: int, docs: DataFrame) -> DataFrame:
@@ -217,17 +245,17 @@ class Engine:
         has_vectors = self.embedder is not None and self.tables.active("vectors") > 0
         if mode == "vector" and not has_vectors:
             raise EngineError("E_SEARCH_FAILED", "there is no vector index or no embedder")
-        live = cut(self._live())
+        live = self._once("live", lambda: cut(self._live()))
         docs = self._filtered(live.select("doc_id"), tag, concept, doc)
         k = candidates or limit
         empty = not text.strip() or limit <= 0
-        words = self._words(text if mode != "vector" else "", k, docs)
+        words = self._words(text if mode != "vector" else "", k, docs, tag is concept is doc is None)
         near = self._vectors(text, k, docs) if mode != "bm25" and has_vectors and not empty else self.spark.createDataFrame([], "segment_id string, vector_score double, vector_rank int")
-        fused = cut(fusion.fuse(words, near, limit=max(0, limit)))
-        # A few hits meet all segments: they are broadcast, and only their segments go on.
-        own = self.tables.rows("segments").join(F.broadcast(fused.select("segment_id")), "segment_id", "left_semi").join(live, ["doc_id", "version_id"], "left_semi").dropDuplicates(["segment_id"])
-        hits = cut(fused.join(own.select("segment_id", "doc_id", "seg_index", "span_start", "span_end", "body"), "segment_id"))
-        blocks = graph.exploded(self._current(hits.select("doc_id").distinct(), live))
+        fused = self._few(fusion.fuse(words, near, limit=max(0, limit)), limit)
+        # Only the segments of hits go on, and only the blocks of their documents.
+        own = self._with(self.tables.rows("segments"), "segment_id", fused, limit).join(live, ["doc_id", "version_id"], "left_semi").dropDuplicates(["segment_id"])
+        hits = self._few(fused.join(own.select("segment_id", "doc_id", "seg_index", "span_start", "span_end", "body"), "segment_id"), limit)
+        blocks = graph.exploded(self._current(hits, live, limit))
         at = context.resolve_blocks(hits, blocks, "segment_id")
         kinds = blocks.select("doc_id", "block_idx", F.col("kind").alias("block_kind"))
         return hits.join(at, ["segment_id", "doc_id"]).join(kinds, ["doc_id", "block_idx"], "left")
@@ -235,8 +263,8 @@ class Engine:
     def search(self, query: str, mode: str = "hybrid", limit: int | None = None, expand: bool = False, max_blocks: int = 12, max_chars: int = 8000, rerank: bool = False, tag: str | None = None, concept: str | None = None, doc: str | None = None) -> dict:
         """The best segments; each hit is stored, so that it can be explained."""
         limit = int(self.config.get("search.limit", 10)) if limit is None else limit
-        found = cut(self.frame_search(query, mode, limit, tag=tag, concept=concept, doc=doc))
-        rows = [r.asDict() for r in found.orderBy("fused_rank").collect()]
+        found = self._few(self.frame_search(query, mode, limit, tag=tag, concept=concept, doc=doc), limit)
+        rows = sorted((r.asDict() for r in (found.found if limit <= FEW else found.collect())), key=lambda r: r["fused_rank"])
         info = {"bm25": mode != "vector", "vector": any(r["vector_rank"] for r in rows), "reranked": False}
         scores: dict[int, tuple[float, int]] = {}
         if rerank and self.reranker and rows:
@@ -248,7 +276,7 @@ class Engine:
                 info["rerank_error"] = str(e)
         windows = {}
         if expand and rows:
-            order = graph.exploded(self._current(found.select("doc_id").distinct(), self._live())).select("doc_id", F.col("block_idx").alias("position"), F.col("canonical_text").alias("body"))
+            order = graph.exploded(self._current(found, self._once("live", lambda: cut(self._live())), limit)).select("doc_id", F.col("block_idx").alias("position"), F.col("canonical_text").alias("body"))
             hits = found.select("segment_id", "doc_id", F.col("block_idx").alias("position"))
             around = context.as_array(context.window(hits, order, "segment_id", max_blocks=max_blocks, max_chars=max_chars), "segment_id")
             windows = {r["segment_id"]: [x.asDict() for x in r["context_window"]] for r in around.collect()}
