@@ -78,6 +78,8 @@ _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
 _RULE = re.compile(r"^ {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
 _ITEM = re.compile(r"^( {0,3})([-+*]|\d{1,9}[.)])(?:[ \t]+(.*)|[ \t]*)$")
+_DEFINITION = re.compile(r"^ {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(?:<[^>]*>|\S+)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?[ \t]*$")
+_SHORTCUT = re.compile(r"!?\[((?:[^\[\]\\]|\\.)+)\](?:\[\])?")
 _HTML = re.compile(r"^ {0,3}<(?:[a-zA-Z!/?])")
 _INLINE = (
     (re.compile(r"!\[([^\]]*)\]\([^)]*\)"), r"\1"),
@@ -103,8 +105,16 @@ def without_front_matter(text: str) -> str:
     return text[close.end() :] if close else text
 
 
-def inline_text(source: str) -> str:
-    """Text and code of inline Markdown, breaks as line ends; nothing behind an emphasis is lost."""
+def label_of(text: str) -> str:
+    """A reference's label as it is compared: without regard to case and white space."""
+    return " ".join(text.split()).casefold()
+
+
+def inline_text(source: str, labels: frozenset[str] | set[str] = frozenset()) -> str:
+    """Text and code of inline Markdown, breaks as line ends; nothing behind an emphasis is lost.
+
+    ``labels`` are those that a link in brackets alone may refer to.
+    """
     kept: list[str] = []
 
     def keep(x: str) -> str:
@@ -113,37 +123,60 @@ def inline_text(source: str) -> str:
 
     out = _CODE.sub(lambda m: keep(m[2].strip() if m[2].strip() else m[2]), source)
     out = _ESCAPE.sub(lambda m: keep(m[1]), out)
-    for pattern, by in _INLINE:
+    for n, (pattern, by) in enumerate(_INLINE):
+        if n == 2 and labels:  # behind links that name their target, before what is in angle brackets
+            out = _SHORTCUT.sub(lambda m: m[1] if label_of(m[1]) in labels else m[0], out)
         out = pattern.sub(by, out)
     out = re.sub(r"(?: {2,}|\\)\n", "\n", out)
     return re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], out)
 
 
 def scan_markdown(text: str) -> list[tuple[str, str]]:
-    """(kind, text) of headings, paragraphs, code blocks and list items, in order."""
+    """(kind, text) of headings, paragraphs, code blocks and list items, in order.
+
+    Items may hold paragraphs, code and items; each is a block of its own. Definitions of
+    references are no blocks.
+    """
     out: list[tuple[str, str]] = []
     open_: list[str] = []
     kind = "PARAGRAPH"
+    #: Where the contents of the list items begin that are open, outermost first.
+    offsets: list[int] = []
+    lines = text.splitlines()
+    labels = {label_of(m[1]) for m in map(_DEFINITION.match, lines) if m}
 
     def close() -> None:
         nonlocal open_, kind
-        body = inline_text("\n".join(x.strip() for x in open_)).strip()
+        body = inline_text("\n".join(x.strip() for x in open_), labels).strip()
         if body:
             out.append((kind, body))
         open_, kind = [], "PARAGRAPH"
 
-    lines = text.splitlines()
+    def inside(line: str, at: int) -> str:
+        """A line without the spaces that put it into an item."""
+        return line[min(at, len(line) - len(line.lstrip(" "))) :]
+
     i = 0
     while i < len(lines):
         line = lines[i]
+        if line.strip():
+            lead = len(line) - len(line.lstrip(" "))
+            holders = [o for o in offsets if o <= lead]
+            inner = inside(line, holders[-1] if holders else 0)
+            begins = _FENCE.match(inner) or _ATX.match(inner) or _ITEM.match(inner) or _RULE.match(inner) or inner.lstrip().startswith(">")
+            if len(holders) == len(offsets) or not open_ or begins:
+                offsets, line = holders, inner
+            else:  # a paragraph in an item goes on without its spaces
+                line = line.lstrip(" ")
         fence = _FENCE.match(line)
         if fence and not (fence[2][0] == "`" and "`" in fence[3]):
             close()
             end = re.compile(rf"^ {{0,3}}{re.escape(fence[2][0])}{{{len(fence[2])},}}[ \t]*$")
             body = []
             i += 1
-            while i < len(lines) and not end.match(lines[i]):
-                body.append(lines[i])
+            at = offsets[-1] if offsets else 0
+            while i < len(lines) and not end.match(inside(lines[i], at)):
+                body.append(inside(lines[i], at))
                 i += 1
             if "\n".join(body).strip():
                 out.append(("CODE", "\n".join(body)))
@@ -164,9 +197,17 @@ def scan_markdown(text: str) -> list[tuple[str, str]]:
             close()
         elif _RULE.match(line):
             close()
+        elif not open_ and _DEFINITION.match(line):
+            pass
         elif item and (item[3] or not open_):
             close()
-            open_, kind = [item[3] or ""], "LIST_ITEM"
+            before = offsets[-1] if offsets else 0
+            offsets.append(before + (item.start(3) if item[3] else item.end(2) + 1))
+            content = item[3] or ""
+            if _FENCE.match(content) or _ATX.match(content) or _ITEM.match(content):
+                lines[i] = " " * offsets[-1] + content
+                continue
+            open_, kind = [content], "LIST_ITEM"
         elif not open_ and re.match(r"(?: {4}|\t)", line):
             body = []
             while i < len(lines) and (re.match(r"(?: {4}|\t)", lines[i]) or not lines[i].strip()):

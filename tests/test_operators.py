@@ -26,6 +26,16 @@ def test_markdown():
     assert parse.markdown_blocks(b"\n  Boats come in.\nAnd go.")["title"] == "Boats come in."
 
 
+def test_markdown_lists_and_references():
+    blocks = parse.scan_markdown("- bread\n  - rye\n    and more\n  - oat\n\n    baked twice\n- tea\nwith milk\n\n1. boil\n   ```\n   water\n     salt\n   ```\n2. - pour\n\nDone.\n")
+    assert blocks == [
+        ("LIST_ITEM", "bread"), ("LIST_ITEM", "rye\nand more"), ("LIST_ITEM", "oat"), ("PARAGRAPH", "baked twice"), ("LIST_ITEM", "tea\nwith milk"),
+        ("LIST_ITEM", "boil"), ("CODE", "water\n  salt"), ("LIST_ITEM", "pour"), ("PARAGRAPH", "Done."),
+    ]
+    assert parse.scan_markdown("See [the Mill] and [oven][], not [salt].\n\n[the  mill]: http://m 'Mill'\n[oven]: <o>\n") == [("PARAGRAPH", "See the Mill and oven, not [salt].")]
+    assert parse.scan_markdown("- # Crust\n- [x]: y\n") == [("HEADING", "Crust"), ("LIST_ITEM", "[x]: y")]
+
+
 def test_structured_export():
     doc = {
         "schema_name": "DoclingDocument", "name": "report",
