@@ -20,7 +20,7 @@ from pagewright.llm.common import arrow_map, column, keyed, prepare, texts
 LEAST_WORDS = 4
 MOST_COVERED = 0.4
 LONGEST = 1_000
-#: Words that are sorted at once; a longer text is sorted alone.
+#: Words that are sorted at once; a longer text is sorted alone, and without keeping ranks if it is twice as long.
 CHUNK = 300_000
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
@@ -85,9 +85,9 @@ class Stretches:
 def shared_prefixes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array, and the length that each of its rows but the first shares with the row before."""
     n = len(symbols)
-    rows, levels = suffix_ranks(symbols, keep=n <= CHUNK)
+    rows, levels = suffix_ranks(symbols, keep=n <= 2 * CHUNK)
     lcp = np.zeros(n - 1, np.int64)
-    if n <= CHUNK:
+    if n <= 2 * CHUNK:
         a, b = rows[:-1].copy(), rows[1:].copy()
         for k in range(len(levels) - 1, -1, -1):
             inside = (a < n) & (b < n)

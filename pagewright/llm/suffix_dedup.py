@@ -164,20 +164,23 @@ class RunIndex:
 
         Strings are streamed together, from their ends backwards. The match is the one of the row
         before. A step inside a run makes it one symbol longer and moves it one place; at the
-        beginning of a run, the sample at the end of another run has it.
+        beginning of a run, the sample at the end of another run has it. Only while it streams is there
+        a table of each row's run, which saves a search for each start.
         """
+        run_of = np.repeat(np.arange(len(self.run), dtype=np.int32), np.diff(np.r_[self.run, self.n]))
         string = np.argsort(-self.size, kind="stable")
         row, left = string.astype(np.int32), self.size[string]  # separators sort first, in the order of the strings
         match, at = np.zeros(len(row), np.int32), np.r_[0, (self.starts + self.size)[:-1]][string].astype(np.int32)
         for step in range(1, int(self.size.max(initial=0)) + 1):
             live = int(np.searchsorted(-left, -step, "right"))
             string, left, row, match, at = (x[:live] for x in (string, left, row, match, at))
-            k = np.searchsorted(self.run, row, "right") - 1
-            inside = row != self.run[k]
+            k = run_of[row]
+            begins = self.run[k]
+            inside = row != begins
             match = np.where(inside, np.minimum(match + 1, self.length), self.shared[k])
             at = np.where(inside, at, self.sample[self.before[k]]) - 1
             at[at < 0] += self.n
-            row = self.target[k] + row - self.run[k]
+            row = self.target[k] + row - begins
             yield string, left - step, row, match, at
 
     def repeats(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
