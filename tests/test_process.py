@@ -134,7 +134,7 @@ def test_more_of_the_query_language(spark):
     index = query.Index(posted, lens, (6, 2.5), lens.select("segment_id", F.lit("d").alias("doc_id")))
     ids = lambda q: "".join(sorted(r["segment_id"] for r in query.search(spark, index, q, 10).collect()))
     assert ids("[blue TO green]") == "abcef" and ids("{blue TO greens}") == "abcf" and ids("[redder TO *]") == "cde"
-    assert ids("IN [redder y]") == "de" and ids("*") == "abcdef" and ids("segment_id:[a TO b]") == "ab" and ids("segment_id: IN [c e]") == "ce"
+    assert ids("IN [redder y]") == "de" and ids("*") == "abcdef" and ids("segment_id:[a TO b]") == "ab" and ids("segment_id:IN [c e]") == "ce"
     assert ids("gree*") == "abcdf" and ids('"red gree"*') == "a" and ids("+gree* -redder") == "abcf"
     assert ids('"red green"') == "a" and ids('"red green"~1') == "ac" and ids('"red green"~2') == "abcf"
     # The slop is one for all words together.
