@@ -107,14 +107,19 @@ class Network:
         self.moment, self.square, self.steps = np.zeros_like(self.weights), np.zeros_like(self.weights), 0
 
     @staticmethod
-    def _softmax(scores: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of rows of scores (in place), and the log-probability of each row's own column."""
+    def _softmax(scores: np.ndarray) -> np.ndarray:
+        """Probabilities of rows of scores, in place."""
         scores -= scores.max(1, keepdims=True)
-        mine = scores[np.arange(len(own)), own]
         np.exp(scores, out=scores)
-        total = scores.sum(1)
-        scores /= total[:, None]
-        return scores, mine - np.log(total)
+        scores /= scores.sum(1, keepdims=True)
+        return scores
+
+    @staticmethod
+    def _log_share(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Log-probability of each row's own column."""
+        scores -= scores.max(1, keepdims=True)
+        mine = scores[np.arange(len(own)), own]
+        return mine - np.log(np.exp(scores, out=scores).sum(1))
 
     def _hidden(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
         hidden = self.near[0][classes[at - SIDE]]
@@ -134,13 +139,13 @@ class Network:
         out = np.empty(len(at))
         for k in range(0, len(at), STEP):
             # Sorted by class, so that the classes of a group stand together.
-            order = np.argsort(classes[at[k : k + STEP]], kind="stable")
+            order = np.argsort(classes[at[k : k + STEP]].astype(np.int16), kind="stable")
             part = at[k : k + STEP][order]
             own = classes[part]
             hidden = self._hidden(classes, part)
-            each = self._softmax(hidden @ self.top + self.top_prior, own // MEMBERS)[1]
+            each = self._log_share(hidden @ self.top + self.top_prior, own // MEMBERS)
             for g, a, z in self._groups(own):
-                each[a:z] += self._softmax(hidden[a:z] @ self.out[g].T + self.prior[g], own[a:z] - g * MEMBERS)[1]
+                each[a:z] += self._log_share(hidden[a:z] @ self.out[g].T + self.prior[g], own[a:z] - g * MEMBERS)
             out[k + order] = each
         return out
 
@@ -157,18 +162,18 @@ class Network:
     def gradient(self, classes: np.ndarray, first: int, end: int) -> np.ndarray | None:
         """Of the mean negative log-probability at the places from ``first`` to ``end`` that are no pads, in the order of the weights."""
         lo, window = first - SIDE, classes[first - SIDE : end + SIDE]
-        order = np.argsort(window, kind="stable")
+        order = np.argsort(window.astype(np.int16), kind="stable")  # numbers this small are sorted by their digits
         inside = order[(order >= SIDE) & (order < len(window) - SIDE) & (window[order] < CLASSES)]
         if not len(inside):
             return None
         own = window[inside]
         hidden = self._hidden(classes, inside + lo)
-        p = self._softmax(hidden @ self.top + self.top_prior, own // MEMBERS)[0]
+        p = self._softmax(hidden @ self.top + self.top_prior)
         p[np.arange(len(own)), own // MEMBERS] -= 1
         back = p @ self.top.T
         out, prior = np.zeros_like(self.out), np.zeros_like(self.prior)
         for g, a, z in self._groups(own):
-            q = self._softmax(hidden[a:z] @ self.out[g].T + self.prior[g], own[a:z] - g * MEMBERS)[0]
+            q = self._softmax(hidden[a:z] @ self.out[g].T + self.prior[g])
             q[np.arange(z - a), own[a:z] - g * MEMBERS] -= 1
             out[g], prior[g] = q.T @ hidden[a:z], q.sum(0)
             back[a:z] += q @ self.out[g]
