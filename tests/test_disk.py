@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright import engine_queries
+from pagewright.functions import text as tx
 from pagewright.lineage import shared_dir
-from pagewright.operators import fulltext, graph
+from pagewright.operators import fulltext, graph, parse
+from pagewright.plans import engine as plans
 from pagewright.plans import store
+from pagewright.sources import files
 
 
 def bytes_in(path):
@@ -76,3 +79,49 @@ def test_texts_of_blocks_come_back(spark):
     assert held.where("doc_id = 'a' AND exists(blocks, b -> b.text IS NOT NULL)").isEmpty()
     assert sorted(map(tuple, store.restored(held).collect())) == sorted(map(tuple, docs.collect()))
     assert graph.segments_of(store.restored(held)).count() == graph.segments_of(docs).count() == 4
+
+
+def test_an_ingestion_parses_each_file_once(spark, tmp_path, monkeypatch):
+    seen = tmp_path / "seen"
+
+    def counted(data):
+        with seen.open("ab") as f:
+            f.write(data + b"\n")
+        return plain(data)
+
+    version, plain, code = parse.PARSERS["plain"]
+    monkeypatch.setitem(parse.PARSERS, "plain", (version, counted, code))
+    rows = [("b.txt", b"one\n\ntwo"), ("a.txt", b"one\n\ntwo"), ("c.txt", b"three"), ("d.txt", b"\xff")]
+    engine = engine_queries._new(spark, "once")
+    got = engine.take(files.documents(spark.createDataFrame(rows, "path string, content binary").repartition(2)))
+    assert (got["added"], got["ready"], got["failed"]) == (2, 3, 1)
+    assert sum(len(data) + 1 for _, data in rows) == seen.stat().st_size
+    docs = {r["source_uri"]: r for r in engine.tables.latest("documents").collect()}
+    assert set(docs) == {"a.txt", "c.txt"} and [b["text"] for b in docs["a.txt"]["blocks"]] == ["one", "two"]
+    engine.remove(docs["c.txt"]["doc_id"])
+    again = engine.take(files.documents(spark.createDataFrame(rows, "path string, content binary")))
+    assert (again["added"], again["ready"]) == (1, 3)
+    versions = {(r["doc_id"], r["version_id"]) for r in engine.tables.rows("documents").select("doc_id", "version_id").collect()}
+    assert sorted(sum(d == x["doc_id"] for d, _ in versions) for x in docs.values()) == [1, 2]
+
+
+def test_an_index_made_in_several_passes_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(plans, "PASS", 1)
+    rows = [(f"{i}.txt", f"common word{i}\n\ncommon again common".encode()) for i in range(30)]
+    engine = engine_queries._new(spark, "passes")
+    engine.take(files.documents(spark.createDataFrame(rows, "path string, content binary")), index=False)
+    written, write = [], engine.tables._write
+    monkeypatch.setattr(engine.tables, "_write", lambda name, *rest: written.append(name) or write(name, *rest))
+    got = engine.reindex()
+    assert written.count("postings") == plans.PASSES > 1
+    assert (got["documents"], got["segments"]) == (30, 60) and engine.tables.about("fts")["segments"] == 60
+    hits = engine.tables.rows("postings").select("term", "batch", F.inline("hits")).join(engine.tables.rows("lengths"), ["batch", "no", "seg_index"])
+    want = fulltext.postings(engine.frame_segments()).select("term", "segment_id", "positions")
+    assert sorted(map(tuple, hits.select("term", "segment_id", "positions").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_trimming(spark):
+    spaces = "\t\n\x0b\f\r \x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000"
+    texts = ["", " ", spaces, "a", "a b", "\u200bä\u200b", None, *(f"{x}a{x}b" for x in spaces), *(f"a{x}b{x}{x}" for x in spaces), *(f"{x}\U0001f600{x}" for x in spaces)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.trim(F.col("t")).alias("u")).collect()
+    assert all(r["u"] == (None if r["t"] is None else r["t"].strip(spaces)) for r in got)
