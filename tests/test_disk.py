@@ -125,3 +125,11 @@ def test_trimming(spark):
     texts = ["", " ", spaces, "a", "a b", "\u200bä\u200b", None, *(f"{x}a{x}b" for x in spaces), *(f"a{x}b{x}{x}" for x in spaces), *(f"{x}\U0001f600{x}" for x in spaces)]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.trim(F.col("t")).alias("u")).collect()
     assert all(r["u"] == (None if r["t"] is None else r["t"].strip(spaces)) for r in got)
+
+
+def test_a_search_leaves_no_shuffle_files(spark):
+    engine = engine_queries._new(spark, "few")
+    files_now = lambda: {f.getName() for f in (lambda x: [x.apply(i) for i in range(x.size())])(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    rows = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    before = files_now()
+    assert len(engine._few(rows, 10).found) == 7 and not files_now() - before
