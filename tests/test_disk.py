@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagewright import engine_queries
 from pagewright.functions import text as tx
 from pagewright.lineage import shared_dir
-from pagewright.operators import fulltext, graph, parse
+from pagewright.operators import fulltext, graph, parse, query
 from pagewright.plans import engine as plans
 from pagewright.plans import store
 from pagewright.sources import files
@@ -133,3 +133,32 @@ def test_a_search_leaves_no_shuffle_files(spark):
     rows = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
     before = files_now()
     assert len(engine._few(rows, 10).found) == 7 and not files_now() - before
+
+
+def test_texts_of_an_ingestion_do_not_stand_on_the_disk_twice(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"{i}.txt", "".join(rng.choice("abcdefghijklmnop \n") for _ in range(20_000)).encode()) for i in range(64)]
+    rows += [("bad.txt", b"\xff"), ("copy.txt", rows[0][1])]
+    engine, peak, before = engine_queries._new(spark, "moved"), [], bytes_in(shared_dir(spark))
+    write = engine.tables._write
+    monkeypatch.setattr(engine.tables, "_write", lambda *x: (write(*x), peak.append(bytes_in(shared_dir(spark)) - before)))
+    for added in (64, 1):
+        got = engine.take(files.documents(spark.createDataFrame(rows, "path string, content binary").repartition(8)), index=False)
+        assert (got["added"], got["ready"], got["failed"]) == (added, 65, 1)
+        if added == 64:
+            assert max(peak) < 1.5 * bytes_in(f"{engine.home}/tables/documents")
+            engine.remove(engine.tables.latest("documents").where("source_uri = '7.txt'").first()["doc_id"])
+    docs = engine.tables.latest("documents").select("canonical_text", "state").collect()
+    assert {r["canonical_text"].encode() for r in docs} == {data for _, data in rows[:64]} and {r["state"] for r in docs} == {"READY"}
+    n = engine.tables.rows("documents").groupBy("doc_id").agg(F.countDistinct("version_id").alias("n")).groupBy("n").count().collect()
+    assert sorted(map(tuple, n)) == [(1, 63), (2, 1)]
+
+
+def test_a_query_unpacks_the_postings_it_reads_and_no_others(spark):
+    rows = [(f"{i}.txt", f"common word{i} other{i % 3}".encode()) for i in range(30)]
+    engine = engine_queries._new(spark, "reads")
+    engine.take(files.documents(spark.createDataFrame(rows, "path string, content binary")))
+    terms = lambda text: {r["term"] for r in engine.tables.rows("postings", query.reads(text)).select("term").collect()}
+    assert terms("word1 -other2") == {"word1", "other2"} and terms('"common word2"*') == {"common", *(f"word{i}" for i in (2, *range(20, 30)))}
+    assert terms("[other1 TO *] OR IN [common]") == {"common", "other1", "other2", *(f"word{i}" for i in range(30))} and terms("{other1 TO other2}") == terms("doc_id:x *") == terms(" ") == set()
+    assert len(engine.search("+common other1^2", "bm25", 50)["hits"]) == 30 and len(engine.search("[word0 TO word9]", "bm25", 50)["hits"]) == 30
