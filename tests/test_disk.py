@@ -162,3 +162,22 @@ def test_a_query_unpacks_the_postings_it_reads_and_no_others(spark):
     assert terms("word1 -other2") == {"word1", "other2"} and terms('"common word2"*') == {"common", *(f"word{i}" for i in (2, *range(20, 30)))}
     assert terms("[other1 TO *] OR IN [common]") == {"common", "other1", "other2", *(f"word{i}" for i in range(30))} and terms("{other1 TO other2}") == terms("doc_id:x *") == terms(" ") == set()
     assert len(engine.search("+common other1^2", "bm25", 50)["hits"]) == 30 and len(engine.search("[word0 TO word9]", "bm25", 50)["hits"]) == 30
+
+
+def test_vectors_are_stored_without_ids_that_follow_from_others(made):
+    engine = made[1]
+    rows = engine.tables.rows("vectors")
+    assert bytes_in(f"{engine.home}/tables/vectors") < 125 * rows.count() == 1_250_000
+    segments = engine.frame_segments().select("segment_id", "doc_id")
+    assert segments.exceptAll(rows.select("segment_id", "doc_id")).isEmpty() and len(rows.first()["embedding"]) == 32
+
+
+def test_postings_are_shuffled_in_blocks(spark):
+    rows = [(1, n, 0, f"common word{n} word{n % 97} {'often ' * 3}") for n in range(5_000)]
+    packed = fulltext.packed(spark.createDataFrame(rows, "batch long, no long, seg_index long, body string").repartition(3)).localCheckpoint()
+    dealt = fulltext.dealt(packed)
+    assert dealt.columns == packed.columns and dealt.exceptAll(packed).isEmpty() and dealt.count() == packed.count() > 5_000
+    with_ids = dealt.withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()).select("p", "term").orderBy("i").collect()
+    assert all(a["term"] <= b["term"] for a, b in zip(with_ids, with_ids[1:]) if a["p"] == b["p"])
+    sent = [x for x in dealt._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)[1].splitlines() if "MapInArrow" in x]
+    assert len(sent) == 1 and "block" in sent[0]
