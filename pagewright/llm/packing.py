@@ -11,14 +11,17 @@ a sequence and an offset.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,18 +30,33 @@ from pagewright.llm.common import arrow_map, column, cut, keep, kept, keyed, pre
 
 #: Words in each of the two generations of a worker's cache, and the length from which a word isn't kept.
 CACHE, LONG = 500_000, 100
-#: New words that the tokenizer gets at once.
-TOGETHER = 200
+#: New words that the tokenizer gets at once, and words whose ids are put in place at once.
+TOGETHER, PLACED = 200, 1_000_000
 #: Where splitting at white space could differ from the tokenizer's own view of the whole text.
-_WHOLE = re.compile("<\\||[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
+_WHOLE = "<\\||[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]"
+#: Steps that are known to cut a normalized word of Latin letters and ASCII marks behind them where the one ends and the others begin, and such a word.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUTS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+_LETTERS, _MARKS = re.compile("[a-z\xb5\xdf-\xf6\xf8-\u024f]*"), string.punctuation
+
+
+def _byte_level() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in own)}
 
 
 class WordEncoder:
-    """Token ids, as little-endian unsigned 32-bit bytes, of texts under a tokenizer that drops white space.
+    """Token ids of texts under a tokenizer that drops white space.
 
     A tokenizer that splits at white space and normalizes no further than within a word gives each
-    word the same ids wherever it stands, so ids are kept by word. Texts with special tokens or
-    with unusual separators go to the tokenizer as a whole.
+    word the same ids wherever it stands, so ids are kept by word, and looked up once for each word
+    of a batch. Where the tokenizer's steps are known, a new word of letters and marks behind them
+    gets the ids of these two, which the tokenizer's model gives without the other steps. Texts with
+    special tokens or with unusual separators go to the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
@@ -46,9 +64,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Words met lately, and those met before the younger generation began.
+        steps = json.loads(self.tokenizer.to_str())
+        known = (steps["normalizer"] or {}).get("normalizers") == _NORMALIZER and (steps["pre_tokenizer"] or {}).get("pretokenizers") == _CUTS
+        self.parted = known and steps["model"]["type"] == "BPE" and not steps["model"]["dropout"]
+        self.bytes = _byte_level()
+        #: Words met lately, and those met before the younger generation began; their letters and marks.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words, many at a time in one text: where a token stands tells its word."""
@@ -61,24 +84,79 @@ class WordEncoder:
             cut = (4 * np.searchsorted(at, starts)).tolist()
             yield from (ids[a:z] for a, z in zip(cut, cut[1:], strict=False))
 
-    def __call__(self, batch: list[str]) -> list[bytes]:
-        whole = [bool(_WHOLE.search(t)) for t in batch]
-        split = [None if w else t.split() for t, w in zip(batch, whole, strict=True)]
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that aren't kept."""
+        if not self.parted:
+            return dict(zip(words, self._encode(words), strict=True))
+        if len(self.parts) > CACHE:
+            self.parts = {"": b""}
+        out, rest, parts, tokenize = {}, [], self.parts, self.tokenizer.model.tokenize
+        for k in range(0, len(words), TOGETHER):
+            own = words[k : k + TOGETHER]
+            for w, n in zip(own, self.tokenizer.normalizer.normalize_str(" ".join(own)).split(" "), strict=True):
+                letters = n.rstrip(_MARKS)
+                marks = n[len(letters) :]
+                if letters not in parts or marks not in parts:
+                    if len(n) >= LONG or not _LETTERS.fullmatch(letters):
+                        rest.append(w)
+                        continue
+                    for part in (letters, marks):
+                        if part not in parts:
+                            found = tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes))
+                            parts[part] = b"".join([x.id.to_bytes(4, "little") for x in found])
+                out[w] = parts[letters] + parts[marks]
+        out.update(zip(rest, self._encode(rest), strict=True))
+        return out
+
+    def __call__(self, batch: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with ``end_id`` behind it, and where each text's ids end."""
+        whole = np.flatnonzero(pc.match_substring_regex(batch, _WHOLE).to_numpy(zero_copy_only=False))
+        asked = batch.take(pa.array(whole)).to_pylist()
+        if len(whole):
+            batch = pc.if_else(pc.match_substring_regex(batch, _WHOLE), "", batch)
+        split = pc.utf8_split_whitespace(batch)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist()
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = {w for words in split if words for w in words}.difference(young)
-        known = missing.intersection(old)
-        young.update((w, old[w]) for w in known)
-        new = list(missing.difference(known))
-        young.update(zip(new, self._encode(new), strict=True))
-        texts_ = [t for t, w in zip(batch, whole, strict=True) if w]
-        rest = (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts_, add_special_tokens=False))
-        out = [next(rest) if words is None else b"".join(map(young.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) >= LONG:
-                del young[w]
-        return out
+        young[""] = b""  # what stands before and behind outer white space
+        ids = list(map(young.get, words))
+        lacking = [k for k, x in enumerate(ids) if x is None]
+        new = self._new([words[k] for k in lacking if words[k] not in old])
+        for k in lacking:
+            w = words[k]
+            ids[k] = new[w] if w in new else old[w]
+            if len(w) < LONG:
+                young[w] = ids[k]
+        rest = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(asked, add_special_tokens=False)]
+        ids += [int(end_id).to_bytes(4, "little"), *rest]
+        # A text's words, then itself if it was encoded as a whole, then the end.
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+        order = np.argsort(np.append(whole, np.arange(len(ends))), kind="stable")
+        more = np.append(len(words) + 1 + np.arange(len(whole)), np.full(len(ends), len(words)))[order]
+        placed = np.insert(coded.indices.to_numpy().astype(np.int64), np.append(ends[whole], ends)[order], more)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        out = []
+        for k in range(0, len(placed), PLACED):
+            own = placed[k : k + PLACED]
+            n = size[own]
+            out.append(pool[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        upto = np.append(0, np.cumsum(size[placed]))
+        count = np.bincount(whole, minlength=len(ends)) + 1
+        return (np.concatenate(out) if out else pool[:0]), upto[ends + np.cumsum(count)]
+
+
+def _strings(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch; null becomes empty, and what isn't UTF-8 is replaced."""
+    found = column(batch, "text").cast(pa.string()).fill_null("")
+    try:
+        found.validate(full=True)
+    except pa.ArrowInvalid:
+        found = pa.array([t.decode("utf-8", "replace") for t in texts(batch)], pa.string())
+    return found
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
@@ -86,8 +164,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
 
     ``block`` is the task that cut the document, ``nth`` counts its pieces of that length.
     """
-    end = int(end_id).to_bytes(4, "little")
-
     def make():
         encoder = kept(("encoder", tokenizer_path), lambda: WordEncoder(tokenizer_path))
 
@@ -96,12 +172,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
             for b in batches:
                 out: tuple[list, ...] = [], [], [], [], []
                 rows = []
-                for i, ids in enumerate(encoder([t.decode("utf-8", "replace") for t in texts(b)])):
-                    ids += end
-                    size = len(ids) // 4
-                    for k, start in enumerate(range(0, size, capacity)):
-                        part = ids[4 * start : 4 * (start + capacity)]
-                        n = len(part) // 4
+                ids, ends = encoder(_strings(b), end_id)
+                ends = ends.tolist()
+                for i, (first, last) in enumerate(zip([0, *ends], ends)):
+                    for k, start in enumerate(range(0, last - first, capacity)):
+                        part = ids[first + start : min(first + start + capacity, last)]
+                        n = len(part)
                         rows.append(i)
                         for to, x in zip(out, (k, start, n, zlib.crc32(part), counts[n]), strict=True):
                             to.append(x)

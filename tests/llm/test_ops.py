@@ -10,6 +10,7 @@ from collections import Counter
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -314,6 +315,36 @@ def test_packing(docs):
     assert packing.pack(empty(docs), path).count() == 0
 
 
+def test_words_get_their_ids_by_parts(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    rng = random.Random(8)
+    letters = "aabeinstABSTéÉñßÄöøŁłıİſʼn'’.,!?;:-_*#%%`\"()3٣\u0301\u0327ªºµɐʰαΣςжאש日ﬁ🙂\u00ad\u200d"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(4_000)] + ["it's", "IT'S,", "don't'", "<|endoftext|>", "x" * 150, "x" * 150 + ".", "é" * 99 + "."]
+    words += ["the,", "The", "the.\"", "thé!", "THÉ"] * 50
+    space = lambda: rng.choice([" ", "  ", "\n", "\t ", "\u00a0", "\u2003", "\u3000", "\u2028", "\r\n", "\x85", "\x1c", "\u200b"] if rng.random() < 0.1 else " \n")
+    texts = ["".join(x for _ in range(rng.randint(0, 60)) for x in (rng.choice(words), space())) for _ in range(400)]
+    texts += ["", " ", "\n\n", " lead", "trail ", "<|endoftext|>", "a <|x", "\ufeffa b", *(f"a{chr(c)}b{chr(c)}{chr(c)}" for c in range(0x3100) if not 0xD800 <= c < 0xE000)]
+    calls, encode = [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda given: calls.append(list(given)) or encode(given))
+    monkeypatch.setattr(packing, "CACHE", 500)
+    monkeypatch.setattr(packing, "PLACED", 37)
+    got = []
+    for k in range(0, len(texts), 100):
+        ids, ends = encoder(pa.array(texts[k : k + 100], pa.string()), 7)
+        got += [ids[a:z].tolist() for a, z in zip([0, *ends], ends)]
+    assert got == [[*plain.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert encoder.parted and not {"the,", "The", "the.\"", "thé!", "THÉ"} & {w for given in calls for w in given}
+    encoder.parted = False
+    encoder.young, encoder.old = {}, {}
+    ids, ends = encoder(pa.array(texts[:400], pa.string()), 7)
+    assert [ids[a:z].tolist() for a, z in zip([0, *ends], ends)] == got[:400]
+    assert encoder(pa.array([], pa.string()), 7)[0].tolist() == []
+
+
 def test_plan_uses_every_piece_once():
     rng = np.random.default_rng(2)
     for t in range(20):
