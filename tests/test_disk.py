@@ -181,3 +181,20 @@ def test_postings_are_shuffled_in_blocks(spark):
     assert all(a["term"] <= b["term"] for a, b in zip(with_ids, with_ids[1:]) if a["p"] == b["p"])
     sent = [x for x in dealt._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)[1].splitlines() if "MapInArrow" in x]
     assert len(sent) == 1 and "block" in sent[0]
+
+
+def test_tables_of_a_search_go_when_something_is_published(spark):
+    engine = engine_queries._new(spark, "gone")
+    engine.take(files.documents(spark.createDataFrame([(f"{i}.txt", f"common word{i}".encode()) for i in range(30)], "path string, content binary")))
+    cuts = lambda: {x for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("cut-")}
+    before = cuts()
+    first = engine.search("common", "bm25", 3)["hits"][0]["doc_id"]
+    own = cuts() - before
+    assert len(own) == 2
+    engine.remove(first)
+    engine.reindex()
+    assert not own & cuts()
+    frame = engine.frame_search("common", "bm25", 50)
+    engine.remove(frame.first()["doc_id"])
+    hits = engine.search("common", "bm25", 50)["hits"]
+    assert first not in {h["doc_id"] for h in hits} and len(hits) == 28 and frame.count() > 0
